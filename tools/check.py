@@ -32,7 +32,7 @@ def main() -> None:
             else:
                 ok, note = True, f"{df.count()} rows, no SQL"
         except Exception as exc:  # report and continue with the next query
-            ok, note = False, "".join(traceback.format_exception(exc))[-1500:]
+            ok, note = False, str(exc)[:700] + " ... " + "".join(traceback.format_exception(exc))[-300:]
         print(f"{'ok  ' if ok else 'FAIL'} {name:28s} {time.time() - t0:6.2f}s {note}", flush=True)
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ["extents"]
+_MODULES = ["extents", "payloads", "timeline"]
 
 
 def _load():

@@ -6,12 +6,15 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 BLOCK = 1024
 MIN_BLOCKS = 8
 UNIFORM_STDEV_MAX = 0.08
 UNIFORM_MEAN_MIN = 7.6
 
+PROFILE = T.StructType([T.StructField("mean", T.DoubleType()), T.StructField("stdev", T.DoubleType())])
+
 #: Bytes histogrammed at once, which bounds the scratch memory for a large payload.
 _STEP_BLOCKS = 4096
 
@@ -41,13 +44,13 @@ def _block_entropies(data: bytes) -> np.ndarray:
     return np.concatenate(parts)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def shannon_entropy(payload: pd.Series) -> pd.Series:
     """Bits per byte, 0.0 for an empty payload."""
     return payload.map(_entropy, na_action="ignore").astype("Float64")
 
 
-@F.pandas_udf("struct<mean:double,stdev:double>")
+@F.pandas_udf(PROFILE)
 def block_entropy_profile(payload: pd.Series) -> pd.DataFrame:
     """Mean and population deviation over the full 1 KiB blocks; null below eight blocks."""
     means, spreads = [], []
@@ -62,18 +65,21 @@ def block_entropy_profile(payload: pd.Series) -> pd.DataFrame:
     return pd.DataFrame({"mean": pd.array(means, dtype="Float64"), "stdev": pd.array(spreads, dtype="Float64")})
 
 
+@F.pandas_udf(T.DoubleType())
+def _mean_entropy(samples: pd.Series) -> pd.Series:
+    return samples.map(lambda parts: sum(_entropy(p) for p in parts) / len(parts), na_action="ignore").astype("Float64")
+
+
 def sample_entropy(payload: Column) -> Column:
     """Whole-payload entropy up to 8 KiB, else the mean over 2 KiB at the start, middle and end.
 
     The samples are cut in the JVM, so at most 8 KiB of a payload crosses to Python.
     """
     size = F.octet_length(payload)
-    small = size <= 8192
-    start = F.when(small, payload).otherwise(F.substring(payload, 1, 2048))
-    middle = F.when(~small, F.substring(payload, F.floor(size / 2).cast("int") + 1, F.lit(2048)))
-    end = F.when(~small, F.substring(payload, size - 2047, F.lit(2048)))
-    first, second, third = shannon_entropy(start), shannon_entropy(middle), shannon_entropy(end)
-    return F.when(small, first).otherwise((first + second + third) / F.lit(3.0))
+    start = F.substring(payload, 1, 2048)
+    middle = F.substring(payload, F.shiftright(size, 1) + 1, F.lit(2048))
+    end = F.substring(payload, size - 2047, F.lit(2048))
+    return _mean_entropy(F.when(size <= 8192, F.array(payload)).when(size > 8192, F.array(start, middle, end)))
 
 
 def uniform_random_complaint(profile: Column) -> Column:
