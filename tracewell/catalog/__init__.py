@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ["extents", "payloads", "timeline"]
+_MODULES = ["extents", "payloads", "timeline", "ledger"]
 
 
 def _load():

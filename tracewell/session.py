@@ -49,3 +49,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
             shared = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         sc.setCheckpointDir(shared)
     return df.checkpoint(eager=True)
+
+
+def shuffle_width(df: DataFrame) -> int:
+    """The session's shuffle partition count, for repartitions that must not be coalesced."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def spread(df: DataFrame, *columns: str) -> DataFrame:
+    """Even out rows before CPU-heavy work when the input came in fewer pieces than there are cores."""
+    return df.repartition(shuffle_width(df), *columns)
