@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ["extents", "payloads", "timeline", "ledger"]
+_MODULES = ["extents", "payloads", "timeline", "ledger", "fragments"]
 
 
 def _load():

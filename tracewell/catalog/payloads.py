@@ -215,7 +215,7 @@ QUERIES = {
 }
 
 
-def _entropy_sql(source: str) -> str:
+def entropy_sql(source: str) -> str:
     """Entropy per ``(id, part)`` of a relation with a hex column ``h``."""
     return f"""
   SELECT id, part, -sum(c / n * log2(c / n)) AS e FROM (
@@ -231,12 +231,12 @@ _SAMPLES = """
   FROM (SELECT doc_id AS id, hex(encode(text)) AS h, length(hex(encode(text))) // 2 AS n FROM documents),
        (VALUES (0), (1), (2)) p(part)
   WHERE part = 0 OR n > 8192"""
-_SAMPLE_ENTROPY = f"SELECT id, avg(e) AS e FROM ({_entropy_sql(_SAMPLES)}) GROUP BY id"
+_SAMPLE_ENTROPY = f"SELECT id, avg(e) AS e FROM ({entropy_sql(_SAMPLES)}) GROUP BY id"
 _BLOCKS = """
   SELECT id, part, substr(h, 2048 * part + 1, 2048) AS h FROM (
     SELECT doc_id AS id, hex(encode(text)) AS h, unnest(range(length(hex(encode(text))) // 2048)) AS part
     FROM documents WHERE length(hex(encode(text))) >= 16384)"""
-_PROFILE = f"SELECT id, avg(e) AS m, stddev_pop(e) AS sd FROM ({_entropy_sql(_BLOCKS)}) GROUP BY id"
+_PROFILE = f"SELECT id, avg(e) AS m, stddev_pop(e) AS sd FROM ({entropy_sql(_BLOCKS)}) GROUP BY id"
 
 _KNOWN_SQL = """
   SELECT 'md5' AS algo, md5(text) AS digest FROM benchmark
@@ -329,7 +329,7 @@ def _sniff_sql() -> str:
 SQL = {
     "entropy": f"""SELECT id AS doc_id, round(e, 6) AS entropy,
        CASE WHEN e < 0.5 THEN 'constant' WHEN e < 3 THEN 'low' WHEN e < 6 THEN 'medium' ELSE 'high' END AS band
-       FROM ({_entropy_sql(_HEX)})""",
+       FROM ({entropy_sql(_HEX)})""",
     "sample_entropy": f"SELECT id AS doc_id, round(e, 6) AS entropy FROM ({_SAMPLE_ENTROPY})",
     "block_profile": f"""SELECT doc_id, round(m, 6) AS mean, round(sd, 6) AS stdev
        FROM documents LEFT JOIN ({_PROFILE}) p ON p.id = doc_id""",
