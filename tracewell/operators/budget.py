@@ -48,7 +48,7 @@ def policy_for_target(size: Column) -> Column:
 
 _FOLD_SCHEMA = (
     "image_id string, kind string, ord long, size long, category string, extension string, "
-    "files long, bytes long, category_n long, extension_n long, cats map<string,long>, exts map<string,long>, done boolean"
+    "files long, bytes long, category_n long, extension_n long, digest string, cats map<string,long>, exts map<string,long>, done boolean"
 )
 
 
@@ -60,10 +60,12 @@ def _fold(policy: Policy, limit: int):
         first = pdf.iloc[0]
         files, total = int(first["files"]), int(first["bytes"])
         cats, exts = dict(first["cats"]), dict(first["exts"])
-        out = []
+        out, taken = [], set()
         for row in pdf.itertuples(index=False):
             if files >= policy.max_files_total:
                 break
+            if row.digest is not None and row.digest in taken:
+                continue
             cat_n, ext_n = cats.get(row.category, 0), exts.get(row.extension, 0)
             if (
                 total + row.size <= policy.max_output_bytes
@@ -72,11 +74,13 @@ def _fold(policy: Policy, limit: int):
             ):
                 files, total = files + 1, total + int(row.size)
                 cats[row.category], exts[row.extension] = cat_n + 1, ext_n + 1
-                out.append(("admit", row.ord, row.size, row.category, row.extension, files, total, cat_n + 1, ext_n + 1))
+                taken.add(row.digest)
+                out.append(("admit", row.ord, row.size, row.category, row.extension, files, total, cat_n + 1, ext_n + 1, row.digest))
         done = len(pdf) < limit or files >= policy.max_files_total
-        out.append(("state", pdf["ord"].iloc[-1], 0, None, None, files, total, 0, 0))
+        out.append(("state", pdf["ord"].iloc[-1], 0, None, None, files, total, 0, 0, None))
         frame = pd.DataFrame(
-            out, columns=["kind", "ord", "size", "category", "extension", "files", "bytes", "category_n", "extension_n"]
+            out,
+            columns=["kind", "ord", "size", "category", "extension", "files", "bytes", "category_n", "extension_n", "digest"],
         )
         frame.insert(0, "image_id", first["image_id"])
         last = [None] * (len(out) - 1)
@@ -94,7 +98,7 @@ def _admissions(files: DataFrame, policy: Policy) -> DataFrame:
     image's possible files or moves its cursor; memory per image is bounded by the file cap.
     """
     take = policy.max_files_total
-    sized = files.where(F.col("size") <= policy.max_file_bytes).select("image_id", "ord", "size", "category", "extension")
+    sized = files.where(F.col("size") <= policy.max_file_bytes).select("image_id", "ord", "size", "category", "extension", "digest")
     empty = "map<string,long>"
     admitted: DataFrame | None = None
     state: DataFrame | None = None
@@ -117,7 +121,10 @@ def _admissions(files: DataFrame, policy: Policy) -> DataFrame:
             & (F.col("bytes") + F.col("size") <= policy.max_output_bytes)
             & (F.coalesce(F.try_element_at("cats", F.col("category")), F.lit(0)) < caps)
             & (F.coalesce(F.try_element_at("exts", F.col("extension")), F.lit(0)) < policy.max_files_per_extension)
-        ).withColumn("__slice", F.pmod(F.xxhash64("ord"), F.lit(256)))
+        )
+        if admitted is not None:
+            possible = possible.join(admitted.select("image_id", "digest"), ["image_id", "digest"], "left_anti")
+        possible = possible.withColumn("__slice", F.pmod(F.xxhash64("ord"), F.lit(256)))
         inner = Window.partitionBy("image_id", "__slice").orderBy("ord")
         outer = Window.partitionBy("image_id").orderBy("ord")
         nearest = (
@@ -139,10 +146,13 @@ def admit_budget(files: DataFrame, policy: Policy | None = None) -> DataFrame:
     """Append ``admitted`` and ``denial`` to ``files(image_id, ord, category, extension, size, ...)``.
 
     ``ord`` is the scan order, unique per image. Checks in order: single file size, file count, output
-    bytes (an exact fit is allowed), category cap, extension cap. Denied files use no budget.
+    bytes (an exact fit is allowed), category cap, extension cap. Denied files use no budget. With a
+    ``digest`` column, a file whose digest was admitted before is passed over first.
     """
     policy = policy or Policy()
     typed = files.withColumn("image_id", F.col("image_id").cast("string"))
+    if "digest" not in files.columns:
+        typed = typed.withColumn("digest", F.lit(None).cast("string"))
     admitted = cut_lineage(_admissions(typed, policy))
     state = admitted.select("image_id", F.col("ord").alias("__at"), F.struct("files", "bytes").alias("__s"))
     seen = latest_at_or_before(
@@ -161,13 +171,16 @@ def admit_budget(files: DataFrame, policy: Policy | None = None) -> DataFrame:
         .join(cat_closed, ["image_id", "category"], "left")
         .join(ext_closed, ["image_id", "extension"], "left")
     )
+    held = admitted.where(F.col("digest").isNotNull()).groupBy("image_id", "digest").agg(F.min("ord").alias("__same_from"))
+    joined = joined.join(held, ["image_id", "digest"], "left")
     used_files, used_bytes = F.coalesce("__met.files", F.lit(0)), F.coalesce("__met.bytes", F.lit(0))
 
     def capped(number: Column, what: Column) -> Column:
         return F.concat(F.lit("reached the "), number.cast("string"), F.lit("-file cap for '"), what, F.lit("'"))
 
     denial = (
-        F.when(F.col("size") > policy.max_file_bytes, F.lit(f"single file exceeds the {policy.max_file_bytes:,} B per-file cap"))
+        F.when(F.col("ord") > F.col("__same_from"), F.lit("the same payload was already written"))
+        .when(F.col("size") > policy.max_file_bytes, F.lit(f"single file exceeds the {policy.max_file_bytes:,} B per-file cap"))
         .when(used_files >= policy.max_files_total, F.lit(f"reached the {policy.max_files_total}-file session cap"))
         .when(used_bytes + F.col("size") > policy.max_output_bytes, F.lit(f"output budget of {policy.max_output_bytes:,} B exhausted"))
         .when(F.col("ord") > F.col("__cat_from"), capped(caps, F.col("category")))
