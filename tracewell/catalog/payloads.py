@@ -140,6 +140,17 @@ def ranked_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.ranked_findings(kept).select("doc_id", "confidence_score", "size_bytes", "extension")
 
 
+def scored_unknown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates whose payload is neither a repeat nor in the known set, with their score."""
+    docs = payloads(spark, sf_dir)
+    hashed = docs.withColumn("sha256", F.sha2("payload", 256))
+    first = op.dedupe_payloads(hashed, ["image_id"], "sha256", ["doc_id"])
+    kept, _ = op.suppress_known(first, _known(spark, sf_dir), ["doc_id"])
+    return kept.select("doc_id", "sha256").join(_candidates(spark, sf_dir), "doc_id").select(
+        "image_id", "doc_id", "sha256", "extension", "size_bytes", "confidence_score"
+    )
+
+
 def _tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
     cands = _candidates(spark, sf_dir)
     reason = F.when(
@@ -206,6 +217,7 @@ QUERIES = {
     "hash_list_parse": hash_list_parse,
     "score_candidates": score_candidates,
     "ranked_findings": ranked_findings,
+    "scored_unknown": scored_unknown,
     "rejection_histogram": rejection_histogram,
     "session_totals": session_totals,
     "category_counts": category_counts,
@@ -388,3 +400,9 @@ SELECT CASE WHEN v = '' THEN 'operator_id cannot be empty'
   ELSE 'ok' END AS problem, count(*) AS n FROM b GROUP BY 1""",
     "sniff_payloads": _sniff_sql(),
 }
+
+SQL["scored_unknown"] = f"""{_SCORED},
+k AS ({_KNOWN_SQL}), m AS ({_MATCH_SQL}),
+f AS (SELECT source, min(doc_id) AS doc_id, sha256(text) AS sha256 FROM documents GROUP BY source, sha256(text))
+SELECT sc.image_id, sc.doc_id, f.sha256, sc.extension, sc.size_bytes, CAST(sc.score AS INTEGER) AS confidence_score
+FROM sc JOIN f ON f.doc_id = sc.doc_id JOIN m ON m.doc_id = sc.doc_id WHERE m.a IS NULL"""

@@ -32,22 +32,26 @@ def get_spark(app: str = "tracewell", cpus: int | str = "*", **conf: str) -> Spa
     return builder.getOrCreate()
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` through a reliable checkpoint and return it with a fresh lineage.
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The shared folder the cluster names in ``spark.checkpoint.dir``.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``. A temporary folder is used
-    only on a local master with the setting unset, because executors on other machines could not
-    read it back.
+    A temporary folder is used only on a local master with the setting unset, because executors on
+    other machines could not read it back.
     """
-    spark = df.sparkSession
-    sc = spark.sparkContext
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
+        shared = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        spark.conf.set("spark.checkpoint.dir", shared)
+    return shared
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Materialise ``df`` through a reliable checkpoint and return it with a fresh lineage."""
+    sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        if shared is None:
-            if not sc.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-            shared = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        sc.setCheckpointDir(shared)
+        sc.setCheckpointDir(checkpoint_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
