@@ -36,7 +36,7 @@ def _verify(message: Column, signature: Column, fingerprint: Column) -> Column:
 
 
 def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shape_orders(table(spark, sf_dir, "orders"))
+    return shape_orders(spread(table(spark, sf_dir, "orders"), "o_orderkey"))
 
 
 def shape_orders(orders: DataFrame) -> DataFrame:
@@ -178,7 +178,7 @@ def _variants(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def doc_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    checked = ct.validate_certificates(spread(_variants(spark, sf_dir).select("o_orderkey", "certificate_json"), "o_orderkey"))
+    checked = ct.validate_certificates(_variants(spark, sf_dir).select("o_orderkey", "certificate_json"))
     return checked.select("o_orderkey", F.array_join("errors", "; ").alias("errors"))
 
 

@@ -13,6 +13,7 @@ from tracewell.operators import fragments as fr
 from tracewell.operators import freespace
 from tracewell.operators.boundaries import declared_boundary
 from tracewell.operators.scan import Pattern, count_needles, scan_blocks
+from tracewell.session import spread
 from tracewell.plans.asof import first_at_or_after, latest_at_or_before
 
 _PATTERNS = [b"<div", b"</div>", b"e", b"aa", b"</p>", b"%PDF-", b"href"]
@@ -21,7 +22,7 @@ _BLOCK, _TAIL = 1000, 16
 
 def page_blocks(spark: SparkSession, sf_dir: str, block: int = _BLOCK, tail: int = _TAIL) -> DataFrame:
     """Pages as images cut into small windows with their overlap, so patterns straddle edges."""
-    pages = table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("image_id"), F.encode("html", "UTF-8").alias("html"))
+    pages = spread(table(spark, sf_dir, "pages"), "page_id").select(F.col("page_id").cast("string").alias("image_id"), F.encode("html", "UTF-8").alias("html"))
     size = F.octet_length("html")
     cut = pages.where(size > 0).select(
         "image_id", "html", F.explode(F.sequence(F.lit(0), F.expr(f"(octet_length(html) - 1) div {block}"))).alias("block_no")

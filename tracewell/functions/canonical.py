@@ -17,16 +17,20 @@ from pyspark.sql import types as T
 MAX_EXACT = 2**53 - 1
 MAX_DEPTH = 64
 
-_SHORT = {"\b": "\\b", "\f": "\\f", "\n": "\\n", "\r": "\\r", "\t": "\\t"}
+# Control characters whose escape has a hex letter; the JVM writes it in upper case.
+_LETTERED = ("0B", "0E", "0F", "1A", "1B", "1C", "1D", "1E", "1F")
 
 
 def json_quote(text: Column) -> Column:
     """A JSON string literal with minimal escapes; control characters in lower-case ``\\u00xx`` form."""
     plain = F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
-    full = plain
-    for code in range(0x20):
-        char = chr(code)
-        full = F.replace(full, F.lit(char), F.lit(_SHORT.get(char, f"\\u{code:04x}")))
+    # An escaped backslash must not pair with a following "u000B" of the text, so it is parked first.
+    written = F.to_json(F.struct(text.alias("v")))
+    body = written.substr(F.lit(7), F.length(written) - 8)
+    body = F.replace(body, F.lit("\\\\"), F.lit("\u0000"))
+    for code in _LETTERED:
+        body = F.replace(body, F.lit(f"\\u00{code}"), F.lit(f"\\u00{code.lower()}"))
+    full = F.replace(body, F.lit("\u0000"), F.lit("\\\\"))
     return F.concat(F.lit('"'), F.when(text.rlike("[\\x00-\\x1f]"), full).otherwise(plain), F.lit('"'))
 
 

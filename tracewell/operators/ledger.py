@@ -144,15 +144,22 @@ def block_failures(blocks: DataFrame, keys: DataFrame, verify: VerifyFn | None =
     """
     linked = trust(crosscheck(link_ledger(blocks)), keys)
     checked = validate_certificates(linked).withColumn("__payload", canonical_payload("certificate_json"))
+    # Everything a check looks at more than once becomes a column first.
+    checked = checked.select(
+        "*",
+        block_hash().alias("__computed"),
+        F.coalesce(_member("$.signature.signature_base64url"), F.lit("")).alias("__doc_signature"),
+        F.replace(payload_sha256(F.col("__payload.text")), F.lit("sha256:"), F.lit("")).alias("__payload_hash"),
+        F.coalesce(_member("$.signature.signed_payload_hash"), F.lit("")).alias("__stated"),
+        F.array_contains("errors", "certificate is not valid JSON").alias("__malformed"),
+    )
     genesis = F.col("operation_type") == "GENESIS"
     has_doc = F.coalesce(F.col("certificate_json") != "", F.lit(False)) & ~genesis
     signature = F.coalesce(F.col("block_signature"), F.lit(""))
     signed = ~genesis & (signature != "") & (signature != GENESIS_SIGNATURE)
-    computed = block_hash()
-    malformed = has_doc & F.try_parse_json("certificate_json").isNull()
-    doc_signature = F.coalesce(_member("$.signature.signature_base64url"), F.lit(""))
-    payload_hash = F.replace(payload_sha256(F.col("__payload.text")), F.lit("sha256:"), F.lit(""))
-    stated_hash = F.coalesce(_member("$.signature.signed_payload_hash"), F.lit(""))
+    computed, doc_signature = F.col("__computed"), F.col("__doc_signature")
+    malformed = has_doc & F.coalesce(F.col("__malformed"), F.lit(True))
+    payload_hash, stated_hash = F.col("__payload_hash"), F.col("__stated")
 
     untrusted = _number(
         "Block #",

@@ -129,34 +129,26 @@ def _starts(window: bytes, view: np.ndarray, needle: bytes, body: int) -> np.nda
     return np.asarray(found, dtype=np.int64)
 
 
-def scan_window(window: bytes, body: int, base: int, patterns: Sequence[Pattern]) -> list[pd.DataFrame]:
-    """Hits of all patterns whose match begins in the first ``body`` bytes of a window at ``base``.
+def scan_window(window: bytes, body: int, base: int, patterns: Sequence[Pattern]) -> Iterator[tuple[int, np.ndarray, int]]:
+    """``(pattern, offsets, dropped)`` of matches that begin in the first ``body`` bytes of a window at ``base``.
 
-    Implausible hits leave only their number, in one row per pattern without an offset.
+    Implausible matches leave only their number.
     """
     view = np.frombuffer(window, dtype=np.uint8)
     present = np.bincount(view, minlength=256) > 0
-    hits = []
     for pattern in patterns:
         if not present[pattern.needle[0]]:
             continue
         at = _starts(window, view, pattern.needle, body)
         starts = at + base - pattern.shift
         at, starts = at[starts >= 0], starts[starts >= 0]
-        if not len(at):
-            continue
         rule = PREFILTERS.get(pattern.rule)
-        # A rule reads the candidate's own start, which may lie in an earlier window.
-        local = at - pattern.shift
-        dropped = rule(view, local) if rule is not None and pattern.shift == 0 else np.zeros(len(at), dtype=bool)
-        kept = starts[~dropped]
-        if len(kept):
-            hits.append(pd.DataFrame({"pattern": np.int32(pattern.number), "offset": pd.array(kept, dtype="Int64"), "prefiltered": 0}))
-        if len(kept) < len(starts):
-            count = int(dropped.sum())
-            none = pd.array([None], dtype="Int64")
-            hits.append(pd.DataFrame({"pattern": np.int32(pattern.number), "offset": none, "prefiltered": count}))
-    return hits
+        # A rule reads the candidate's own start, which a shifted magic may put in an earlier window.
+        if rule is not None and pattern.shift == 0 and len(at):
+            kept = starts[~rule(view, at)]
+            yield pattern.number, kept, len(starts) - len(kept)
+        elif len(at):
+            yield pattern.number, starts, 0
 
 
 def _passes(patterns: Sequence[Pattern]) -> list[list[Pattern]]:
@@ -164,10 +156,39 @@ def _passes(patterns: Sequence[Pattern]) -> list[list[Pattern]]:
     return [usable[i : i + PATTERNS_PER_PASS] for i in range(0, len(usable), PATTERNS_PER_PASS)]
 
 
-def _emit(image_id: str, block_no: int, window: bytes, body: int, base: int, passes) -> Iterator[pd.DataFrame]:
-    for group in passes:
-        for hits in scan_window(window, body, base, group):
-            yield hits.assign(image_id=image_id, block_no=block_no)[["image_id", "block_no", "pattern", "offset", "prefiltered"]]
+#: Hits gathered before a result batch is handed over.
+BATCH_HITS = 100_000
+
+
+class _Hits:
+    """Gathers the hits of many windows into few result frames."""
+
+    def __init__(self, passes):
+        self.passes, self.parts, self.size = passes, [], 0
+
+    def add(self, image_id: str, block_no: int, window: bytes, body: int, base: int) -> None:
+        for group in self.passes:
+            for number, offsets, dropped in scan_window(window, body, base, group):
+                self.parts.append((image_id, block_no, number, offsets, dropped))
+                self.size += len(offsets) + 1
+
+    def frame(self) -> pd.DataFrame:
+        found = [p for p in self.parts if len(p[3])]
+        lengths = [len(p[3]) for p in found]
+        hits = pd.DataFrame({
+            "image_id": np.repeat(np.array([p[0] for p in found], dtype=object), lengths),
+            "block_no": np.repeat(np.array([p[1] for p in found], dtype=np.int64), lengths),
+            "pattern": np.repeat(np.array([p[2] for p in found], dtype=np.int32), lengths),
+            "offset": pd.array(np.concatenate([p[3] for p in found]) if found else [], dtype="Int64"),
+            "prefiltered": np.int64(0),
+        })
+        gone = [(p[0], p[1], p[2], p[4]) for p in self.parts if p[4]]
+        self.parts, self.size = [], 0
+        if not gone:
+            return hits
+        counts = pd.DataFrame(gone, columns=["image_id", "block_no", "pattern", "prefiltered"])
+        counts.insert(3, "offset", pd.array([None] * len(gone), dtype="Int64"))
+        return pd.concat([hits, counts], ignore_index=True) if len(hits) else counts
 
 
 def scan_blocks(blocks: DataFrame, patterns: Sequence[Pattern]) -> DataFrame:
@@ -175,10 +196,13 @@ def scan_blocks(blocks: DataFrame, patterns: Sequence[Pattern]) -> DataFrame:
     passes = _passes(patterns)
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hits = _Hits(passes)
         for batch in batches:
             for row in batch.itertuples(index=False):
-                window = bytes(row.bytes) + bytes(row.tail or b"")
-                yield from _emit(row.image_id, row.block_no, window, len(row.bytes), row.offset, passes)
+                hits.add(row.image_id, row.block_no, bytes(row.bytes) + bytes(row.tail or b""), len(row.bytes), row.offset)
+                if hits.size >= BATCH_HITS:
+                    yield hits.frame()
+        yield hits.frame()
 
     return blocks.select("image_id", "block_no", "offset", "bytes", "tail").mapInPandas(scan, HIT_SCHEMA)
 
@@ -189,10 +213,14 @@ def scan_images(index: DataFrame, patterns: Sequence[Pattern]) -> DataFrame:
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         opened = image_opener()
+        hits = _Hits(passes)
         for batch in batches:
             for row in batch.itertuples(index=False):
                 window = opened(row.path).read(row.offset, row.length + row.tail_len)
-                yield from _emit(row.image_id, row.block_no, window, row.length, row.offset, passes)
+                hits.add(row.image_id, row.block_no, window, row.length, row.offset)
+                if hits.size >= BATCH_HITS:
+                    yield hits.frame()
+        yield hits.frame()
 
     placed = index.repartition(shuffle_width(index), "image_id", F.expr("block_no div 8"))
     return placed.select("image_id", "path", "block_no", "offset", "length", "tail_len").mapInPandas(scan, HIT_SCHEMA)
