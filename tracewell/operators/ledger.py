@@ -34,7 +34,8 @@ BLOCK_SCHEMA = T.StructType(
     ]
 )
 
-#: ``verify(message, signature, fingerprint) -> boolean column``, supplied by the caller.
+#: ``verify(message, signature, fingerprint) -> boolean column``, supplied by the caller. An empty
+#: fingerprint means the block names no key, so any trusted key may have signed it.
 VerifyFn = Callable[[Column, Column, Column], Column]
 
 
