@@ -111,23 +111,20 @@ def chain(spark):
     return sorted(rows, key=lambda r: r["block_index"])
 
 
-def _report(spark, rows, keys=("sha256:" + "a" * 64,), verify=_verify, checkpoint=None):
-    blocks = spark.createDataFrame([tuple(r[f.name] for f in lg.BLOCK_SCHEMA) for r in rows], lg.BLOCK_SCHEMA)
+def _reports(spark, chains, keys=("sha256:" + "a" * 64,), verify=_verify, checkpoints=()):
+    """One verdict per named chain, from a single run."""
+    rows = [tuple({**r, "chain_id": name}[f.name] for f in lg.BLOCK_SCHEMA) for name, chain in chains.items() for r in chain]
+    blocks = spark.createDataFrame(rows, lg.BLOCK_SCHEMA)
     trusted = spark.createDataFrame([(k,) for k in keys], "fingerprint string")
-    pins = spark.createDataFrame([checkpoint] if checkpoint else [], "chain_id string, tip_index long, tip_hash string, signature string")
-    return lg.verify_ledger(blocks, trusted, pins, verify).first()
-
-
-def test_sound_chain(spark, chain):
-    r = _report(spark, chain, checkpoint=("c", 4, chain[4]["block_hash"], "s"))
-    assert r.is_valid and r.blocks_verified == 5 and r.checkpoint_warning is None
-    assert _report(spark, chain).checkpoint_warning
+    pins = spark.createDataFrame(list(checkpoints), "chain_id string, tip_index long, tip_hash string, signature string")
+    return {r.chain_id: r for r in lg.verify_ledger(blocks, trusted, pins, verify).collect()}
 
 
 def test_fails_closed(spark, chain):
-    assert _report(spark, chain, keys=()).reason.startswith("UNVERIFIABLE")
-    r = _report(spark, chain, verify=None)
+    assert _reports(spark, {"c": chain}, keys=())["c"].reason.startswith("UNVERIFIABLE")
+    r = _reports(spark, {"c": chain}, verify=None)["c"]
     assert not r.is_valid and r.reason.startswith("UNVERIFIABLE")
+    assert "not in the trusted key set" in _reports(spark, {"c": chain}, keys=("sha256:" + "b" * 64,))["c"].reason
 
 
 def _with(chain, index, **change):
@@ -135,23 +132,27 @@ def _with(chain, index, **change):
 
 
 def test_tampering(spark, chain):
-    cases = [
-        (_with(chain, 2, operator_id="x"), 2, "Data tampering"),
-        (_with(chain, 2, prev_hash="0" * 64), 2, "Hash chain broken"),
-        ([r for r in chain if r["block_index"] != 2], 3, "expected index 2, found 3"),
-        (chain + [chain[1]], 1, "expected index 2, found 1"),
-        (_with(chain, 3, block_signature="forged"), 3, "Block signature tampering"),
-        (_with(chain, 3, block_signature=""), 3, "is unsigned"),
-        (_with(chain, 1, certificate_json="{"), 1, "Malformed"),
-        (_with(chain, 1, certificate_json=chain[1]["certificate_json"].replace('"Lab"', '"Other"')), 1, "organization"),
-        (_with(chain, 1, certificate_json=chain[1]["certificate_json"].replace('"success"', '"partial"')), 1, "Payload tampering"),
-    ]
-    for rows, index, reason in cases:
-        r = _report(spark, rows)
-        assert not r.is_valid and r.broken_block_index == index and reason in r.reason, (reason, r)
-    assert "not in the trusted key set" in _report(spark, chain, keys=("sha256:" + "b" * 64,)).reason
-    assert "truncation" in _report(spark, chain[:3], checkpoint=("c", 4, "", "s")).reason
-    assert "mismatch" in _report(spark, chain, checkpoint=("c", 4, "zz", "s")).reason
+    doc = chain[1]["certificate_json"]
+    cases = {
+        "edit": (_with(chain, 2, operator_id="x"), 2, "Data tampering"),
+        "link": (_with(chain, 2, prev_hash="0" * 64), 2, "Hash chain broken"),
+        "gap": ([r for r in chain if r["block_index"] != 2], 3, "expected index 2, found 3"),
+        "repeat": (chain + [chain[1]], 1, "expected index 2, found 1"),
+        "forged": (_with(chain, 3, block_signature="forged"), 3, "Block signature tampering"),
+        "unsigned": (_with(chain, 3, block_signature=""), 3, "is unsigned"),
+        "malformed": (_with(chain, 1, certificate_json="{"), 1, "Malformed"),
+        "mismatch": (_with(chain, 1, certificate_json=doc.replace('"Lab"', '"Other"')), 1, "organization"),
+        "payload": (_with(chain, 1, certificate_json=doc.replace('"success"', '"partial"')), 1, "Payload tampering"),
+        "truncated": (chain[:3], 2, "truncation"),
+        "replaced": (chain, 4, "mismatch"),
+    }
+    pins = [("truncated", 4, "", "s"), ("replaced", 4, "zz", "s"), ("sound", 4, chain[4]["block_hash"], "s")]
+    chains = {name: rows for name, (rows, _, _) in cases.items()}
+    got = _reports(spark, {**chains, "sound": chain, "unpinned": chain}, checkpoints=pins)
+    for name, (_, index, reason) in cases.items():
+        assert not got[name].is_valid and got[name].broken_block_index == index and reason in got[name].reason, got[name]
+    assert got["sound"].is_valid and got["sound"].blocks_verified == 5 and got["sound"].checkpoint_warning is None
+    assert got["unpinned"].is_valid and got["unpinned"].checkpoint_warning
 
 
 def test_append_continues_an_existing_ledger(spark, chain):

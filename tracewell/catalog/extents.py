@@ -31,10 +31,10 @@ def merge_extents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _searched(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The searched range of every supplier's image: up to the largest part position."""
-    top = table(spark, sf_dir, "part").agg((F.max("p_partkey") * 64 + 63).alias("hi"))
-    return table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("image_id"), F.lit(0).alias("lo")).join(
-        F.broadcast(top)
-    )
+    top = table(spark, sf_dir, "part").agg((F.max("p_partkey") * 64 + 63).alias("hi")).withColumn("one", F.lit(1))
+    images = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("image_id"), F.lit(0).alias("lo"), F.lit(1).alias("one"))
+    # One aggregate row, so the broadcast cannot grow.
+    return images.join(F.broadcast(top), "one").drop("one")
 
 
 _SEARCHED_SQL = "SELECT s_suppkey AS image_id, 0 AS lo, (SELECT max(p_partkey) * 64 + 63 FROM part) AS hi FROM supplier"

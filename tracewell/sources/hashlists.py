@@ -76,22 +76,16 @@ def skip_report(parsed: DataFrame) -> DataFrame:
 
 
 def load_summary(parsed: DataFrame) -> DataFrame:
-    """Lines read, parsed and skipped, distinct digests per algorithm, and the three worst skip reasons."""
-    counts = parsed.agg(
+    """Lines read, parsed and skipped, and distinct digests per algorithm; ``skip_report`` names the reasons."""
+    per_algo = [
+        F.count_distinct(F.when(F.col("algo") == a, F.col("digest"))).alias(f"{a}_digests") for a in ALGORITHMS
+    ]
+    return parsed.agg(
         F.count_if("counted").alias("lines_read"),
         F.count_if(F.col("digest").isNotNull()).alias("lines_parsed"),
         F.count_if(F.col("reason").isNotNull()).alias("lines_skipped"),
+        *per_algo,
     )
-    digests = (
-        parsed.where(F.col("digest").isNotNull())
-        .select("algo", "digest")
-        .distinct()
-        .groupBy("algo")
-        .agg(F.count("*").alias("n"))
-        .agg(F.sort_array(F.collect_list(F.struct("algo", "n"))).alias("digests"))
-    )
-    worst = skip_report(parsed).limit(3).agg(F.collect_list(F.struct("n", "reason")).alias("worst"))
-    return counts.crossJoin(digests).crossJoin(worst)
 
 
 def known_from_lines(parsed: DataFrame, algorithms: Sequence[str] | None = None) -> DataFrame:
