@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tracewell.functions import scoring
 from tracewell.functions.entropy import sample_entropy
+from tracewell.functions.provenance import provenance
 from tracewell.functions.structure import validate_structure
 from tracewell.operators import payloads as pay
 from tracewell.operators.boundaries import HEAD_BYTES, MARKERS, resolve_boundaries
@@ -19,7 +20,7 @@ from tracewell.operators.scan import Pattern, prefiltered_counts, scan_images, s
 from tracewell.plans.prefix import Running, running, union_all
 from tracewell.session import cut_lineage
 from tracewell.sources.images import BLOCK, OVERLAP, block_index, read_ranges
-from tracewell.sources.signatures import signature_table
+from tracewell.sources.signatures import signature_table, sniff
 
 #: Pattern numbers of marker and terminator searches, far above any signature's.
 MARKER_BASE, FOOTER_BASE = 1_000_000, 2_000_000
@@ -246,3 +247,44 @@ def carve(
         recovered.select("image_id", F.col("offset").alias("start"), (F.col("offset") + F.col("size_bytes") - 1).alias("end"))
     )
     return CarveResult(recovered, rejected, summary, extents)
+
+
+def structure_payloads(files: DataFrame, spans: DataFrame, images: DataFrame, signatures: DataFrame | None = None) -> DataFrame:
+    """Deleted files with their bytes: resident content, or their spans read and joined in file order.
+
+    A file is at most as large as the limit its spans were cut to, so joining its pieces is bounded.
+    Sparse pieces read as zeros. The payload is named by what it contains when it has no extension.
+    """
+    signatures = signature_table(images.sparkSession) if signatures is None else signatures
+    paths = images.select("image_id", "path")
+    placed = spans.where(~F.col("is_sparse")).join(paths, "image_id")
+    pieces = read_ranges(placed.select("image_id", "record_num", "file_offset", "path", "offset", "length"), "piece").select(
+        "image_id", "record_num", "file_offset", "piece"
+    )
+    holes = spans.where("is_sparse").select(
+        "image_id", "record_num", "file_offset", F.unhex(F.repeat(F.lit("00"), F.col("length").cast("int"))).alias("piece")
+    )
+    joined = F.aggregate(
+        F.array_sort(F.collect_list(F.struct("file_offset", "piece"))), F.unhex(F.lit("")), lambda acc, p: F.concat(acc, p["piece"])
+    )
+    assembled = pieces.unionByName(holes).groupBy("image_id", "record_num").agg(joined.alias("__body"))
+    whole = files.join(assembled, ["image_id", "record_num"], "left").withColumn("payload", F.coalesce("resident_data", "__body"))
+    named = sniff(whole.where(F.octet_length("payload") > 0), signatures)
+    suffix = F.lower(F.regexp_extract("name", r"\.([A-Za-z0-9]{1,8})$", 1))
+    return named.select(
+        "image_id", "record_num", F.col("name").alias("original_name"), F.col("path").alias("original_path"),
+        F.coalesce(F.nullif(suffix, F.lit("")), "sniffed.extension", F.lit("bin")).alias("extension"),
+        F.coalesce("sniffed.category", F.lit("custom")).alias("category"), F.col("first_data_offset").alias("offset"),
+        F.octet_length("payload").cast("long").alias("size_bytes"), F.sha2("payload", 256).alias("sha256"), "fragment_count",
+        (F.col("fragment_count") > 1).alias("is_fragmented"), F.col("mft_changed").alias("deleted_at"),
+        provenance(F.lit("ntfs"), F.col("path")).alias("provenance"), F.lit("filesystem_metadata").alias("boundary_method"),
+        F.lit("filesystem_structure").alias("recovery_method"), "payload",
+    )
+
+
+def combine_recoveries(structure: DataFrame, signature: DataFrame) -> DataFrame:
+    """Structure recoveries first, then signature recoveries that do not repeat a payload."""
+    staged = union_all(
+        [structure.withColumn("stage_no", F.lit(0)).withColumn("ord", F.col("record_num").cast("long")), signature.withColumn("stage_no", F.lit(1))]
+    )
+    return pay.dedupe_payloads(staged, ["image_id"], "sha256", ["stage_no", "ord"])

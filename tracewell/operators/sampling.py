@@ -165,3 +165,25 @@ def bad_sector_rollup(bad: DataFrame, keys: Sequence[str] = ("image_id",), secto
     )
 
 
+
+
+def verify_medium(
+    images: DataFrame, pattern: str, count: int = 64, sample_bytes: int = 4096, seed: int = 0, pre: DataFrame | None = None
+) -> DataFrame:
+    """Sample, read back and judge media ``(image_id, path, size, sector_size)`` erased with one pattern.
+
+    ``pre`` holds samples ``(image_id, offset, pre)`` taken before; their offsets are then read again.
+    """
+    from tracewell.sources.images import read_ranges
+
+    media = images.withColumn("capacity", F.col("size"))
+    offsets = sample_offsets(media, count, seed) if pre is None else pre.select("image_id", "offset")
+    ranges = offsets.join(media, "image_id").withColumn(
+        "length", F.least(F.lit(sample_bytes).cast("long"), F.col("capacity") - F.col("offset"))
+    )
+    read = read_ranges(ranges, "post", error="error").withColumn("pattern", F.lit(pattern))
+    if pre is None:
+        read = read.withColumn("pre", F.lit(None).cast("binary"))
+    else:
+        read = read.join(pre, ["image_id", "offset"], "left")
+    return verify_samples(read, sample_bytes=sample_bytes)

@@ -220,3 +220,9 @@ def log_summary(log_blocks: DataFrame, keys: Sequence[str] = ("image_id",)) -> D
     return joined.select(
         *keys, "blocks_read", "checksum_failures", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in counts]
     )
+
+
+def journal_timeline(usn: DataFrame, metadata_names: DataFrame, keys: Sequence[str] = ("volume_id",)) -> tuple[DataFrame, DataFrame]:
+    """``(rows, summary)``: the ordered timeline of named objects with corroboration, and its counts."""
+    folded = fold_timeline(usn, keys)
+    return order_timeline(corroborate(folded, metadata_names, keys)), summarize(folded, keys)
