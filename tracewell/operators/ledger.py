@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from tracewell.functions.canonical import MAX_EXACT, block_hash, canonical_payload, json_quote, payload_sha256
 from tracewell.operators.certificates import validate_certificates
-from tracewell.session import shuffle_width
+from tracewell.session import cut_lineage, shuffle_width
 
 # The genesis link and marker, and the fingerprint of the public demonstration key.
 GENESIS_PREV = "0" * 64
@@ -136,100 +136,104 @@ def _number(prefix: str, rest: str | Column) -> Column:
     return F.concat(F.lit(prefix), F.col("block_index").cast("string"), tail)
 
 
-def block_failures(blocks: DataFrame, keys: DataFrame, verify: VerifyFn | None = None) -> DataFrame:
-    """Every block with ``failure``: the first check it fails in audit order, else null.
+def _row_verdicts(blocks: DataFrame, verify: VerifyFn | None) -> DataFrame:
+    """What each block says about itself, reduced to a narrow row before anything is shuffled.
 
-    Order: gap, link, hash, key trust, block signature, missing signature, row/document mismatch,
-    document structure, payload hash, document signature. A gap's expected index is filled in per
-    chain by :func:`verify_ledger`.
+    ``hash_problem`` is the recomputed-hash check, ``late_problem`` everything between key trust and
+    the document's own signature, ``signature_problem`` that signature.
     """
-    linked = trust(crosscheck(link_ledger(blocks)), keys)
-    checked = validate_certificates(linked).withColumn("__payload", canonical_payload("certificate_json"))
-    # Everything a check looks at more than once becomes a column first.
-    checked = checked.select(
+    rows = validate_certificates(crosscheck(blocks)).select(
         "*",
+        canonical_payload("certificate_json").alias("__payload"),
         block_hash().alias("__computed"),
+        F.coalesce(_member("$.signature.public_key_fingerprint"), F.lit("")).alias("claimed_fp"),
         F.coalesce(_member("$.signature.signature_base64url"), F.lit("")).alias("__doc_signature"),
-        F.replace(payload_sha256(F.col("__payload.text")), F.lit("sha256:"), F.lit("")).alias("__payload_hash"),
         F.coalesce(_member("$.signature.signed_payload_hash"), F.lit("")).alias("__stated"),
-        F.array_contains("errors", "certificate is not valid JSON").alias("__malformed"),
-    )
+    ).withColumn("__payload_hash", F.replace(payload_sha256(F.col("__payload.text")), F.lit("sha256:"), F.lit("")))
     genesis = F.col("operation_type") == "GENESIS"
     has_doc = F.coalesce(F.col("certificate_json") != "", F.lit(False)) & ~genesis
     signature = F.coalesce(F.col("block_signature"), F.lit(""))
     signed = ~genesis & (signature != "") & (signature != GENESIS_SIGNATURE)
-    computed, doc_signature = F.col("__computed"), F.col("__doc_signature")
-    malformed = has_doc & F.coalesce(F.col("__malformed"), F.lit(True))
-    payload_hash, stated_hash = F.col("__payload_hash"), F.col("__stated")
-
-    untrusted = _number(
-        "Block #",
-        F.concat(F.lit(" was signed with key fingerprint '"), F.col("claimed_fp"), F.lit("' which is not in the trusted key set.")),
-    )
-    hash_differs = _number(
-        "Data tampering detected in block #",
-        F.concat(F.lit(": recomputed hash "), F.coalesce(computed, F.lit("none")), F.lit(" != stored hash "), F.col("block_hash"), F.lit(".")),
-    )
-    failure = (
-        F.when(F.col("has_gap"), F.lit("gap"))
-        .when(
-            ~F.col("prev_hash").eqNullSafe(F.col("expected_prev")),
-            _number("Hash chain broken at block #", ": prev_hash does not match previous block hash."),
-        )
-        .when(~computed.eqNullSafe(F.col("block_hash")), hash_differs)
-        .when(signed & ~F.col("key_trusted"), untrusted)
-    )
-    if verify is not None:
-        failure = failure.when(
-            signed & ~F.coalesce(verify(F.col("block_hash"), signature, F.col("claimed_fp")), F.lit(False)),
-            _number(
-                "Block signature tampering detected in block #",
-                ": block_signature does not match block_hash under trusted public keys.",
-            ),
-        )
-    failure = (
-        failure.when(
-            has_doc & ~signed & (doc_signature != ""),
+    computed, payload_hash = F.col("__computed"), F.col("__payload_hash")
+    late = [
+        (
+            has_doc & ~signed & (F.col("__doc_signature") != ""),
             _number("Block #", " is unsigned: missing required Ed25519 block_signature for signed certificate."),
-        )
-        .when(malformed, _number("Malformed certificate in block #", ": not valid JSON"))
-        .when(
+        ),
+        (has_doc & F.array_contains("errors", "certificate is not valid JSON"), _number("Malformed certificate in block #", ": not valid JSON")),
+        (
             has_doc & F.col("row_mismatch").isNotNull(),
             _number("Ledger row and certificate mismatch in block #", F.concat(F.lit(": "), F.col("row_mismatch"))),
-        )
-        .when(
+        ),
+        (
             has_doc & (F.size("errors") > 0),
             _number("Invalid certificate structure in block #", F.concat(F.lit(": "), F.array_join("errors", "; "))),
-        )
-        .when(
+        ),
+        (
             has_doc & F.col("__payload.error").isNotNull(),
             _number("Malformed certificate in block #", F.concat(F.lit(": "), F.col("__payload.error"))),
-        )
-        .when(
+        ),
+        (
             has_doc & ~F.col("payload_hash").eqNullSafe(payload_hash),
             _number(
                 "Payload tampering detected in block #",
                 F.concat(F.lit(": recomputed "), payload_hash, F.lit(" != stored "), F.coalesce("payload_hash", F.lit("None"))),
             ),
+        ),
+    ]
+    own = [
+        (
+            has_doc & (F.col("__stated") != "") & (F.replace(F.col("__stated"), F.lit("sha256:"), F.lit("")) != payload_hash),
+            _number("Certificate signature invalid in block #", ": signed_payload_hash mismatch"),
         )
+    ]
+    if verify is not None:
+        block_ok = F.coalesce(verify(F.col("block_hash"), signature, F.col("claimed_fp")), F.lit(False))
+        doc_ok = F.coalesce(verify(F.col("__payload.text"), F.col("__doc_signature"), F.col("claimed_fp")), F.lit(False))
+        forged = "Block signature tampering detected in block #"
+        late.insert(0, (signed & ~block_ok, _number(forged, ": block_signature does not match block_hash under trusted public keys.")))
+        own.insert(0, (has_doc & ~doc_ok, _number("Certificate signature invalid in block #", ": signature does NOT match payload")))
+    hash_differs = _number(
+        "Data tampering detected in block #",
+        F.concat(F.lit(": recomputed hash "), F.coalesce(computed, F.lit("none")), F.lit(" != stored hash "), F.col("block_hash"), F.lit(".")),
+    )
+    return rows.select(
+        "chain_id", "block_index", "prev_hash", "block_hash", "claimed_fp", signed.alias("__signed"), has_doc.alias("__has_doc"),
+        F.when(~computed.eqNullSafe(F.col("block_hash")), hash_differs).alias("hash_problem"),
+        F.coalesce(*[F.when(bad, why) for bad, why in late]).alias("late_problem"),
+        F.coalesce(*[F.when(bad, why) for bad, why in own]).alias("signature_problem"),
+    )
+
+
+def block_failures(blocks: DataFrame, keys: DataFrame, verify: VerifyFn | None = None) -> DataFrame:
+    """``(chain_id, block_index, block_hash, claimed_fp, failure)``: the first check each block fails, or null.
+
+    Order: gap, link, hash, key trust, block signature, missing signature, row/document mismatch,
+    document structure, payload hash, document signature. A gap's expected index is filled in per
+    chain by :func:`verify_ledger`. Documents are examined where the blocks are read; only digests
+    and verdicts are shuffled for the link and trust joins.
+    """
+    rows = link_ledger(_row_verdicts(blocks, verify))
+    trusted = keys.select(F.col("fingerprint").alias("claimed_fp"), F.lit(True).alias("__t")).distinct()
+    rows = rows.join(trusted, "claimed_fp", "left")
+    untrusted = ~F.coalesce("__t", F.lit(False)) & (F.col("claimed_fp") != "")
+    key_text = F.concat(F.lit(" was signed with key fingerprint '"), F.col("claimed_fp"), F.lit("' which is not in the trusted key set."))
+    failure = (
+        F.when(F.col("has_gap"), F.lit("gap"))
         .when(
-            has_doc & ~F.col("key_trusted"),
-            _number(
-                "Certificate signature invalid in block #",
-                F.concat(F.lit(": unknown issuer key fingerprint "), F.col("claimed_fp")),
-            ),
+            ~F.col("prev_hash").eqNullSafe(F.col("expected_prev")),
+            _number("Hash chain broken at block #", ": prev_hash does not match previous block hash."),
         )
-    )
-    if verify is not None:
-        failure = failure.when(
-            has_doc & ~F.coalesce(verify(F.col("__payload.text"), doc_signature, F.col("claimed_fp")), F.lit(False)),
-            _number("Certificate signature invalid in block #", ": signature does NOT match payload"),
+        .when(F.col("hash_problem").isNotNull(), F.col("hash_problem"))
+        .when(F.col("__signed") & untrusted, _number("Block #", key_text))
+        .when(F.col("late_problem").isNotNull(), F.col("late_problem"))
+        .when(
+            F.col("__has_doc") & untrusted,
+            _number("Certificate signature invalid in block #", F.concat(F.lit(": unknown issuer key fingerprint "), F.col("claimed_fp"))),
         )
-    failure = failure.when(
-        has_doc & (stated_hash != "") & (F.replace(stated_hash, F.lit("sha256:"), F.lit("")) != payload_hash),
-        _number("Certificate signature invalid in block #", ": signed_payload_hash mismatch"),
+        .otherwise(F.col("signature_problem"))
     )
-    return checked.withColumn("failure", failure).select(*blocks.columns, "claimed_fp", "failure")
+    return rows.select("chain_id", "block_index", "block_hash", "claimed_fp", failure.alias("failure"))
 
 
 def chain_tips(blocks: DataFrame) -> DataFrame:
@@ -247,6 +251,7 @@ def verify_ledger(
     valid: it is UNVERIFIABLE. Blocks before the first failure count as verified.
     """
     failures = block_failures(blocks, keys, verify)
+    # One row per chain, read twice below; the block checks behind it must run once.
     per_chain = failures.groupBy("chain_id").agg(
         F.count("*").alias("blocks"),
         F.min(F.when(F.col("failure").isNotNull(), F.struct(F.col("block_index").alias("at"), "failure"))).alias("first"),
@@ -254,7 +259,7 @@ def verify_ledger(
         F.max_by("block_hash", "block_index").alias("tip_hash"),
         F.bool_or(F.col("claimed_fp") == DEMO_FINGERPRINT).alias("is_demo_signed"),
     )
-    checked = checkpoint_check(per_chain, checkpoints)
+    checked = checkpoint_check(cut_lineage(per_chain), checkpoints)
     # Blocks in front of the first failure are contiguous from 0, so a gap's expected index is the
     # number of distinct indexes below it (or one more, when the block repeats an index).
     gaps = checked.where(F.col("first.failure") == "gap").select("chain_id", F.col("first.at").alias("__at"))
