@@ -19,7 +19,7 @@ ORDER_BUCKET = 1 << 20
 
 @dataclass(frozen=True)
 class Policy:
-    """Limits of one session; the defaults are the reference values of a stand-alone run."""
+    """Limits of one session; the defaults suit a stand-alone run."""
 
     max_output_bytes: int = 256 * MB
     max_file_bytes: int = 128 * MB
