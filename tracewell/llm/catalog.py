@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewell.catalog.common import table
-from tracewell.llm import bpe, decontaminate, line_dedup, secrets, toxicity
+from tracewell.llm import bpe, decontaminate, langid, line_dedup, secrets, toxicity
 
 _AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 _BLANK = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -31,6 +31,12 @@ FROM s GROUP BY doc_id
 """
 
 
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = langid.predict(docs, langid.fit(docs.where(fold(4) != 2)), ["doc_id"])
+    return found.select("doc_id", (fold(4) == 2).alias("held_out"), "lang_pred", "score")
+
+
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_report(table(spark, sf_dir, "documents"))
 
@@ -135,6 +141,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe": op2_bpe,
     "op5_decontaminate": op5_decontaminate,
     "op6_line_dedup": op6_line_dedup,
+    "op7_language": op7_language,
     "op9_secrets": op9_secrets,
 }
 SQL: dict[str, str] = {"op5_decontaminate": OP5_SQL, "op6_line_dedup": OP6_SQL, "op9_secrets": OP9_SQL}
