@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewell.catalog.common import table
-from tracewell.llm import bpe, decontaminate, embedding_dedup, jaccard_join, langid, line_dedup, quality, secrets, toxicity
+from tracewell.llm import bpe, decontaminate, embedding_dedup, jaccard_join, langid, line_dedup, quality, secrets, toxicity, warc
 
 _AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 _BLANK = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -119,6 +119,44 @@ def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.link_documents(table(spark, sf_dir, "documents"), n=4, threshold=85)
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc.derive(warc.page_responses(table(spark, sf_dir, "pages")))
+    return records.select("warc_type", "record_id", "refers_to", "target_uri", "header", "content_length", "block_digest")
+
+
+def _urn_sql(seed: str) -> str:
+    h = f"sha256({seed})"
+    parts = " || '-' || ".join(f"substr({h}, {a}, {n})" for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12)))
+    return f"'<urn:uuid:' || {parts} || '>'"
+
+
+_CRLF = "chr(13) || chr(10)"
+OP4_SQL = f"""
+WITH p AS (SELECT {_urn_sql("concat_ws('|', 'response', CAST(page_id AS VARCHAR), url)")} AS src, url, coalesce(html, '') AS html,
+  'HTTP/1.1 200 OK' || {_CRLF} || 'Content-Type: text/html; charset=utf-8' || {_CRLF} || 'Content-Length: ' || octet_length(encode(coalesce(html, ''))) || {_CRLF} || {_CRLF} AS http FROM pages),
+t1 AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(html, '(?s)<!--.*?(-->|\\z)', '', 'g'),
+  '(?is)<script([ \\t\\r\\n][^>]*)?>.*?(</script[ \\t\\r\\n]*>|\\z)', '', 'g'), '(?is)<style([ \\t\\r\\n][^>]*)?>.*?(</style[ \\t\\r\\n]*>|\\z)', '', 'g') AS a FROM p),
+t2 AS (SELECT *, regexp_replace(regexp_replace(a, '(?i)</?(p|div|br|hr|li|ul|ol|dl|dt|dd|h[1-6]|tr|td|th|table|article|section|header|footer|nav|main|aside|title|head|body|html|blockquote|pre)([ \\t\\r\\n/][^>]*)?>', chr(10), 'g'),
+  '<[a-zA-Z/!?][^>]*>', '', 'g') AS b FROM t1),
+t3 AS (SELECT *, replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(b, '&nbsp;', ' '),
+  '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&apos;', chr(39)), '&middot;', chr(183)), '&copy;', chr(169)), '&reg;', chr(174)), '&hellip;', chr(8230)),
+  '&ndash;', chr(8211)), '&mdash;', chr(8212)), '&lsquo;', chr(8216)), '&rsquo;', chr(8217)), '&ldquo;', chr(8220)), '&rdquo;', chr(8221)), '&amp;', '&') AS c FROM t2),
+t4 AS (SELECT *, trim(regexp_replace(regexp_replace(c, '[ \\t\\r\\f]+', ' ', 'g'), ' ?\\n[ \\n]*', chr(10), 'g'), ' ' || chr(10)) AS txt,
+  {_urn_sql("'conversion|' || src")} AS cid, {_urn_sql("'metadata|' || src")} AS mid FROM t3),
+r AS (SELECT 'conversion' AS warc_type, cid AS record_id, src AS refers_to, url AS target_uri, 'text/plain; charset=utf-8' AS kind, txt AS block FROM t4
+UNION ALL SELECT 'metadata', mid, src, url, 'application/warc-fields',
+  'source-record-id: ' || src || {_CRLF} || 'source-block-digest: sha256:' || sha256(http || html) || {_CRLF} || 'source-payload-digest: sha256:' || sha256(html) || {_CRLF}
+  || 'source-http-status: HTTP/1.1 200 OK' || {_CRLF} || 'source-http-header: Content-Type: text/html; charset=utf-8' || {_CRLF}
+  || 'source-http-header: Content-Length: ' || octet_length(encode(html)) || {_CRLF} || 'conversion-record-id: ' || cid || {_CRLF}
+  || coalesce(array_to_string(list_transform(regexp_extract_all(html, '(?i)<a[ \\t\\r\\n][^>]*?href="([^"]*)"', 1), lambda x: 'outlink: ' || regexp_replace(x, '[\\r\\n]', '', 'g') || {_CRLF}), ''), '') FROM t4)
+SELECT warc_type, record_id, refers_to, target_uri, octet_length(encode(block)) AS content_length, 'sha256:' || sha256(block) AS block_digest,
+  concat_ws({_CRLF}, 'WARC/1.1', 'WARC-Type: ' || warc_type, 'WARC-Record-ID: ' || record_id, 'WARC-Refers-To: ' || refers_to,
+    'WARC-Target-URI: ' || regexp_replace(target_uri, '[\\r\\n]', '', 'g'), 'WARC-Date: 2020-01-01T00:00:00Z', 'WARC-Block-Digest: sha256:' || sha256(block), 'Content-Type: ' || kind,
+    'Content-Length: ' || octet_length(encode(block))) AS header
+FROM r
+"""
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep=["doc_id"])
     return found.select(
@@ -155,6 +193,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_bpe": op2_bpe,
     "op3_jaccard_join": op3_jaccard_join,
+    "op4_warc": op4_warc,
     "op5_decontaminate": op5_decontaminate,
     "op6_line_dedup": op6_line_dedup,
     "op7_language": op7_language,
@@ -162,4 +201,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_secrets": op9_secrets,
     "op10_embedding_dedup": op10_embedding_dedup,
 }
-SQL: dict[str, str] = {"op5_decontaminate": OP5_SQL, "op6_line_dedup": OP6_SQL, "op9_secrets": OP9_SQL}
+SQL: dict[str, str] = {"op4_warc": OP4_SQL, "op5_decontaminate": OP5_SQL, "op6_line_dedup": OP6_SQL, "op9_secrets": OP9_SQL}
