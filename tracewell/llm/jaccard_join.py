@@ -141,6 +141,8 @@ def _blocks(batches: Iterator[pa.RecordBatch], n: int, threshold: int, buckets:
             found, sizes = found[np.repeat(once, sizes)], sizes[once]
             ids = part.column("doc_id").to_numpy(zero_copy_only=False)[once]
             sets, signed = signatures(found, sizes, threshold)
+            if not len(sets):
+                continue
             bucket = (signed >> U64(20)) % U64(buckets)
             order = np.lexsort((sets, bucket))
             sets, signed, bucket = sets[order], signed[order], bucket[order]
