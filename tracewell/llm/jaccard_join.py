@@ -29,6 +29,12 @@ N = 5
 THRESHOLD = 80
 #: Partitions of the domain that are tried before empty parts are signed.
 LEVELS = 3
+#: Bytes of text in one step of a task.
+STEP = 4 << 20
+#: Rows of ids that are broadcast: at most some tens of megabytes.
+BROADCAST = 1_000_000
+#: Pairs of one document that meet in one task.
+FAN = 256
 #: Signatures of one bucket.
 BUCKET = 2_000_000
 
@@ -127,12 +133,12 @@ def _digests(column: pa.Array, n: int) -> list[pa.Array]:
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], n: int, threshold: int, buckets: int) -> Iterator[pa.RecordBatch]:
-    """(bucket, block): signatures in runs of a document, then the documents, then the lengths of the runs.
+    """(bucket, block): the documents of a bucket, how many signatures each has there, and 48 bits of each signature.
 
-    Of documents of one set that a task meets in one step only the first signs: their links are known.
+    The other 16 bits chose the bucket. Of documents of one set that a task meets in one step only the first signs: their links are known.
     """
     for batch in batches:
-        for part in slices(batch):
+        for part in slices(batch, size=STEP):
             found, sizes = shingle_sets(part.column("text"), n)
             owner = np.repeat(np.arange(len(sizes)), sizes)
             _, first = np.unique(_sums(owner, mix(found), len(sizes)), return_index=True)
@@ -143,27 +149,47 @@ def _blocks(batches: Iterator[pa.RecordBatch], n: int, threshold: int, buckets:
             sets, signed = signatures(found, sizes, threshold)
             if not len(sets):
                 continue
-            bucket = (signed >> U64(20)) % U64(buckets)
+            bucket = (signed & U64(0xFFFFFF)) % U64(buckets)
             order = np.lexsort((sets, bucket))
             sets, signed, bucket = sets[order], signed[order], bucket[order]
             names, starts = np.unique(bucket, return_index=True)
             made = []
             for a, b in zip(starts, [*starts[1:], len(bucket)], strict=True):
                 docs, runs = np.unique(sets[a:b], return_counts=True)
-                made.append(b"".join([np.int64(len(docs)).tobytes(), ids[docs].tobytes(), runs.astype(np.int32).tobytes(), signed[a:b].tobytes()]))
+                made.append(_packed(ids[docs], runs, signed[a:b] >> U64(16)))
             yield pa.RecordBatch.from_arrays([pa.array(names.astype(np.int64)), pa.array(made, pa.binary())], names=["bucket", "block"])
 
 
+def _packed(ids: np.ndarray, runs: np.ndarray, signed: np.ndarray) -> bytes:
+    """Ids as distances from the least, in the narrowest types that hold them, and 48-bit signatures."""
+    base = int(ids.min())
+    away = ids.astype(U64) - np.int64(base).astype(U64)
+    types = [np.min_scalar_type(int(x.max())).str.encode().ljust(4) for x in (away, runs)]
+    head = np.array([len(ids), base], np.int64).tobytes() + b"".join(types)
+    return b"".join([
+        head, away.astype(types[0].decode().strip()).tobytes(), runs.astype(types[1].decode().strip()).tobytes(),
+        (signed >> U64(16)).astype(np.uint32).tobytes(), signed.astype(np.uint16).tobytes(),
+    ])
+
+
+def _unpacked(raw: pa.Buffer) -> tuple[np.ndarray, np.ndarray]:
+    """(document, signature) of one block."""
+    n, base = np.frombuffer(raw, np.int64, 2).tolist()
+    head = bytes(raw[16:24])
+    at, parts = 24, []
+    for kind in (head[:4], head[4:]):
+        parts.append(np.frombuffer(raw, kind.decode().strip(), n, at))
+        at += parts[-1].nbytes
+    ids, runs = (parts[0].astype(U64) + np.int64(base).astype(U64)).view(np.int64), parts[1].astype(np.int64)
+    total = int(runs.sum())
+    high, low = np.frombuffer(raw, np.uint32, total, at), np.frombuffer(raw, np.uint16, total, at + 4 * total)
+    return np.repeat(ids, runs), high.astype(U64) << U64(16) | low
+
+
 def _shared(table: pa.Table) -> pa.Table:
     """(g, doc_id) of one bucket: the documents of every signature that several share. g hashes the documents, so
     signatures of the same documents count once."""
-    docs, signed = [], []
-    for block in table.column("block"):
-        raw = block.as_buffer()
-        n = int(np.frombuffer(raw, np.int64, 1)[0])
-        ids, runs = np.frombuffer(raw, np.int64, n, 8), np.frombuffer(raw, np.int32, n, 8 + 8 * n)
-        docs.append(np.repeat(ids, runs))
-        signed.append(np.frombuffer(raw, U64, int(runs.sum()), 8 + 12 * n))
+    docs, signed = zip(*(_unpacked(block.as_buffer()) for block in table.column("block")), strict=True)
     docs, signed = np.concatenate(docs), np.concatenate(signed)
     order = np.argsort(signed, kind="stable")
     docs, signed = docs[order], signed[order]
@@ -185,7 +211,7 @@ def shared_signatures(docs: DataFrame, sets: DataFrame, n: int, threshold: int)
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
     # A set of size s has about 2 (1 - J) / (1 + J) s signatures in either instance.
     total = sets.agg(F.sum("n_shingles")).first()[0] or 0
-    buckets = max(4 * width, int(total * 5 * (100 - threshold) / (100 + threshold)) // BUCKET)
+    buckets = max(width, int(total * 5 * (100 - threshold) / (100 + threshold)) // BUCKET)
     blocks = docs.select("doc_id", "text").mapInArrow(partial(_blocks, n=n, threshold=threshold, buckets=buckets), "bucket long, block binary")
     found = blocks.groupBy("bucket").applyInArrow(_shared, "g long, doc_id long")
     return found.dropDuplicates(["g", "doc_id"])
@@ -200,14 +226,34 @@ def _common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("a", "b", "n_x", "n_y")], pa.array(both[0])], names=["a", "b", "n_x", "n_y", "both"])
 
 
-def _linked(pairs: DataFrame, packed: DataFrame, threshold: int) -> DataFrame:
-    """The pairs (a, b) whose sets are at least as similar as ``threshold`` hundredths. Few pairs meet in one document,
-    except in a hub: ``a`` is salted by ``b``."""
-    x = packed.select(F.col("doc_id").alias("b"), F.col("packed").alias("y"), F.col("n_shingles").alias("n_y"))
-    hub = packed.select(F.col("doc_id").alias("a"), F.col("packed").alias("x"), F.col("n_shingles").alias("n_x"))
-    hubs = hub.join(pairs.select("a").distinct(), "a", "left_semi")
-    rows = lookup(pairs.join(x, "b"), hubs, ["a"], F.xxhash64("b"))
-    # Sizes alone rule out most pairs that cannot link.
+def _near(df: DataFrame) -> DataFrame:
+    """``df``, broadcast if it has at most ``BROADCAST`` rows, which are narrow; a shuffled join takes the others."""
+    return F.broadcast(df) if df.count() <= BROADCAST else df
+
+
+def _linked(pairs: DataFrame, docs: DataFrame, n: int, threshold: int) -> DataFrame:
+    """The pairs (a, b) whose sets are at least as similar as ``threshold`` hundredths.
+
+    Only texts that a pair names are read into sets. A set travels once per pair as ``b``; as ``a`` it travels once for
+    every ``FAN`` pairs it has, so a hub's pairs are dealt over many tasks.
+    """
+
+    def pack(column: pa.Array) -> list[pa.Array]:
+        found, sizes = shingle_sets(column, n)
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        return [pa.array(sizes, pa.int64()), pa.array([found[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary())]
+
+    asked = materialise(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
+    texts = docs.join(_near(asked), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    sets = materialise(map_text(texts, pack, "n_shingles long, packed binary", ["doc_id"], size=STEP))
+    fans = materialise(pairs.groupBy("a").agg(F.ceil(F.count("*") / FAN).cast("int").alias("fan")))
+    dealt = lookup(pairs, fans, ["a"], F.xxhash64("b")).withColumn("part", F.pmod(F.xxhash64("b", F.lit(1)), F.col("fan")).cast("int"))
+    dealt = materialise(dealt.select("a", "b", "part"))
+    y = sets.select(F.col("doc_id").alias("b"), F.col("packed").alias("y"), F.col("n_shingles").alias("n_y"))
+    x = sets.select(F.col("doc_id").alias("a"), F.col("packed").alias("x"), F.col("n_shingles").alias("n_x"))
+    x = x.join(_near(fans), "a").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("fan") - 1))).drop("fan")
+    rows = y.join(_near(dealt), "b").join(x, ["a", "part"])
+    # Sizes alone rule out many pairs.
     rows = rows.where(F.least("n_x", "n_y") * 100 >= F.greatest("n_x", "n_y") * threshold)
     counted = rows.select("a", "b", "n_x", "n_y", "x", "y").mapInArrow(_common, "a long, b long, n_x long, n_y long, both long")
     return counted.where(F.col("both") * 100 >= (F.col("n_x") + F.col("n_y") - F.col("both")) * threshold).select("a", "b")
@@ -223,7 +269,7 @@ def link_documents(docs: DataFrame, n: int = N, threshold: int = THRESHOLD) -> D
     """
     docs = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sets = materialise(
-        map_text(docs, partial(_digests, n=n), "n_shingles long, d1 long, d2 long", ["doc_id"]).dropDuplicates(["doc_id"])
+        map_text(docs, partial(_digests, n=n), "n_shingles long, d1 long, d2 long", ["doc_id"], size=STEP).dropDuplicates(["doc_id"])
     )
     # Documents of equal sets are one class; its smallest doc_id stands for it.
     classes = sets.where("n_shingles > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")).where("n > 1")
@@ -233,21 +279,12 @@ def link_documents(docs: DataFrame, n: int = N, threshold: int = THRESHOLD) -> D
     members = shared.select("g", F.coalesce("rep", "doc_id").alias("doc")).distinct()
     several = members.groupBy("g").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high")
     members = materialise(members.join(several.select("g", F.col("low").alias("center")), "g"))
-    asked = members.select(F.col("doc").alias("doc_id")).distinct()
-    texts = docs.join(asked, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-
-    def pack(column: pa.Array) -> list[pa.Array]:
-        found, sizes = shingle_sets(column, n)
-        ends = np.concatenate([[0], np.cumsum(sizes)])
-        return [pa.array(sizes, pa.int64()), pa.array([found[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary())]
-
-    packed = materialise(map_text(texts, pack, "n_shingles long, packed binary", ["doc_id"]))
     links = copies.select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     # Round 1: every document with the partner that most signatures name.
     stars = members.where("doc <> center").groupBy("doc", "center").agg(F.count("*").alias("n"))
     best = stars.groupBy("doc").agg(F.max_by("center", F.struct("n", "center")).alias("center"))
     checked = materialise(best.select(F.col("center").alias("a"), F.col("doc").alias("b")))
-    links = materialise(links.unionByName(_linked(checked, packed, threshold)))
+    links = materialise(links.unionByName(_linked(checked, docs, n, threshold)))
     labels = components(links)
     # Round 2: the other stars that cross components. Round 3: whatever crosses components.
     for pairs in (_stars, _crossing):
@@ -255,7 +292,7 @@ def link_documents(docs: DataFrame, n: int = N, threshold: int = THRESHOLD) -> D
         crossing = materialise(pairs(rows).join(checked, ["a", "b"], "left_anti"))
         if crossing.isEmpty():
             continue
-        new = materialise(_linked(crossing, packed, threshold))
+        new = materialise(_linked(crossing, docs, n, threshold))
         checked = checked.unionByName(crossing)
         if not new.isEmpty():
             links = links.unionByName(new)
