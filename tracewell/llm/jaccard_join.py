@@ -7,8 +7,11 @@ link share one. Parts empty in both sets would be shared by strangers: sets with
 third partition of the domain too, and only in the last are empty parts signed.
 
 Signatures travel as packed blocks, one per task and bucket. A bucket returns its signatures that several documents
-share. Candidate pairs are checked exactly, in rounds: first each document with its likeliest partner, and later only
-pairs that are not yet in one component, since a link inside a component changes nothing.
+share. Each document joins the family of the partner that it shares most with. Where a group holds several families,
+its documents visit those that come before their own. The sets of a family and its visitors meet in one unit of work,
+or in one for every two blocks of a large family, and a unit checks pairs exactly, skipping those that links already
+join. Before that a family of very many documents is thinned: every document is checked against its likeliest partner,
+and only groups that still hold several components stay.
 """
 
 from __future__ import annotations
@@ -33,6 +36,10 @@ LEVELS = 3
 STEP = 4 << 20
 #: Rows of ids that are broadcast: at most some tens of megabytes.
 BROADCAST = 1_000_000
+#: Shingles and documents of one block of a family, and the blocks from which on a family is thinned first.
+BLOCK = 1_000_000
+BLOCK_DOCS = 1024
+THIN = 8
 #: Pairs of one document that meet in one task.
 FAN = 256
 #: Signatures of one bucket.
@@ -217,13 +224,10 @@ def shared_signatures(docs: DataFrame, sets: DataFrame, n: int, threshold: int)
     return found.dropDuplicates(["g", "doc_id"])
 
 
-def _common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _agreeing(batches: Iterator[pa.RecordBatch], threshold: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        both = [np.zeros(batch.num_rows, np.int64)]
-        for k, (x, y) in enumerate(zip(batch.column("x"), batch.column("y"), strict=True)):
-            x, y = np.frombuffer(x.as_buffer(), U64), np.frombuffer(y.as_buffer(), U64)
-            both[0][k] = len(np.intersect1d(x, y, assume_unique=True))
-        yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("a", "b", "n_x", "n_y")], pa.array(both[0])], names=["a", "b", "n_x", "n_y", "both"])
+        good = [_similar(_set(x), _set(y), threshold) for x, y in zip(batch.column("x"), batch.column("y"), strict=True)]
+        yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
 
 def _near(df: DataFrame) -> DataFrame:
@@ -238,25 +242,17 @@ def _linked(pairs: DataFrame, docs: DataFrame, n: int, threshold: int) -> DataFr
     every ``FAN`` pairs it has, so a hub's pairs are dealt over many tasks.
     """
 
-    def pack(column: pa.Array) -> list[pa.Array]:
-        found, sizes = shingle_sets(column, n)
-        ends = np.concatenate([[0], np.cumsum(sizes)])
-        return [pa.array(sizes, pa.int64()), pa.array([found[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary())]
-
     asked = materialise(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
-    texts = docs.join(_near(asked), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    sets = materialise(map_text(texts, pack, "n_shingles long, packed binary", ["doc_id"], size=STEP))
+    texts = docs.join(_near(asked), "doc_id", "left_semi")
+    sets = materialise(map_text(texts, partial(_pack, n=n), "packed binary", ["doc_id"], size=STEP))
     fans = materialise(pairs.groupBy("a").agg(F.ceil(F.count("*") / FAN).cast("int").alias("fan")))
     dealt = lookup(pairs, fans, ["a"], F.xxhash64("b")).withColumn("part", F.pmod(F.xxhash64("b", F.lit(1)), F.col("fan")).cast("int"))
     dealt = materialise(dealt.select("a", "b", "part"))
-    y = sets.select(F.col("doc_id").alias("b"), F.col("packed").alias("y"), F.col("n_shingles").alias("n_y"))
-    x = sets.select(F.col("doc_id").alias("a"), F.col("packed").alias("x"), F.col("n_shingles").alias("n_x"))
+    y = sets.select(F.col("doc_id").alias("b"), F.col("packed").alias("y"))
+    x = sets.select(F.col("doc_id").alias("a"), F.col("packed").alias("x"))
     x = x.join(_near(fans), "a").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("fan") - 1))).drop("fan")
     rows = y.join(_near(dealt), "b").join(x, ["a", "part"])
-    # Sizes alone rule out many pairs.
-    rows = rows.where(F.least("n_x", "n_y") * 100 >= F.greatest("n_x", "n_y") * threshold)
-    counted = rows.select("a", "b", "n_x", "n_y", "x", "y").mapInArrow(_common, "a long, b long, n_x long, n_y long, both long")
-    return counted.where(F.col("both") * 100 >= (F.col("n_x") + F.col("n_y") - F.col("both")) * threshold).select("a", "b")
+    return rows.select("a", "b", "x", "y").mapInArrow(partial(_agreeing, threshold=threshold), "a long, b long")
 
 
 def link_documents(docs: DataFrame, n: int = N, threshold: int = THRESHOLD) -> DataFrame:
@@ -280,44 +276,115 @@ def link_documents(docs: DataFrame, n: int = N, threshold: int = THRESHOLD) -> D
     several = members.groupBy("g").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high")
     members = materialise(members.join(several.select("g", F.col("low").alias("center")), "g"))
     links = copies.select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    # Round 1: every document with the partner that most signatures name.
-    stars = members.where("doc <> center").groupBy("doc", "center").agg(F.count("*").alias("n"))
-    best = stars.groupBy("doc").agg(F.max_by("center", F.struct("n", "center")).alias("center"))
-    checked = materialise(best.select(F.col("center").alias("a"), F.col("doc").alias("b")))
-    links = materialise(links.unionByName(_linked(checked, docs, n, threshold)))
+    placed = _families(members, sets)
+    large = materialise(placed.where((F.col("blocks") > THIN) & F.col("own")).select("doc"))
+    if not large.isEmpty():
+        wide = materialise(members.join(large, "doc", "left_semi"))
+        stars = wide.where("doc <> center").groupBy("doc", "center").agg(F.count("*").alias("n"))
+        best = stars.groupBy("doc").agg(F.max_by("center", F.struct("n", "center")).alias("center"))
+        thinned = materialise(_linked(materialise(best.select(F.col("center").alias("a"), F.col("doc").alias("b"))), docs, n, threshold))
+        links = links.unionByName(thinned)
+        rest = materialise(_mixed(wide, components(thinned)))
+        placed = placed.where(F.col("blocks") <= THIN).unionByName(_families(rest, sets))
+        # Groups that a large family shares with others, whose documents may visit it.
+        shared = members.join(wide.select("g").distinct(), "g", "left_semi").join(large, "doc", "left_anti").select("g").distinct()
+        placed = placed.unionByName(_families(members.join(shared, "g", "left_semi"), sets))
+    links = links.unionByName(_checked(placed, docs, n, threshold))
     labels = components(links)
-    # Round 2: the other stars that cross components. Round 3: whatever crosses components.
-    for pairs in (_stars, _crossing):
-        rows = _labelled(members, labels)
-        crossing = materialise(pairs(rows).join(checked, ["a", "b"], "left_anti"))
-        if crossing.isEmpty():
-            continue
-        new = materialise(_linked(crossing, docs, n, threshold))
-        checked = checked.unionByName(crossing)
-        if not new.isEmpty():
-            links = links.unionByName(new)
-            labels = components(links)
     out = sets.select("doc_id", "n_shingles").join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
-def _labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """Members of groups that several components still meet in, with their components."""
+def _families(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """(doc, family, own, n_shingles, blocks): the families a document belongs to (own) or visits."""
+    stars = members.where("doc <> center").groupBy("doc", "center").agg(F.count("*").alias("n"))
+    best = stars.groupBy("doc").agg(F.max_by("center", F.struct("n", "center")).alias("center"))
+    joined = components(best.select(F.col("center").alias("a"), F.col("doc").alias("b")))
+    rows = lookup(members, joined.select(F.col("node").alias("doc"), F.col("component").alias("home")), ["doc"], F.xxhash64("g"))
+    rows = materialise(rows.select("g", "doc", "home"))
+    guests = rows.join(rows.select("g", F.col("home").alias("family")).distinct(), "g").where("family <= home")
+    guests = guests.select("doc", "family", (F.col("family") == F.col("home")).alias("own")).distinct()
+    sized = guests.join(sets.select(F.col("doc_id").alias("doc"), "n_shingles"), "doc")
+    need = F.greatest(F.ceil(F.sum("n_shingles") / BLOCK), F.ceil(F.count("*") / BLOCK_DOCS)).cast("int")
+    # Most families are one block; only the others are looked up.
+    many = lookup(sized, sized.groupBy("family").agg(need.alias("blocks")).where("blocks > 1"), ["family"], F.xxhash64("doc"))
+    return materialise(many.withColumn("blocks", F.coalesce("blocks", F.lit(1))))
+
+
+def _mixed(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members of the groups that several components still meet in."""
     rows = lookup(members, labels.withColumnRenamed("node", "doc"), ["doc"], F.xxhash64("g"))
     rows = rows.withColumn("component", F.coalesce("component", "doc"))
     mixed = rows.groupBy("g").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("g")
-    return rows.join(mixed, "g", "left_semi")
-
-
-def _stars(rows: DataFrame) -> DataFrame:
-    """Per group, the smallest document of each component with all others of other components' smallest."""
-    first = rows.groupBy("g", "component").agg(F.min("doc").alias("b"))
-    low = first.groupBy("g").agg(F.min_by("b", "component").alias("a"), F.min("component").alias("low"))
-    return first.join(low, "g").where("component <> low").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-
-def _crossing(rows: DataFrame) -> DataFrame:
-    """Per group, all pairs of documents of different components."""
-    left = rows.select("g", F.col("doc").alias("a"), F.col("component").alias("c_a"))
-    right = rows.select("g", F.col("doc").alias("b"), F.col("component").alias("c_b"))
-    return left.join(right, "g").where("a < b AND c_a <> c_b").select("a", "b").distinct()
+    return members.join(mixed, "g", "left_semi")
+
+
+def _checked(placed: DataFrame, docs: DataFrame, n: int, threshold: int) -> DataFrame:
+    """Edges (a, b) that join the documents of every family and its visitors as their links do."""
+    # Small families share units, which then hold about a block each.
+    total = placed.agg(F.sum("n_shingles")).first()[0] or 0
+    shared = -1 - F.pmod(F.xxhash64("family"), F.lit(int(total) // BLOCK + 1))
+    unit = F.when(F.col("blocks") == 1, shared).otherwise(F.col("family"))
+    stays = placed.groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list(F.struct(unit.alias("unit"), "family", "own", "blocks")).alias("stays"))
+    texts = docs.join(_near(materialise(stays)), "doc_id")
+    packed = map_text(texts, partial(_pack, n=n), "packed binary", ["doc_id", "stays"], size=STEP)
+    rows = packed.select("doc_id", "packed", F.explode("stays").alias("s")).select("doc_id", "packed", "s.*")
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({
+        "i": F.least("block", "other"), "j": F.greatest("block", "other")
+    })
+    units = rows.select("unit", "i", "j", "block", "family", "own", "doc_id", "packed")
+    return materialise(units.groupBy("unit", "i", "j").applyInArrow(lambda unit: _unit(unit, threshold), "a long, b long"))
+
+
+def _pack(column: pa.Array, n: int) -> list[pa.Array]:
+    """Sets as sorted 48-bit hashes: within a pair of sets that is enough."""
+    found, sizes = shingle_sets(column, n)
+    ends = np.concatenate([[0], np.cumsum(sizes)])
+    high, low = (found >> U64(32)).astype(np.uint32), (found >> U64(16)).astype(np.uint16)
+    return [pa.array([high[a:b].tobytes() + low[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary())]
+
+
+def _set(packed: pa.Scalar) -> np.ndarray:
+    raw = packed.as_buffer()
+    n = raw.size // 6
+    return np.frombuffer(raw, np.uint32, n).astype(U64) << U64(16) | np.frombuffer(raw, np.uint16, n, 4 * n)
+
+
+def _similar(x: np.ndarray, y: np.ndarray, threshold: int) -> bool:
+    small, large = sorted((len(x), len(y)))
+    if small * 100 < large * threshold:
+        return False
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both * 100 >= (small + large - both) * threshold
+
+
+def _unit(table: pa.Table, threshold: int) -> pa.Table:
+    """Links of one unit as edges to the first document of each component found in a family and its visitors."""
+    ids, block = table.column("doc_id").to_numpy(), table.column("block").to_numpy()
+    family, own = table.column("family").to_numpy(), table.column("own").to_numpy()
+    across = table.column("i")[0].as_py() != table.column("j")[0].as_py()
+    sets = [_set(x) for x in table.column("packed")]
+    parent = list(range(len(ids)))
+
+    def root(k: int) -> int:
+        while parent[k] != k:
+            parent[k] = parent[parent[k]]
+            k = parent[k]
+        return k
+
+    order = np.lexsort((ids, ~own, family))
+    for part in np.split(order, np.flatnonzero(np.diff(family[order])) + 1):
+        members = part.tolist()
+        for at, y in enumerate(members):
+            for x in members[:at]:
+                # Members come first, so two visitors only follow.
+                if not own[x]:
+                    break
+                if (across and block[x] == block[y]) or root(x) == root(y):
+                    continue
+                if _similar(sets[x], sets[y], threshold):
+                    parent[root(y)] = root(x)
+    roots = [root(k) for k in range(len(ids))]
+    some = [k for k in range(len(ids)) if roots[k] != k]
+    return pa.table({"a": ids[[roots[k] for k in some]].astype(np.int64), "b": ids[some].astype(np.int64)})
