@@ -1,13 +1,14 @@
-"""Where length-prefixed formats end: a cursor hops from unit to unit until the format says stop.
+"""Where length-prefixed formats end: one walker over a table of unit layouts.
 
-Each rule looks at a few header bytes per unit and returns where the next unit starts, so sizing a
-gigabyte file costs a handful of small reads. Rules return ``(end, method, note)``; ``end`` is None
-when the chain does not close, and the note says why.
+A file of such a format is a run of units. A unit states its length in a field, or always has the same one; the file
+ends with a closing unit, or where units stop. A walk reads a few bytes per unit, so sizing a gigabyte costs little.
+Formats that a row of the table cannot describe have no rule here and stay undetermined.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from typing import NamedTuple
 
 Read = Callable[[int, int], bytes]
 Verdict = tuple[int | None, str, str]
@@ -16,257 +17,89 @@ WALK, FOOTER, SYNC, DECLARED = "container_walk", "footer_anchored", "sync_run",
 NONE = "undetermined"
 
 
-def _le(data: bytes, at: int, width: int) -> int:
-    return int.from_bytes(data[at : at + width], "little")
-
-
-def _be(data: bytes, at: int, width: int) -> int:
-    return int.from_bytes(data[at : at + width], "big")
-
-
-def png(read: Read, start: int, limit: int) -> Verdict:
-    pos, titled = start + 8, False
-    while pos + 12 <= limit:
-        head = read(pos, 8)
-        length, kind = _be(head, 0, 4), head[4:8]
-        after = pos + 12 + length
-        if length > 0x7FFFFFFF or after > limit or any(not 0x41 <= c <= 0x7A for c in kind):
-            break
-        titled |= kind == b"IHDR"
-        if kind == b"IEND":
-            return after, WALK, "PNG chunk list terminated on IEND"
-        pos = after
-    return None, NONE, "PNG chunk list did not reach IEND" if titled else "PNG candidate has no IHDR chunk"
-
-
-def ogg(read: Read, start: int, limit: int) -> Verdict:
-    pos, pages, serial, first = start, 0, None, 0
-    while pos + 27 <= limit:
-        head = read(pos, 27)
-        if head[:4] != b"OggS" or head[4] != 0:
-            break
-        lacing = read(pos + 27, head[26])
-        after = pos + 27 + head[26] + sum(lacing)
-        if len(lacing) < head[26] or after > limit + 1:
-            break
-        if serial is None:
-            serial, first = _le(head, 14, 4), _le(head, 18, 4)
-        elif _le(head, 14, 4) != serial or _le(head, 18, 4) != (first + pages) % (1 << 32):
-            pages += 1
-            break
-        pages += 1
-        if head[5] & 4:
-            return after, WALK, f"Ogg: {pages} page(s), end-of-stream page reached"
-        pos = after
-    return None, NONE, f"Ogg page walk did not terminate ({pages} page(s) read)"
-
-
-def pcapng(read: Read, start: int, limit: int) -> Verdict:
-    pos, blocks = start, 0
-    while pos + 12 <= limit:
-        total = _le(read(pos, 8), 4, 4)
-        if total < 12 or total % 4 or pos + total > limit or _le(read(pos + total - 4, 4), 0, 4) != total:
-            break
-        blocks, pos = blocks + 1, pos + total
-    if not blocks:
-        return None, NONE, "PCAPNG block walk did not terminate (0 block(s))"
-    return pos, WALK, f"PCAPNG: {blocks} block(s), every length field cross-checked"
-
-
-def midi(read: Read, start: int, limit: int) -> Verdict:
-    head = read(start, 14)
-    size = _be(head, 4, 4)
-    if len(head) < 14 or not 6 <= size <= 0x10000:
-        return None, NONE, f"implausible MThd length {size}"
-    pos, tracks = start + 8 + size, 0
-    while pos + 8 <= limit:
-        track = read(pos, 8)
-        after = pos + 8 + _be(track, 4, 4)
-        if track[:4] != b"MTrk" or after > limit:
-            break
-        tracks, pos = tracks + 1, after
-    return (pos, WALK, f"{tracks} MTrk chunk(s) walked") if tracks else (None, NONE, "no MTrk chunks")
-
-
-def evtx(read: Read, start: int, limit: int) -> Verdict:
-    pos, chunks = start + 4096, 0
-    while pos + 65536 <= limit and read(pos, 8) == b"ElfChnk\0":
-        chunks, pos = chunks + 1, pos + 65536
-    if not chunks:
-        return None, NONE, "no EVTX chunk headers found after the file header"
-    return pos, WALK, f"{chunks} chunk(s) of 64 KiB walked"
-
-
-def hive(read: Read, start: int, limit: int) -> Verdict:
-    area = _le(read(start, 0x1000), 0x28, 4)
-    if area and (area < 0x1000 or area % 0x1000):
-        return None, NONE, f"regf declares an implausible hbin area {area}"
-    pos = start + 0x1000
-    while pos + 4 <= limit:
-        head = read(pos, 8)
-        if head[:4] == bytes(4):
-            return pos + 4, DECLARED, "registry hive closed by an empty block"
-        if pos + 0x1000 > limit:
-            break
-        size = _le(head, 4, 4) & 0xFFFFF000
-        if head[:4] != b"hbin":
-            return None, NONE, f"expected hbin at {pos}, found {head[:4]!r}"
-        if size < 0x1000 or pos + size > limit:
-            return None, NONE, f"hbin declares {size} bytes, past the window"
-        pos += size
-    return None, NONE, "hive has no terminating empty block, so it is truncated"
-
-
-def riff_stream(read: Read, start: int, limit: int) -> Verdict:
-    """A RIFF whose size field was left open: follow its chunks."""
-    pos = start + 12
-    while pos + 8 <= limit:
-        head = read(pos, 8)
-        size = _le(head, 4, 4)
-        after = pos + 8 + size + (size & 1)
-        if len(head) < 8 or after > limit + 8 or any(not 0x20 <= c <= 0x7E for c in head[:4]):
-            break
-        pos = after
-    if pos <= start + 12 or pos > limit:
-        return None, NONE, "RIFF chunk walk did not terminate"
-    return pos, WALK, "RIFF chunk list terminated cleanly"
-
-
-def boxes(read: Read, start: int, limit: int) -> Verdict:
-    """ISO-BMFF top-level boxes; only media data may run to the end of the window."""
-
-    def after(pos: int) -> int | None:
-        head = read(pos, 16)
-        size, header, kind = _be(head, 0, 4), 8, head[4:8]
-        if size == 1:
-            size, header = _be(head, 8, 8), 16
-        elif size == 0 and kind == b"mdat":
-            size = limit - pos
-        if len(head) < 8 or size < header or size >= 1 << 48 or any(not 0x20 <= c <= 0x7E for c in kind):
-            return None
-        return pos + size
-
-    if read(start, 12)[4:8] != b"ftyp":
-        return None, NONE, "MP4 candidate has no ftyp box"
-    pos = after(start)
-    if pos is None:
-        return None, NONE, "ftyp box size is implausible"
-    if not start + 12 <= pos <= limit:
-        return None, NONE, "ftyp box overruns the carve window"
-    while pos < limit and (end := after(pos)) is not None and end <= limit:
-        pos = end
-    return pos, WALK, "MP4 atom tree walked to its last top-level box"
-
-
-def tar(read: Read, start: int, limit: int) -> Verdict:
-    base = next((b for b in (start - 257, start) if b >= 0 and read(b, 512)[257:262] == b"ustar"), None)
-    if base is None:
-        return None, NONE, "no ustar header at offset 257 relative to the candidate"
-    field = read(base, 512)[124:136]
-    try:
-        size = _be(field, 0, 12) & ((1 << 88) - 1) if field[0] & 0x80 else int(field.split(b"\0")[0].strip() or b"0", 8)
-    except ValueError:
-        return None, NONE, "tar size field is not valid octal"
-    if size > 1 << 40:
-        return None, NONE, "tar declared size is implausible"
-    room = limit - start
-    marker = base + 512 * (1 + (size + 511) // 512)
-    if read(marker, 1024) != bytes(1024):
-        return None, NONE, f"tar member has no 1024-byte end-of-archive marker at +{marker - base}"
-    end = marker + 1024
-    if end > base + room:
-        return None, NONE, "tar member overruns the carve window"
-    while end + 512 <= base + room and read(end, 512) == bytes(512):
-        end += 512
-    return end + (start - base), DECLARED, f"tar member of {size} bytes, end-of-archive marker at +{marker + 1024 - base}"
-
-
-def gif(read: Read, start: int, limit: int) -> Verdict:
-    head = read(start, 13)
-    if len(head) < 13:
-        return None, NONE, "GIF header truncated"
-    if head[:6] not in (b"GIF87a", b"GIF89a"):
-        return None, NONE, "GIF version field invalid"
-
-    def table(flags: int) -> int:
-        return 3 << ((flags & 7) + 1) if flags & 0x80 else 0
-
-    def sub_blocks(pos: int) -> int:
-        while pos <= limit and (size := read(pos, 1)) and size[0]:
-            pos += 1 + size[0]
-        return pos
-
-    pos, images = start + 13 + table(head[10]), 0
-    # Bytes before the sub-blocks of the extensions that have a fixed part.
-    fixed = {0xFF: 12, 0x01: 13}
-    while pos < limit and (mark := read(pos, 1)):
-        if mark == b"\x3b":
-            if not images:
-                return None, NONE, "GIF reaches the trailer with no image blocks"
-            screen = f"{_le(head, 6, 2)}x{_le(head, 8, 2)}"
-            return pos + 1, FOOTER, f"GIF trailer found after {images} image block(s), logical screen {screen}"
-        if mark == b"\x21":
-            label = read(pos + 1, 1)
-            if not label:
-                break
-            pos = sub_blocks(pos + 2 + fixed.get(label[0], 0))
-        elif mark == b"\x2c":
-            image = read(pos + 1, 10)
-            if len(image) < 10:
-                break
-            pos = sub_blocks(pos + 10 + table(image[8]) + 1)
-            images += 1
-        elif mark == b"\0":
-            pos += 1
-        else:
-            return None, NONE, f"unexpected GIF block introducer 0x{mark[0]:02X} at +{pos - start}"
-        if pos > limit:
-            return None, NONE, "GIF sub-blocks overrun the window"
-    return None, NONE, f"GIF data-block walk did not reach the trailer ({images} image block(s) read)"
-
-
-def iso9660(read: Read, start: int, limit: int) -> Verdict:
-    first = start + 0x8001
-    head = read(first, 2048)
-    if len(head) < 2048 or head[:6] != b"\x01CD001":
-        return None, NONE, "no ISO 9660 Primary Volume Descriptor at 0x8001"
-    blocks, width = _le(head, 80, 4), _le(head, 128, 2)
-    if not blocks or not width:
-        return None, NONE, "ISO PVD declares a zero-length volume"
-    end = start + blocks * width
-    return (end, DECLARED, f"volume space {blocks} blocks of {width} bytes") if end <= limit else (
-        None, NONE, "ISO volume declares a size beyond the carve window")
-
-
-def transport_stream(read: Read, start: int, limit: int) -> Verdict:
-    """A run of at least 16 valid 188-byte packets; nothing in the format declares its end."""
-    import numpy as np
-
-    step, pos, packets, pids = 188 * 4096, start, 0, set()
-    while pos + 188 <= limit:
-        data = read(pos, min(step, (limit - pos) // 188 * 188))
-        rows = np.frombuffer(data, dtype=np.uint8, count=len(data) // 188 * 188).reshape(-1, 188)
-        if not len(rows):
+class Units(NamedTuple):
+    """Layout of a format's units.
+
+    ``skip`` bytes come before the first unit. A unit is ``len_width`` bytes of length at ``len_off`` (none: constant)
+    plus ``addend``, padded to ``align``. It begins with ``magic`` at ``magic_off``, the first one with ``first`` there;
+    ``text`` bytes there are printable. ``closing`` (bytes, offset, length) ends the file and has that length, or its
+    own if 0; without it the file ends where units stop. ``echo``: the length is repeated in the last bytes of the unit.
+    ``wide``: a length of 1 stands for a 64-bit one at this offset. ``least``: units that make a file.
+    """
+
+    skip: int = 0
+    len_off: int = 0
+    len_width: int = 0
+    endian: str = "little"
+    addend: int = 0
+    align: int = 1
+    magic: bytes = b""
+    magic_off: int = 0
+    first: bytes = b""
+    text: int = 0
+    closing: tuple[bytes, int, int] | None = None
+    echo: bool = False
+    wide: int = 0
+    least: int = 1
+    method: str = WALK
+
+
+# The layouts as their format descriptions give them.
+LAYOUTS: dict[str, Units] = {
+    "png": Units(skip=8, len_width=4, endian="big", addend=12, magic_off=4, first=b"IHDR", text=4, closing=(b"IEND", 4, 0)),
+    "pcapng": Units(len_off=4, len_width=4, first=b"\x0a\x0d\x0d\x0a", echo=True),
+    "pcap": Units(skip=24, len_off=8, len_width=4, addend=16),
+    "mid": Units(len_off=4, len_width=4, endian="big", addend=8, first=b"MThd", magic=b"MTrk", least=2),
+    "evtx": Units(skip=4096, addend=65536, magic=b"ElfChnk\x00"),
+    "dat": Units(skip=4096, len_off=4, len_width=4, magic=b"hbin", closing=(bytes(4), 0, 4)),
+    "wav": Units(skip=12, len_off=4, len_width=4, addend=8, align=2, text=4),
+    "webp": Units(skip=12, len_off=4, len_width=4, addend=8, align=2, text=4),
+    "avi": Units(skip=12, len_off=4, len_width=4, addend=8, align=2, text=4),
+    "mp4": Units(len_width=4, endian="big", magic_off=4, first=b"ftyp", text=4, wide=8),
+    "mov": Units(len_width=4, endian="big", magic_off=4, first=b"ftyp", text=4, wide=8),
+    "m4a": Units(len_width=4, endian="big", magic_off=4, first=b"ftyp", text=4, wide=8),
+    "ts": Units(addend=188, magic=b"\x47", least=16, method=SYNC),
+}
+_HEAD = 32
+
+
+def _unit(layout: Units, head: bytes, nth: int) -> int | None:
+    """The length of the unit with this head; None if it is not one."""
+    mark = head[layout.magic_off :]
+    wanted = layout.first if nth == 0 and layout.first else layout.magic
+    if not mark.startswith(wanted) or any(not 0x20 <= c < 0x7F for c in mark[: layout.text]) or len(mark) < layout.text:
+        return None
+    size = int.from_bytes(head[layout.len_off : layout.len_off + layout.len_width], layout.endian)
+    least = layout.len_off + layout.len_width
+    if len(head) < least:
+        return None
+    if layout.wide and size == 1:
+        size, least = int.from_bytes(head[layout.wide : layout.wide + 8], layout.endian), layout.wide + 8
+    size += layout.addend
+    size += -size % layout.align
+    return size if size >= max(1, least) else None
+
+
+def walk(extension: str, read: Read, start: int, limit: int) -> Verdict:
+    """``(end, method, note)`` of the file of a known format at ``start``; ``end`` is None if its units do not close."""
+    layout = LAYOUTS[extension]
+    pos, n, held, at = start + layout.skip, 0, b"", 0
+    while pos < limit:
+        if not at <= pos <= at + len(held) - _HEAD:
+            # Short units are many: one read serves those that follow closely.
+            held, at = read(pos, _HEAD if layout.len_width else 1 << 16), pos
+        head = held[pos - at : pos - at + _HEAD][: limit - pos]
+        closes = layout.closing is not None and head.startswith(layout.closing[0], layout.closing[1])
+        size = layout.closing[2] if closes and layout.closing[2] else _unit(layout, head, n)
+        if size is None or pos + size > limit:
             break
-        control = (rows[:, 3] >> 4) & 3
-        good = (rows[:, 0] == 0x47) & (rows[:, 1] < 0x80) & ((rows[:, 3] >> 6) != 1) & (control != 0)
-        good &= (control < 2) | (rows[:, 4] <= 183)
-        run = len(rows) if good.all() else int(good.argmin())
-        pids.update((((rows[:run, 1] & 0x1F).astype(int) << 8) | rows[:run, 2]).tolist())
-        packets, pos = packets + run, pos + run * 188
-        if run < len(rows):
+        if layout.echo and int.from_bytes(read(pos + size - layout.len_width, layout.len_width), layout.endian) != size:
             break
-    if packets < 16:
-        return None, NONE, (
-            f"only {packets} consecutive valid 188-byte TS packet(s); at least 16 are required before this is "
-            "distinguishable from coincidence"
-        )
-    return pos, SYNC, f"MPEG-TS: {packets} consecutive 188-byte packet(s), every transport header valid, across {len(pids)} PID(s)"
-
-
-#: Extension to rule. Formats that state their own length are column expressions instead.
-RULES: dict[str, Callable[[Read, int, int], Verdict]] = {
-    "png": png, "ogg": ogg, "pcapng": pcapng, "mid": midi, "evtx": evtx, "dat": hive, "tar": tar, "gif": gif, "iso": iso9660,
-    "mp4": boxes, "mov": boxes, "m4a": boxes, "aac": boxes, "ts": transport_stream,
-    "wav": riff_stream, "webp": riff_stream, "avi": riff_stream,
-}
+        pos, n = pos + size, n + 1
+        if closes:
+            return pos, layout.method, f"{n} unit(s) up to the closing one"
+    if layout.closing is not None:
+        return None, NONE, f"no closing unit behind {n} unit(s)"
+    if n < layout.least:
+        return None, NONE, f"{n} unit(s) found, at least {layout.least} needed"
+    return pos, layout.method, f"{n} unit(s) up to where they stop"

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import partial
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -12,11 +13,9 @@ from tracewell.functions import chains
 from tracewell.functions.bits import uint
 from tracewell.plans.asof import first_at_or_after, latest_at_or_before
 from tracewell.plans.prefix import union_all
-from tracewell.session import shuffle_width
 from tracewell.sources.images import image_opener, read_ranges
 
-# Bounds of the search for an end.
-MAX_WINDOW = 512 * 1024 * 1024
+# The least file, and how far from a window's end a ZIP end record may lie (its longest comment).
 MIN_WINDOW = 16
 ZIP_TAIL = 65557 + 22
 POSITION_BUCKET = 1 << 28
@@ -51,7 +50,8 @@ def _declared(head: Column, start: Column, limit: Column) -> dict[str, Column]:
 
     def u(offset: int, width: int, endian: str = "little") -> Column:
         value = uint(head, offset, width, endian)
-        return value.cast("long") if width == 8 else value
+        # A 64-bit field above the signed range is a lie, not a length: null fails every check of it.
+        return value.try_cast("long") if width == 8 else value
 
     def sized(size: Column, least: int, ok: list[tuple[Column, Column | str]], note: Column, outside: Column, needs: int, name: str) -> Column:
         end = start + size
@@ -80,7 +80,7 @@ def _declared(head: Column, start: Column, limit: Column) -> dict[str, Column]:
     seven_size = next_off + next_size + 32
     top = 1 << 40
     seven = sized(
-        seven_size, 32, [((next_off <= top) & (next_size <= top), "7z next-header offsets implausible")],
+        seven_size, 32, [(F.coalesce((next_off <= top) & (next_size <= top), F.lit(False)), "7z next-header offsets implausible")],
         _text("7z declares ", seven_size, " bytes (32 + nextHeaderOffset + nextHeaderSize)"),
         _text("7z declared size ", seven_size, " outside carve bounds"), 32, "7z",
     )
@@ -105,14 +105,7 @@ def _declared(head: Column, start: Column, limit: Column) -> dict[str, Column]:
         aiff_size + 8, 16, [(form.isin("41494646", "41494643"), "FORM type is not AIFF")],
         _text("FORM declares ", aiff_size, " bytes"), _text("FORM declared size ", aiff_size, " outside carve bounds"), 12, "FORM",
     )
-    magic = u(0, 4)
-    captured = F.when(magic.isin(0xA1B2C3D4, 0xA1B23C4D), u(16, 4)).otherwise(u(16, 4, "big"))
-    pcap = sized(
-        captured + 24, 24,
-        [((captured >= 16) & (captured <= 1 << 24), _text("PCAP captured length ", captured, " is implausible"))],
-        _text("PCAP record declares ", captured, " captured bytes"), F.lit("PCAP record overruns the carve window"), 24, "PCAP",
-    )
-    return {"bmp": bmp, "wav": riff, "webp": riff, "avi": riff, "7z": seven, "sqlite": sqlite, "aiff": aiff, "pcap": pcap}
+    return {"bmp": bmp, "wav": riff, "webp": riff, "avi": riff, "7z": seven, "sqlite": sqlite, "aiff": aiff}
 
 
 def declared_boundary(head: Column, extension: Column, start: Column, limit: Column) -> Column:
@@ -130,7 +123,7 @@ def walk_boundaries(candidates: DataFrame) -> DataFrame:
     Each task opens the images of its candidates and reads only unit headers. Candidates are spread
     by position, so one image with most of the candidates is worked on by many tasks.
     """
-    rules = {**chains.RULES, **_EXTRA_RULES}
+    rules = {ext: partial(chains.walk, ext) for ext in chains.LAYOUTS} | _EXTRA_RULES
     schema = candidates.withColumn("boundary", undetermined("")).schema
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -145,7 +138,8 @@ def walk_boundaries(candidates: DataFrame) -> DataFrame:
                 found.append({"end": end, "method": method, "notes": [note]})
             yield batch.assign(boundary=found)
 
-    placed = candidates.repartition(shuffle_width(candidates), "image_id", F.expr(f"offset div {64 << 20}"))
+    # Without a number of its own the shuffle follows the session and adaptive execution.
+    placed = candidates.repartition("image_id", F.expr(f"offset div {64 << 20}"))
     return placed.mapInPandas(walk, schema)
 
 
@@ -235,14 +229,14 @@ def resolve_boundaries(
     custom terminators. Extensions without a rule stay undetermined, except custom ones; with
     ``optional_footers`` the built-in formats that only declare a footer are sized by it as well.
     """
-    window = F.least(F.col("max_size"), F.col("max_file"), F.lit(MAX_WINDOW)).cast("long")
+    window = F.least(F.col("max_size"), F.col("max_file")).cast("long")
     rows = candidates.withColumn("window", window).withColumn("limit", F.least(F.col("size"), F.col("offset") + F.col("window")))
     ext = F.col("extension")
     declared = declared_boundary(F.col("head"), ext, F.col("offset"), F.col("limit"))
     rows = rows.withColumn("boundary", F.when(F.col("window") < MIN_WINDOW, undetermined("carve window smaller than the minimum file size")).otherwise(declared))
     done = rows.where(F.col("boundary").isNotNull())
     open_ = rows.where(F.col("boundary").isNull()).drop("boundary")
-    walked = [*chains.RULES, *_EXTRA_RULES]
+    walked = [*chains.LAYOUTS, *_EXTRA_RULES]
     parts = [done, walk_boundaries(open_.where(ext.isin(*walked)))]
     if markers is not None:
         for kind, rule in (("pdf", pdf_boundaries), ("zip", zip_boundaries)):

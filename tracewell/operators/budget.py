@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewell.plans.asof import latest_at_or_before
+from tracewell.plans.joins import lookup
 from tracewell.session import cut_lineage
 
 MB, GB = 1 << 20, 1 << 30
@@ -19,7 +20,7 @@ ORDER_BUCKET = 1 << 20
 
 @dataclass(frozen=True)
 class Policy:
-    """Limits of one session; the defaults suit a stand-alone run."""
+    """Limits of one session that asks for them; the defaults suit a stand-alone run of one medium."""
 
     max_output_bytes: int = 256 * MB
     max_file_bytes: int = 128 * MB
@@ -33,6 +34,12 @@ class Policy:
         return self.category_caps.get(category, self.max_files_per_category)
 
 
+#: No cap at all; only the least confidence holds.
+UNLIMITED = Policy(
+    max_output_bytes=1 << 62, max_file_bytes=1 << 62, max_files_per_category=1 << 62, max_files_per_extension=1 << 62, max_files_total=1 << 62
+)
+
+
 def policy_for_target(size: Column) -> Column:
     """``struct(max_output_bytes, max_files_total)`` scaled to the size of the searched medium."""
     eighth, thirtysecond = F.shiftright(size, 3), F.shiftright(size, 5)
@@ -151,6 +158,14 @@ def admit_budget(files: DataFrame, policy: Policy | None = None) -> DataFrame:
     """
     policy = policy or Policy()
     typed = files.withColumn("image_id", F.col("image_id").cast("string"))
+    if policy == UNLIMITED:
+        if "digest" not in files.columns:
+            return files.withColumns({"admitted": F.lit(True), "denial": F.lit(None).cast("string")})
+        first = files.where("digest IS NOT NULL").groupBy("image_id", "digest").agg(F.min("ord").alias("__first"), F.count("*").alias("__n")).where("__n > 1")
+        joined = lookup(files, first.drop("__n"), ["image_id", "digest"], F.xxhash64("ord"))
+        again = F.coalesce(F.col("ord") > F.col("__first"), F.lit(False))
+        denial = F.when(again, F.lit("the same payload was already written"))
+        return joined.select(*files.columns, (~again).alias("admitted"), denial.alias("denial"))
     if "digest" not in files.columns:
         typed = typed.withColumn("digest", F.lit(None).cast("string"))
     admitted = cut_lineage(_admissions(typed, policy))

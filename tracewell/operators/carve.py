@@ -13,14 +13,15 @@ from tracewell.functions.provenance import provenance
 from tracewell.functions.structure import validate_structure
 from tracewell.operators import payloads as pay
 from tracewell.operators.boundaries import HEAD_BYTES, MARKERS, resolve_boundaries
-from tracewell.operators.budget import Policy, admit_budget
+from tracewell.operators.budget import UNLIMITED, Policy, admit_budget
 from tracewell.operators.extents import drop_contained, merge_extents, prune_blocks, rate_ppm, restrict_to_free
 from tracewell.operators.fragments import number_files
 from tracewell.operators.scan import Pattern, prefiltered_counts, scan_images, signature_candidates, signature_patterns
+from tracewell.plans.joins import lookup
 from tracewell.plans.prefix import Running, running, union_all
 from tracewell.session import cut_lineage
 from tracewell.sources.images import BLOCK, OVERLAP, block_index, read_ranges
-from tracewell.sources.signatures import signature_table, sniff
+from tracewell.sources.signatures import signature_table, sniff, wanted_signatures
 
 #: Pattern numbers of marker and terminator searches, far above any signature's.
 MARKER_BASE, FOOTER_BASE = 1_000_000, 2_000_000
@@ -57,9 +58,10 @@ def find_candidates(
 ) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """``(candidates, markers, footers, counters)`` of one scan over the images.
 
-    With ``free`` (half-open ranges) only windows that touch free space are read, and only candidates
+    Only the signatures of ``extensions``, and custom ones, are looked for. With ``free`` (half-open ranges) only windows that touch free space are read, and only candidates
     that begin in it are kept.
     """
+    signatures = wanted_signatures(signatures, extensions)
     index = block_index(images, block, overlap)
     skipped = None
     if free is not None:
@@ -90,8 +92,6 @@ def find_candidates(
             cands.groupBy("image_id").agg(F.count_if(~F.col("in_free")).alias("allocated_candidates_skipped")), "image_id", "full"
         ).join(skipped, "image_id", "full")
         cands = cands.where("in_free").drop("in_free")
-    wanted = {e.lower().lstrip(".") for e in extensions or []}
-    cands = cands.withColumn("filtered", ~F.col("extension").isin(*wanted) if wanted else F.lit(False))
     return cands.join(paths, "image_id"), marker_hits.join(paths.drop("size"), "image_id"), footer_hits, counters
 
 
@@ -100,12 +100,14 @@ def judge_candidates(
 ) -> DataFrame:
     """Resolve, bound, validate, hash, match and score every candidate; ``stage``/``reason`` tell why one fell out.
 
-    Each step only reads what the step before let through: 8 KiB heads for the marker check, unit
-    headers for the boundaries, and payloads for candidates whose end is known.
+    Each step only reads what the step before let through: heads for the marker check (8 KiB, or as far as a marker may
+    lie), unit headers for the boundaries, and payloads for candidates whose end is known. Payloads do not leave the
+    task that reads them.
     """
-    heads = read_ranges(candidates.where(~F.col("filtered")).withColumn("length", F.lit(HEAD_BYTES).cast("long")), "head").drop("length")
+    need = F.greatest(F.lit(HEAD_BYTES), F.when(F.col("inbuilt").isNotNull(), F.greatest("inbuilt_window", F.octet_length("inbuilt"))))
+    heads = read_ranges(candidates.withColumn("length", need.cast("long")), "head").drop("length")
     marked = F.col("inbuilt").isNull() | _inbuilt_present(F.col("head"), F.col("inbuilt"), F.col("inbuilt_window"))
-    heads = cut_lineage(heads.withColumn("marked", marked).withColumn("max_file", F.lit(policy.max_file_bytes).cast("long")))
+    heads = cut_lineage(heads.withColumn("marked", marked).withColumn("max_file", F.lit(policy.max_file_bytes if policy.max_file_bytes is not None else (1 << 62)).cast("long")))
     absent = heads.where(~F.col("marked")).select(
         *_KEYS, F.lit("structure").alias("stage"),
         _text("inbuilt marker is absent from the first ", F.col("inbuilt_window"), " bytes").alias("reason"),
@@ -132,9 +134,12 @@ def judge_candidates(
         entropy=F.col("entropy"), method=F.col("boundary.method"), notes=F.col("boundary.notes"),
         has_valid_footer=F.coalesce(footer_seen, F.lit(False)),
     )
-    gated = gated.withColumn("scored", scored)
+    algorithms = pay.known_algorithms(known) if known is not None else []
+    gated = gated.withColumn("scored", scored).withColumns({a: pay.digest(F.col("payload"), a) for a in algorithms})
+    # From here on rows are narrow; the bytes of admitted files are read once more at the end.
+    gated = cut_lineage(gated.drop("payload"))
     if known is not None:
-        gated = pay.match_known(gated, known, ["candidate_id"])
+        gated = pay.match_known(gated, known, ["candidate_id"], algorithms=algorithms, digests=algorithms)
     else:
         gated = gated.withColumn("matched_algo", F.lit(None).cast("string"))
     low = F.col("scored.score") < policy.min_confidence
@@ -149,7 +154,7 @@ def judge_candidates(
         .when(low, _text("confidence ", F.col("scored.score"), f" below the {policy.min_confidence} threshold"))
     )
     judged = gated.select(
-        *_KEYS, "name", "category", "size_bytes", "sha256", "payload", F.col("scored.score").alias("confidence_score"),
+        *_KEYS, "name", "category", "size_bytes", "sha256", F.col("scored.score").alias("confidence_score"),
         F.col("scored.heuristics").alias("heuristics"), F.col("boundary.method").alias("boundary_method"),
         stage.alias("stage"), reason.alias("reason"),
     )
@@ -173,10 +178,11 @@ def carve(
 ) -> CarveResult:
     """Carve ``images(image_id, path, size)``.
 
-    A payload is a duplicate when an earlier file of the scan with the same digest was recovered, or
-    when a resumed ``session`` recorded it.
+    A payload is a duplicate when an earlier file of the scan with the same digest was recovered, or when a resumed
+    ``session`` recorded it for the same image (for any image, if the session has no image_id). Without a ``policy``
+    nothing is capped.
     """
-    policy = policy or Policy()
+    policy = policy or UNLIMITED
     spark = images.sparkSession
     signatures = signature_table(spark) if signatures is None else signatures
     cands, markers, footers, counters = find_candidates(
@@ -184,8 +190,9 @@ def carve(
     )
     judged = cut_lineage(judge_candidates(cands, markers, footers, policy, known))
     if session is not None:
-        seen = session.where(F.col("sha256") != "").select("sha256").distinct().withColumn("__resumed", F.lit(True))
-        judged = judged.join(seen, "sha256", "left")
+        keys = ["image_id", "sha256"] if "image_id" in session.columns else ["sha256"]
+        seen = session.where(F.col("sha256") != "").select(*keys).distinct().withColumn("__resumed", F.lit(True))
+        judged = lookup(judged, seen, keys, F.xxhash64("offset", "sig_rank"))
     else:
         judged = judged.withColumn("__resumed", F.lit(None).cast("boolean"))
     validated = F.col("stage").isNull() | F.col("stage").isin("known-file", "score")
@@ -203,7 +210,8 @@ def carve(
         judged.join(budgeted.where("admitted"), ["image_id", "ord"], "left_semi")
         .groupBy("image_id", "sha256").agg(F.min("ord").alias("__first"))
     )
-    tagged = judged.join(budgeted, ["image_id", "ord"], "left").join(first, ["image_id", "sha256"], "left")
+    tagged = judged.join(budgeted, ["image_id", "ord"], "left")
+    tagged = lookup(tagged, first, ["image_id", "sha256"], F.xxhash64("ord"))
     again = resumed | (validated & (F.col("ord") > F.col("__first")))
     outcome = (
         F.when(F.coalesce(again, F.lit(False)), F.lit("duplicate"))
@@ -226,14 +234,14 @@ def carve(
         F.concat_ws("_", "file_id", hex_at, _text(F.col("confidence_score"), "pct.", F.col("extension"))).alias("filename"),
         "extension", "category", "offset", "size_bytes", "sha256", "confidence_score", "heuristics",
         F.lit("signature_carving").alias("recovery_method"), F.lit(False).alias("is_fragmented"), F.lit(1).alias("fragment_count"),
-        "boundary_method", "payload", "ord",
+        "boundary_method", "ord",
     )
-    recovered = cut_lineage(recovered)
+    placed = recovered.join(images.select("image_id", "path"), "image_id")
+    recovered = cut_lineage(read_ranges(placed.withColumn("length", F.col("size_bytes")), "payload").drop("path", "length"))
     rejected = tagged.where("outcome IN ('rejected', 'known')").select("image_id", "offset", "extension", "reason", "stage", "outcome", "size_bytes", "ord")
     contained = accepted.where("contained").withColumn("outcome", F.lit("contained"))
     columns = ["image_id", "outcome", "size_bytes"]
-    filtered = cands.where("filtered").select("image_id", F.lit("filtered").alias("outcome"), F.lit(0).cast("long").alias("size_bytes"))
-    outcomes = union_all([tagged.where("outcome <> 'accepted'").select(*columns), contained.select(*columns), filtered,
+    outcomes = union_all([tagged.where("outcome <> 'accepted'").select(*columns), contained.select(*columns),
                           recovered.select("image_id", F.lit("accepted").alias("outcome"), "size_bytes")])
     totals = pay.session_totals(outcomes).drop("prefiltered", "allocated_skipped")
     scanned = images.select("image_id", F.col("size").alias("bytes_scanned"))

@@ -7,11 +7,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracewell.plans.joins import lookup
+
 # Supported digests and their hex length.
 ALGORITHMS = {"md5": 32, "sha1": 40, "sha256": 64, "sha512": 128}
 
-MAX_REJECTION_REASONS = 100
-MAX_REJECTION_SAMPLES = 2000
+#: Tasks that the copies of one digest are dealt over.
+SALT = 16
 
 
 def digest(payload: Column, algorithm: str) -> Column:
@@ -38,8 +40,8 @@ def mark_duplicates(
 ) -> DataFrame:
     """Flag every row but the first by ``order`` among those sharing ``keys`` and digest.
 
-    The winner per digest is found with a map-side combined minimum, and only digests seen more than
-    once travel back, so a payload copied a billion times never meets in one task as rows.
+    The winner per digest is found with a map-side combined minimum, and only digests seen more than once travel back.
+    The rows of one digest are salted in the join, so a payload copied a billion times does not meet in one task.
     """
     order = list(order)
     group = [*keys, digest_col]
@@ -49,7 +51,7 @@ def mark_duplicates(
         .where(F.col("__n") > 1)
         .drop("__n")
     )
-    joined = files.join(winners, group, "left")
+    joined = lookup(files, winners, group, F.xxhash64(*order), SALT)
     later = F.col("__first").isNotNull() & (F.struct(*order) != F.col("__first"))
     return joined.withColumn(flag, later).select(*files.columns, flag)
 
@@ -71,20 +73,27 @@ def match_known(
     ids: Sequence[str],
     payload: str = "payload",
     algorithms: Sequence[str] | None = None,
+    digests: Sequence[str] | None = None,
 ) -> DataFrame:
     """``files`` with ``matched_algo``: the first algorithm whose digest is known, else null.
 
-    Only ``(ids, algo, digest)`` rows travel for the lookup; payloads stay where they are until the
-    narrow match table joins back.
+    Only ``(ids, algo, digest)`` rows travel for the lookup, each digest once however many files have it; payloads stay
+    where they are until the narrow match table joins back. ``digests`` names columns that already hold the digests,
+    called after their algorithms, for files without their payload.
     """
     algorithms = list(algorithms) if algorithms is not None else known_algorithms(known)
     if not algorithms:
         return files.withColumn("matched_algo", F.lit(None).cast("string"))
     wanted = known.select("algo", F.lower("digest").alias("digest")).distinct()
     rank = F.array_position(F.array(*[F.lit(a) for a in algorithms]), F.col("algo"))
+    if digests is None:
+        rows = digests_long(files, ids, payload, algorithms)
+    else:
+        rows = files.select(*ids, F.inline(F.array(*[F.struct(F.lit(a).alias("algo"), F.col(a).alias("digest")) for a in algorithms])))
+    found = rows.select("algo", "digest").distinct().join(wanted, ["algo", "digest"], "left_semi").withColumn("__known", F.lit(True))
     hits = (
-        digests_long(files, ids, payload, algorithms)
-        .join(wanted, ["algo", "digest"], "left_semi")
+        lookup(rows, found, ["algo", "digest"], F.xxhash64(*ids), SALT)
+        .where("__known")
         .groupBy(*ids)
         .agg(F.min_by("algo", rank).alias("matched_algo"))
     )
@@ -101,9 +110,13 @@ def suppress_known(files: DataFrame, known: DataFrame, ids: Sequence[str], paylo
 
 
 def resume(candidates: DataFrame, session_entries: DataFrame, digest_col: str = "sha256") -> DataFrame:
-    """Skip payloads whose digest an earlier session recorded."""
-    done = session_entries.where(F.col("sha256") != "").select(F.col("sha256").alias(digest_col)).distinct()
-    return candidates.join(done, digest_col, "left_anti")
+    """Skip payloads that an earlier session recorded for the same image.
+
+    Entries without an ``image_id`` speak for every image.
+    """
+    keys = ["image_id", digest_col] if {"image_id"} <= {*session_entries.columns} & {*candidates.columns} else [digest_col]
+    done = session_entries.where(F.col("sha256") != "").withColumnRenamed("sha256", digest_col).select(*keys).distinct()
+    return candidates.join(done, keys, "left_anti")
 
 
 def category_counts(files: DataFrame, column: str, keys: Sequence[str] = ("image_id",)) -> DataFrame:
@@ -114,13 +127,14 @@ def category_counts(files: DataFrame, column: str, keys: Sequence[str] = ("image
     )
 
 
-def rejection_histogram(rejected: DataFrame, limit: int = MAX_REJECTION_REASONS) -> DataFrame:
-    """Most common rejection reasons: count descending, then reason."""
-    return rejected.groupBy("reason").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "reason").limit(limit)
+def rejection_histogram(rejected: DataFrame, limit: int | None = None) -> DataFrame:
+    """Rejection reasons: count descending, then reason; all of them unless ``limit`` asks for the first."""
+    ranked = rejected.groupBy("reason").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "reason")
+    return ranked if limit is None else ranked.limit(limit)
 
 
-def rejected_sample(rejected: DataFrame, keys: Sequence[str] = ("image_id",), order: Sequence[str] = ("offset",), k: int = MAX_REJECTION_SAMPLES) -> DataFrame:
-    """The first ``k`` rejected candidates per image, with how many there were in all.
+def rejected_sample(rejected: DataFrame, keys: Sequence[str] = ("image_id",), order: Sequence[str] = ("offset",), *, k: int) -> DataFrame:
+    """The first ``k`` rejected candidates per image, with how many there were in all (``truncated`` if more than ``k``).
 
     Ranks are taken inside hash slices first, so a noisy image is cut down before its rows meet.
     """

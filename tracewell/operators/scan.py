@@ -10,8 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.session import shuffle_width
-from tracewell.sources.images import image_opener
+from tracewell.sources.images import by_bytes, image_opener
 
 TS_PACKET = 188
 TS_PREFILTER_PACKETS = 8
@@ -34,7 +33,9 @@ class Pattern:
 
 def signature_patterns(signatures: DataFrame) -> list[Pattern]:
     """Patterns of a signature table. The table is configuration: a few dozen built-in rows plus the caller's own."""
-    rows = signatures.select("sig_rank", "header", "header_offset", "extension").orderBy("sig_rank").toLocalIterator()
+    rows = signatures.select("sig_rank", "header", "header_offset", "extension").orderBy("sig_rank").collect()
+    if len({r.sig_rank for r in rows}) < len(rows):
+        raise ValueError("signatures share a sig_rank; each needs its own")
     return [Pattern(r.sig_rank, bytes(r.header), r.header_offset, r.extension) for r in rows]
 
 
@@ -222,7 +223,7 @@ def scan_images(index: DataFrame, patterns: Sequence[Pattern]) -> DataFrame:
                     yield hits.frame()
         yield hits.frame()
 
-    placed = index.repartition(shuffle_width(index), "image_id", F.expr("block_no div 8"))
+    placed = by_bytes(index, F.col("length"), "image_id", F.expr("block_no div 8"))
     return placed.select("image_id", "path", "block_no", "offset", "length", "tail_len").mapInPandas(scan, HIT_SCHEMA)
 
 

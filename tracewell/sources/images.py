@@ -13,7 +13,7 @@ from functools import lru_cache
 import pandas as pd
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -24,6 +24,8 @@ BLOCK = 8 << 20
 OVERLAP = 4 << 10
 #: Bytes one read task covers; 100 TB in 256 MiB pieces is some 400 000 tasks.
 PARTITION = 256 << 20
+#: Bytes of ranges handed over at once.
+BATCH = 64 << 20
 
 BLOCK_SCHEMA = T.StructType(
     [
@@ -59,6 +61,13 @@ def image_opener(keep: int = 4):
     return lru_cache(maxsize=keep)(ImageFile)
 
 
+def by_bytes(df: DataFrame, size: Column, *columns: str | Column, piece: int = PARTITION) -> DataFrame:
+    """Deal rows by ``columns`` over as many tasks as their bytes ask for, at least one for each core of the session."""
+    total = df.agg(F.sum(size.cast("long"))).first()[0] or 0
+    spark = df.sparkSession
+    return df.repartition(max(spark.sparkContext.defaultParallelism, -(-int(total) // piece)), *columns)
+
+
 def list_images(spark: SparkSession, path: str) -> DataFrame:
     """``images(image_id, path, size)`` below a path; file contents are not read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
@@ -164,8 +173,10 @@ def read_ranges(ranges: DataFrame, out: str = "bytes", error: str | None = None)
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         opened = image_opener()
         for batch in batches:
-            for at in range(0, len(batch), 64):
-                piece = batch.iloc[at : at + 64]
+            # Frames of about BATCH bytes, whatever the number of rows; a longer range is a frame of its own.
+            frame = (batch["length"].clip(lower=0).cumsum() // BATCH).to_numpy()
+            for number in sorted(set(frame)):
+                piece = batch[frame == number]
                 data, problems = [], []
                 for path, offset, length in zip(piece["path"], piece["offset"], piece["length"]):
                     blob = problem = None
@@ -184,7 +195,7 @@ def read_ranges(ranges: DataFrame, out: str = "bytes", error: str | None = None)
                 yield piece.assign(**{out: data, "__error": problems})
 
     region = F.expr(f"offset div {64 << 20}")
-    placed = ranges.repartition(shuffle_width(ranges), "image_id", region)
+    placed = by_bytes(ranges, F.col("length"), "image_id", region)
     done = placed.mapInPandas(read, schema)
     return done.withColumnRenamed("__error", error) if error is not None else done.drop("__error")
 

@@ -184,7 +184,10 @@ def signature_table(spark: SparkSession, custom_json: str | None = None) -> Data
     builtin = spark.createDataFrame(builtin_rows(), SCHEMA)
     if custom_json is None:
         return builtin
-    raw = spark.read.schema(CUSTOM_SCHEMA).option("multiLine", True).json(custom_json)
+    # The file is configuration; its definitions are numbered in the order they stand in, as one array.
+    text = spark.read.option("wholetext", True).text(custom_json)
+    listed = F.from_json(F.when(F.ltrim("value").startswith("["), F.col("value")).otherwise(F.concat(F.lit("["), "value", F.lit("]"))), T.ArrayType(CUSTOM_SCHEMA))
+    raw = text.select(F.posexplode(listed).alias("sig_rank", "d")).select("sig_rank", "d.*")
     return builtin.unionByName(custom_signatures(raw))
 
 
@@ -196,6 +199,14 @@ def filter_extensions(df: DataFrame, wanted: list[str] | None, custom: list[str]
     return df.where(F.regexp_replace(F.lower("extension"), r"^\.+", "").isin(*sorted(names)))
 
 
+def wanted_signatures(signatures: DataFrame, extensions: list[str] | None) -> DataFrame:
+    """The signatures a caller asked for: those of the extensions, and every custom one; all if none is named."""
+    if not extensions:
+        return signatures
+    names = {e.lower().lstrip(".") for e in extensions}
+    return signatures.where(F.col("is_custom") | F.regexp_replace(F.lower("extension"), r"^\.+", "").isin(*sorted(names)))
+
+
 def sniff(df: DataFrame, signatures: DataFrame, payload: str = "payload", ids: tuple[str, ...] = ("file_id",)) -> DataFrame:
     """Name a payload by its longest matching magic; table order breaks ties, inbuilt markers must be present.
 
