@@ -1,9 +1,9 @@
 """N-gram Jaccard join with PartEnum signatures.
 
 Sizes are cut into bands so that sets that can link lie in one band or in neighbouring ones. For every pair of bands
-the largest symmetric difference k of two linked sets is known, so if the feature domain is partitioned into k + 1
-parts, linked sets agree on at least one. The signature of a part is a hash of what a set holds in it; sets that can
-link share one. Parts empty in both sets would be shared by strangers: sets with an empty part sign a second and a
+the largest symmetric difference k of two linked sets is known, so if the feature domain is partitioned into a fifth
+more than k + 1 parts, linked sets agree on a fifth of k or more. The signature of a part is a hash of what a set holds
+in it; sets that can link share so many. Parts empty in both sets would be shared by strangers: sets with an empty part sign a second and a
 third partition of the domain too, and only in the last are empty parts signed.
 
 Signatures travel as packed blocks, one per task and bucket. A bucket returns its signatures that several documents
@@ -85,9 +85,9 @@ class Bands:
         top = [x - 1 for x in self.least[1:]]
         # Instance i holds bands i - 1 and i. |s| + |t| bounds the difference of linked sets: (1 - J) / (1 + J) of it.
         top = [top[0], *top]
-        self.parts = np.array([(100 - threshold) * (a + b) // (100 + threshold) + 1 for a, b in zip(top[:-1], top[1:], strict=True)])
-        last = top[-1] * 100 // threshold
-        self.parts = np.append(self.parts, (100 - threshold) * (top[-1] + last) // (100 + threshold) + 1)
+        top.append(top[-1] * 100 // threshold)
+        self.apart = np.array([(100 - threshold) * (a + b) // (100 + threshold) for a, b in zip(top[:-1], top[1:], strict=True)])
+        self.parts = self.apart + 1 + (self.apart + 1) // 5
 
     def of(self, sizes: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.least, sizes, "right") - 1
@@ -100,31 +100,35 @@ def _sums(group: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
     return low.astype(U64) + (high.astype(U64) << U64(32))
 
 
+def _parts(found: np.ndarray, sizes: np.ndarray, live: np.ndarray, instance: np.ndarray, parts: np.ndarray, level: int):
+    """(base of each live set's parts, part of each shingle counted from there on, hash of each shingle)."""
+    base = np.cumsum(parts) - parts
+    chosen = np.zeros(len(sizes), dtype=bool)
+    chosen[live] = True
+    owner = np.repeat(np.arange(len(live)), sizes[live])
+    hashes = mix(found[np.repeat(chosen, sizes)] ^ mix(((instance << 2) + level + 1).astype(U64) << U64(20))[owner])
+    part = ((hashes >> U64(32)) * parts[owner].astype(U64)) >> U64(32)
+    return base, base[owner] + part.astype(np.int64), hashes
+
+
 def signatures(found: np.ndarray, sizes: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray]:
     """(set, signature) of all sets; empty sets have none."""
     bands = Bands(threshold, int(sizes.max(initial=1)))
     own = bands.of(np.maximum(sizes, 1))
     sets, signed = [], []
     for up in (0, 1):
-        instance = own + up
         live = np.flatnonzero(sizes > 0)
         for level in range(LEVELS):
             if not len(live):
                 break
-            parts = bands.parts[instance[live]]
-            base = np.cumsum(parts) - parts
-            chosen = np.zeros(len(sizes), dtype=bool)
-            chosen[live] = True
-            values = found[np.repeat(chosen, sizes)]
-            owner = np.repeat(np.arange(len(live)), sizes[live])
-            own_hash = mix(values ^ mix(((instance[live] << 2) + level + 1).astype(U64) << U64(20))[owner])
-            part = ((own_hash >> U64(32)) * parts[owner].astype(U64)) >> U64(32)
-            group = base[owner] + part.astype(np.int64)
-            total, filled = int(parts.sum()), np.bincount(group, minlength=int(parts.sum()))
-            sums = _sums(group, mix(own_hash), total)
+            instance = own[live] + up
+            parts = bands.parts[instance]
+            base, group, hashes = _parts(found, sizes, live, instance, parts, level)
+            total = int(parts.sum())
+            filled = np.bincount(group, minlength=total)
             place = np.repeat(np.arange(len(live)), parts)
             nth = np.arange(total) - base[place]
-            sign = mix(sums ^ mix((instance[live].astype(U64)[place] << U64(34)) + (nth.astype(U64) << U64(2)) + U64(level)))
+            sign = mix(_sums(group, mix(hashes), total) ^ mix((instance.astype(U64)[place] << U64(34)) + (nth.astype(U64) << U64(2)) + U64(level)))
             put = filled > 0 if level < LEVELS - 1 else np.ones(total, dtype=bool)
             sets.append(live[place[put]])
             signed.append(sign[put])
@@ -132,11 +136,31 @@ def signatures(found: np.ndarray, sizes: np.ndarray, threshold: int) -> tuple[np
     return (np.concatenate(sets), np.concatenate(signed)) if sets else (np.zeros(0, np.int64), np.zeros(0, U64))
 
 
-def _digests(column: pa.Array, n: int) -> list[pa.Array]:
+def needed(found: np.ndarray, sizes: np.ndarray, threshold: int) -> np.ndarray:
+    """How many signatures any set that links with this one shares with it at least.
+
+    Linked sets agree on all parts but k of the first partition; those empty in both are not signed there.
+    """
+    bands = Bands(threshold, int(sizes.max(initial=1)))
+    live = np.flatnonzero(sizes > 0)
+    out = np.ones(len(sizes), np.int64)
+    least = np.full(len(live), np.iinfo(np.int64).max)
+    for up in (0, 1):
+        instance = bands.of(sizes[live]) + up
+        parts = bands.parts[instance]
+        base, group, _ = _parts(found, sizes, live, instance, parts, 0)
+        empty = np.bincount(group, minlength=int(parts.sum())) == 0
+        gone = np.bincount(np.repeat(np.arange(len(live)), parts)[empty], minlength=len(live))
+        least = np.minimum(least, parts - bands.apart[instance] - gone)
+    out[live] = np.maximum(1, least)
+    return out
+
+
+def _digests(column: pa.Array, n: int, threshold: int) -> list[pa.Array]:
     found, sizes = shingle_sets(column, n)
     owner = np.repeat(np.arange(len(sizes)), sizes)
     digests = [_sums(owner, mix(found ^ U64(salt)), len(sizes)).view(np.int64) for salt in (0x5851F42D4C957F2D, 0x14057B7EF767814F)]
-    return [pa.array(sizes, pa.int64()), *[pa.array(d, pa.int64()) for d in digests]]
+    return [pa.array(sizes, pa.int64()), pa.array(needed(found, sizes, threshold)), *[pa.array(d, pa.int64()) for d in digests]]
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], n: int, threshold: int, buckets: int) -> Iterator[pa.RecordBatch]:
@@ -194,8 +218,8 @@ def _unpacked(raw: pa.Buffer) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _shared(table: pa.Table) -> pa.Table:
-    """(g, doc_id) of one bucket: the documents of every signature that several share. g hashes the documents, so
-    signatures of the same documents count once."""
+    """(g, doc_id, w) of one bucket: the documents of every signature that several share. g hashes the documents, so
+    signatures of the same documents are one group, and w counts them."""
     docs, signed = zip(*(_unpacked(block.as_buffer()) for block in table.column("block")), strict=True)
     docs, signed = np.concatenate(docs), np.concatenate(signed)
     order = np.argsort(signed, kind="stable")
@@ -205,23 +229,23 @@ def _shared(table: pa.Table) -> pa.Table:
     several = np.bincount(group)[group] > 1
     docs, group = docs[several], np.unique(group[several], return_inverse=True)[1]
     sums = _sums(group, mix(docs.view(U64) + U64(1)), int(group.max(initial=-1)) + 1)
-    _, one = np.unique(sums, return_index=True)
-    kept = np.zeros(len(sums), dtype=bool)
-    kept[one] = True
-    rows = kept[group]
-    return pa.table({"g": sums[group[rows]].view(np.int64), "doc_id": docs[rows]})
+    _, one, many = np.unique(sums, return_index=True, return_counts=True)
+    weight = np.zeros(len(sums), np.int64)
+    weight[one] = many
+    rows = weight[group] > 0
+    return pa.table({"g": sums[group[rows]].view(np.int64), "doc_id": docs[rows], "w": weight[group[rows]]})
 
 
 def shared_signatures(docs: DataFrame, sets: DataFrame, n: int, threshold: int) -> DataFrame:
-    """(g, doc_id): groups of documents with a signature in common, each group once."""
+    """(g, doc_id, w): groups of documents with signatures in common, each group once with the number of those."""
     spark = docs.sparkSession
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # A set of size s has about 2 (1 - J) / (1 + J) s signatures in either instance.
+    # A set of size s has up to some 2.4 (1 - J) / (1 + J) s signatures in either instance.
     total = sets.agg(F.sum("n_shingles")).first()[0] or 0
     buckets = max(width, int(total * 5 * (100 - threshold) / (100 + threshold)) // BUCKET)
     blocks = docs.select("doc_id", "text").mapInArrow(partial(_blocks, n=n, threshold=threshold, buckets=buckets), "bucket long, block binary")
-    found = blocks.groupBy("bucket").applyInArrow(_shared, "g long, doc_id long")
-    return found.dropDuplicates(["g", "doc_id"])
+    found = blocks.groupBy("bucket").applyInArrow(_shared, "g long, doc_id long, w long")
+    return found.groupBy("g", "doc_id").agg(F.sum("w").alias("w"))
 
 
 def _agreeing(batches: Iterator[pa.RecordBatch], threshold: int) -> Iterator[pa.RecordBatch]:
@@ -265,14 +289,14 @@ def link_documents(docs: DataFrame, n: int = N, threshold: int = THRESHOLD) -> D
     """
     docs = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sets = materialise(
-        map_text(docs, partial(_digests, n=n), "n_shingles long, d1 long, d2 long", ["doc_id"], size=STEP).dropDuplicates(["doc_id"])
+        map_text(docs, partial(_digests, n=n, threshold=threshold), "n_shingles long, need long, d1 long, d2 long", ["doc_id"], size=STEP).dropDuplicates(["doc_id"])
     )
     # Documents of equal sets are one class; its smallest doc_id stands for it.
     classes = sets.where("n_shingles > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")).where("n > 1")
     copies = lookup(sets, classes.drop("n"), ["d1", "d2"], F.xxhash64("doc_id")).where("rep <> doc_id").select("doc_id", "rep")
     copies = materialise(copies)
     shared = shared_signatures(docs, sets, n, threshold).join(copies, "doc_id", "left")
-    members = shared.select("g", F.coalesce("rep", "doc_id").alias("doc")).distinct()
+    members = shared.groupBy("g", F.coalesce("rep", "doc_id").alias("doc")).agg(F.max("w").alias("w"))
     several = members.groupBy("g").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high")
     members = materialise(members.join(several.select("g", F.col("low").alias("center")), "g"))
     links = copies.select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
@@ -280,7 +304,7 @@ def link_documents(docs: DataFrame, n: int = N, threshold: int = THRESHOLD) -> D
     large = materialise(placed.where((F.col("blocks") > THIN) & F.col("own")).select("doc"))
     if not large.isEmpty():
         wide = materialise(members.join(large, "doc", "left_semi"))
-        stars = wide.where("doc <> center").groupBy("doc", "center").agg(F.count("*").alias("n"))
+        stars = wide.where("doc <> center").groupBy("doc", "center").agg(F.sum("w").alias("n"))
         best = stars.groupBy("doc").agg(F.max_by("center", F.struct("n", "center")).alias("center"))
         thinned = materialise(_linked(materialise(best.select(F.col("center").alias("a"), F.col("doc").alias("b"))), docs, n, threshold))
         links = links.unionByName(thinned)
@@ -296,15 +320,23 @@ def link_documents(docs: DataFrame, n: int = N, threshold: int = THRESHOLD) -> D
 
 
 def _families(members: DataFrame, sets: DataFrame) -> DataFrame:
-    """(doc, family, own, n_shingles, blocks): the families a document belongs to (own) or visits."""
-    stars = members.where("doc <> center").groupBy("doc", "center").agg(F.count("*").alias("n"))
+    """(doc, family, own, n_shingles, blocks): the families a document belongs to (own) or visits.
+
+    Documents that share fewer signatures than linked ones must do neither make a family nor visit.
+    """
+    sizes = sets.select(F.col("doc_id").alias("doc"), "n_shingles", "need")
+    stars = members.where("doc <> center").groupBy("doc", "center").agg(F.sum("w").alias("n")).join(sizes, "doc").where("n >= need")
     best = stars.groupBy("doc").agg(F.max_by("center", F.struct("n", "center")).alias("center"))
     joined = components(best.select(F.col("center").alias("a"), F.col("doc").alias("b")))
     rows = lookup(members, joined.select(F.col("node").alias("doc"), F.col("component").alias("home")), ["doc"], F.xxhash64("g"))
-    rows = materialise(rows.select("g", "doc", "home"))
+    rows = materialise(rows.select("g", "doc", "w", F.coalesce("home", "doc").alias("home")))
     guests = rows.join(rows.select("g", F.col("home").alias("family")).distinct(), "g").where("family <= home")
-    guests = guests.select("doc", "family", (F.col("family") == F.col("home")).alias("own")).distinct()
-    sized = guests.join(sets.select(F.col("doc_id").alias("doc"), "n_shingles"), "doc")
+    own = (F.col("family") == F.col("home")).alias("own")
+    # Signatures shared with a whole family bound those shared with any of it.
+    guests = guests.groupBy("doc", "family", own).agg(F.sum("w").alias("n")).join(sizes.select("doc", "need"), "doc").where("own OR n >= need")
+    guests = guests.select("doc", "family", "own")
+    sizes = sizes.drop("need")
+    sized = guests.join(sizes, "doc")
     need = F.greatest(F.ceil(F.sum("n_shingles") / BLOCK), F.ceil(F.count("*") / BLOCK_DOCS)).cast("int")
     # Most families are one block; only the others are looked up.
     many = lookup(sized, sized.groupBy("family").agg(need.alias("blocks")).where("blocks > 1"), ["family"], F.xxhash64("doc"))
