@@ -365,7 +365,7 @@ SELECT doc_id,
     "ranked_findings": _SCORED
     + "SELECT doc_id, CAST(score AS INTEGER) AS confidence_score, size_bytes, extension FROM sc WHERE score >= 60",
     "rejection_histogram": _TAGGED
-    + "SELECT reason, count(*) AS n FROM outc WHERE outcome = 'rejected' GROUP BY reason ORDER BY n DESC, reason LIMIT 100",
+    + "SELECT reason, count(*) AS n FROM outc WHERE outcome = 'rejected' GROUP BY reason",
     "session_totals": _TAGGED + """
 SELECT image_id, count(*) AS candidates, count(*) FILTER (WHERE outcome = 'accepted') AS accepted,
   CAST(coalesce(sum(size_bytes) FILTER (WHERE outcome = 'accepted'), 0) AS BIGINT) AS bytes_recovered,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,9 +16,14 @@ from tracewell.streaming.timeline import latest_rows, stream_timeline
 _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+def _folder(spark: SparkSession, kind: str) -> str:
+    """A folder of its own below the shared one, which may be on any file system that Spark writes."""
+    return f"{checkpoint_folder(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
+
+
 def _replay(spark: SparkSession, stream: DataFrame, mode: str) -> DataFrame:
     """Run a bounded stream to its end into a table and read it back."""
-    folder = tempfile.mkdtemp(prefix="replay-", dir=checkpoint_folder(spark))
+    folder = _folder(spark, "replay")
     key = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(key, None)
     spark.conf.set(key, _ROCKS)
@@ -55,7 +60,7 @@ def stream_timeline_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stream_ledger_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The orders' ledger with some blocks altered, replayed as files; one row per alert."""
-    folder = tempfile.mkdtemp(prefix="ledger-", dir=checkpoint_folder(spark))
+    folder = _folder(spark, "ledger")
     price = F.get_json_object("certificate_json", "$.device.capacity_bytes").cast("long")
     altered = _chain(spark, sf_dir).withColumn("price", price).withColumn(
         "operator_id", F.when(F.col("price").between(460000, 462999), F.lit("intruder")).otherwise(F.col("operator_id"))

@@ -87,7 +87,8 @@ def missing_outputs(entries: DataFrame, listing: DataFrame) -> DataFrame:
 
 
 def resume_counts(candidates: DataFrame, entries: DataFrame, keys: Sequence[str] = ("image_id",)) -> DataFrame:
-    """Candidates per image that a session already recorded, by payload digest."""
-    done = entries.where(F.col("sha256") != "").select("sha256").distinct()
-    hits = candidates.join(done, "sha256", "left_semi")
+    """Candidates per image that a session already recorded for it (for any image, if entries have no image), by digest."""
+    on = [*[k for k in keys if k in entries.columns], "sha256"]
+    done = entries.where(F.col("sha256") != "").select(*on).distinct()
+    hits = candidates.join(done, on, "left_semi")
     return hits.groupBy(*keys).agg(F.count("*").alias("resumed"))

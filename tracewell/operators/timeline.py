@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.functions import bits
+from tracewell.plans.joins import lookup
 from tracewell.plans.prefix import Running, bucket_of, running, union_all
 
 #: USN positions per bucket; a USN is a byte position in the journal, so this bounds the rows.
@@ -147,8 +148,8 @@ def corroborate(timeline: DataFrame, names: DataFrame, keys: Sequence[str] = ("v
     """Timeline rows that name something, flagged when the name is confirmed elsewhere.
 
     A name is confirmed when the metadata ``names`` hold it, or when an earlier row of the ordered
-    timeline already did. The earliest row per name comes from a combinable minimum, so a name shared
-    by most files is not gathered anywhere.
+    timeline already did. The earliest row per name comes from a combinable minimum, and the rows of a name are salted
+    in both joins, so a name shared by most files is not gathered anywhere.
     """
     position = F.struct(
         (-F.coalesce(F.unix_micros("deleted_at"), F.lit(0))).alias("d"), (-F.col("last_usn")).alias("u"),
@@ -157,9 +158,10 @@ def corroborate(timeline: DataFrame, names: DataFrame, keys: Sequence[str] = ("v
     rows = naming_events(timeline).withColumn("__at", position)
     firsts = rows.groupBy(*keys, "name").agg(F.min("__at").alias("__first"))
     known = names.select(*keys, "name").where(F.col("name").isNotNull()).distinct().withColumn("__known", F.lit(True))
+    salt = F.xxhash64("file_reference", "last_usn")
     return (
-        rows.join(firsts, [*keys, "name"])
-        .join(known, [*keys, "name"], "left")
+        lookup(lookup(rows, firsts, [*keys, "name"], salt), known, [*keys, "name"], salt)
+        .where(F.col("__first").isNotNull())
         .withColumn("corroborated", F.coalesce("__known", F.lit(False)) | (F.col("__at") != F.col("__first")))
         .drop("__at", "__first", "__known")
     )

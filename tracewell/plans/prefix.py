@@ -9,6 +9,7 @@ on ``(key, bucket)``, and the bucket summaries are pre-aggregated before their o
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
@@ -16,6 +17,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracewell.plans.joins import materialise
+
 _BUCKET = "__bucket"
 
 
@@ -60,6 +63,15 @@ def _combine(kind: str, carried: Column, local: Column) -> Column:
     return F.coalesce(local, carried)
 
 
+def _computed_once(df: DataFrame) -> DataFrame:
+    """``df`` as a written table if computing it takes more than a scan: a running value reads its rows twice, and nested
+    ones would double the work at every level."""
+    if df.isStreaming:
+        return df
+    plan = df._jdf.queryExecution().analyzed().toString()
+    return materialise(df) if re.search("Join|Aggregate|Window|Union|Generate|MapIn|FlatMap", plan) else df
+
+
 def running(
     df: DataFrame,
     keys: Sequence[str],
@@ -76,7 +88,7 @@ def running(
     which turns ``last`` into "nearest following". ``inclusive`` counts the row itself as well.
     """
     keys = list(keys)
-    rows = df.withColumn(_BUCKET, bucket)
+    rows = _computed_once(df).withColumn(_BUCKET, bucket)
     totals = rows.groupBy(*keys, _BUCKET).agg(
         *[_plain(s.kind, s.expr, order, descending).alias(f"__t_{s.out}") for s in specs]
     )
