@@ -98,7 +98,7 @@ def trust(blocks: DataFrame, keys: DataFrame, out: str = "key_trusted") -> DataF
     claimed = F.coalesce(_member("$.signature.public_key_fingerprint"), F.lit(""))
     trusted = keys.select(F.col("fingerprint").alias("claimed_fp"), F.lit(True).alias("__t")).distinct()
     # A handful of keys sign everything, so the blocks of one key are dealt over many tasks.
-    joined = lookup(blocks.withColumn("claimed_fp", claimed), trusted, ["claimed_fp"], F.xxhash64("chain_id", "block_index"), _SALT)
+    joined = lookup(blocks.withColumn("claimed_fp", claimed), trusted, ["claimed_fp"], F.xxhash64(*blocks.columns), _SALT)
     return joined.withColumn(out, F.coalesce("__t", F.lit(False)) | (F.col("claimed_fp") == "")).drop("__t")
 
 
