@@ -18,8 +18,11 @@ def strip(text: Column) -> Column:
     return F.regexp_replace(text, _EDGE_SPACE, "")
 
 
-def metadata_problem(text: Column, field: str, max_len: int = 128) -> Column:
-    """The first reason a metadata value is refused, or null when it is acceptable (or absent)."""
+def metadata_problem(text: Column, field: str, max_len: int = 128, trusted: str = TRUSTED_ORGANISATION) -> Column:
+    """The first reason a metadata value is refused, or null when it is acceptable (or absent).
+
+    ``trusted`` is the one organisation whose name may hold otherwise forbidden characters.
+    """
     value = strip(text)
     too_long = F.lit(f"{field} exceeds maximum length of {max_len} characters")
     bad = F.regexp_extract(value, f"[{_CONTROL}{_BIDI}]", 0)
@@ -37,7 +40,7 @@ def metadata_problem(text: Column, field: str, max_len: int = 128) -> Column:
         .when(bad != "", F.when(bad.rlike(f"[{_BIDI}]"), bidi).otherwise(control))
     )
     if field == "organization":
-        rest = F.when(value == TRUSTED_ORGANISATION, F.when(F.length(value) > max_len, too_long)).otherwise(rest)
+        rest = F.when(value == trusted, F.when(F.length(value) > max_len, too_long)).otherwise(rest)
     return F.when(text.isNull(), F.lit(None).cast("string")).when(
         value == "", F.lit(f"{field} cannot be empty")
     ).otherwise(rest)

@@ -248,9 +248,9 @@ def chain_tips(blocks: DataFrame) -> DataFrame:
 
 
 def verify_ledger(
-    blocks: DataFrame, keys: DataFrame, checkpoints: DataFrame, verify: VerifyFn | None = None
+    blocks: DataFrame, keys: DataFrame, checkpoints: DataFrame, verify: VerifyFn | None = None, demo_key: str = DEMO_FINGERPRINT
 ) -> DataFrame:
-    """One verdict per chain.
+    """One verdict per chain; ``demo_key`` is the fingerprint whose signatures count as demonstrations.
 
     Without a trusted key, or without a ``verify`` function to check signatures, a chain can never be
     valid: it is UNVERIFIABLE. Blocks before the first failure count as verified.
@@ -262,7 +262,7 @@ def verify_ledger(
         F.min(F.when(F.col("failure").isNotNull(), F.struct(F.col("block_index").alias("at"), "failure"))).alias("first"),
         F.max("block_index").alias("tip_index"),
         F.max_by("block_hash", "block_index").alias("tip_hash"),
-        F.bool_or(F.col("claimed_fp") == DEMO_FINGERPRINT).alias("is_demo_signed"),
+        F.bool_or(F.col("claimed_fp") == demo_key).alias("is_demo_signed"),
     )
     checked = checkpoint_check(cut_lineage(per_chain), checkpoints)
     # Blocks in front of the first failure are contiguous from 0, so a gap's expected index is the
