@@ -297,8 +297,10 @@ def link_documents(docs: DataFrame, n: int = N, threshold: int = THRESHOLD) -> D
     copies = materialise(copies)
     shared = shared_signatures(docs, sets, n, threshold).join(copies, "doc_id", "left")
     members = shared.groupBy("g", F.coalesce("rep", "doc_id").alias("doc")).agg(F.max("w").alias("w"))
-    several = members.groupBy("g").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high")
-    members = materialise(members.join(several.select("g", F.col("low").alias("center")), "g"))
+    sizes = sets.select(F.col("doc_id").alias("doc"), "n_shingles", "need")
+    members = _likely(_likely(members, sizes), sizes)
+    center = members.groupBy("g").agg(F.min("doc").alias("center"))
+    members = materialise(members.join(center, "g"))
     links = copies.select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     placed = _families(members, sets)
     large = materialise(placed.where((F.col("blocks") > THIN) & F.col("own")).select("doc"))
@@ -319,6 +321,14 @@ def link_documents(docs: DataFrame, n: int = N, threshold: int = THRESHOLD) -> D
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
+def _likely(members: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Members that share as many signatures with all others as a link takes, in the groups that still hold several."""
+    enough = members.groupBy("doc").agg(F.sum("w").alias("n")).join(sizes, "doc").where("n >= need").select("doc")
+    left = materialise(members.join(enough, "doc", "left_semi"))
+    several = left.groupBy("g").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high").select("g")
+    return materialise(left.join(several, "g", "left_semi"))
+
+
 def _families(members: DataFrame, sets: DataFrame) -> DataFrame:
     """(doc, family, own, n_shingles, blocks): the families a document belongs to (own) or visits.
 
@@ -330,11 +340,14 @@ def _families(members: DataFrame, sets: DataFrame) -> DataFrame:
     joined = components(best.select(F.col("center").alias("a"), F.col("doc").alias("b")))
     rows = lookup(members, joined.select(F.col("node").alias("doc"), F.col("component").alias("home")), ["doc"], F.xxhash64("g"))
     rows = materialise(rows.select("g", "doc", "w", F.coalesce("home", "doc").alias("home")))
-    guests = rows.join(rows.select("g", F.col("home").alias("family")).distinct(), "g").where("family <= home")
-    own = (F.col("family") == F.col("home")).alias("own")
+    # Only documents that share enough outside their family can visit another.
+    mixed = rows.groupBy("g").agg(F.min("home").alias("low"), F.max("home").alias("high")).where("low < high").select("g")
+    apart = _likely(materialise(rows.join(mixed, "g", "left_semi")), sizes)
+    guests = apart.join(apart.select("g", F.col("home").alias("family")).distinct(), "g").where("family < home")
     # Signatures shared with a whole family bound those shared with any of it.
-    guests = guests.groupBy("doc", "family", own).agg(F.sum("w").alias("n")).join(sizes.select("doc", "need"), "doc").where("own OR n >= need")
-    guests = guests.select("doc", "family", "own")
+    guests = guests.groupBy("doc", "family").agg(F.sum("w").alias("n")).join(sizes, "doc").where("n >= need")
+    guests = guests.select("doc", "family", F.lit(False).alias("own"))
+    guests = guests.unionByName(rows.select("doc", F.col("home").alias("family"), F.lit(True).alias("own")).distinct())
     sizes = sizes.drop("need")
     sized = guests.join(sizes, "doc")
     need = F.greatest(F.ceil(F.sum("n_shingles") / BLOCK), F.ceil(F.count("*") / BLOCK_DOCS)).cast("int")
