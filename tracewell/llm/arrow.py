@@ -12,7 +12,7 @@ from pyspark.sql.types import StructField, StructType
 
 U64 = np.uint64
 #: Bytes of text that one step of a task works on; a longer text is a step of its own.
-SLICE = 8 << 20
+SLICE = 2 << 20
 _CHUNK = 1 << 18
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)

@@ -30,9 +30,9 @@ _CELLS = 1 << 20
 #: Longer pieces merge by a heap: rounds over a row cost the square of its length.
 _ROW_BYTES = 512
 #: Pieces that a worker remembers.
-_REMEMBERED = 200_000
+_REMEMBERED = 100_000
 #: Bytes of text in one step.
-_STEP = 4 << 20
+_STEP = 2 << 20
 
 
 def read_ranks(path: str) -> dict[bytes, int]:

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm.arrow import LOWER, SLICE, U64, flat, map_text, mix
+from tracewell.llm.arrow import LOWER, U64, flat, map_text, mix
 
 #: The most labelled documents a language's filter is learnt from, the first by a hash of doc_id.
 DOCUMENTS = 5_000
@@ -154,7 +154,7 @@ def predict(docs: DataFrame, filters: Filters, keep: list[str] | None = None) ->
 
     lettered = docs.withColumn("_lettered", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
     carried = [c for c in (docs.columns if keep is None else keep) if c not in ("lang_pred", "score")]
-    found = map_text(lettered, run, "lang_pred string, score double", [*carried, "_lettered"], size=SLICE // 4)
+    found = map_text(lettered, run, "lang_pred string, score double", [*carried, "_lettered"])
     und = ~F.col("_lettered") | F.col("lang_pred").isNull()
     return found.withColumns({
         "lang_pred": F.when(und, "und").otherwise(F.col("lang_pred")), "score": F.when(und, 0.0).otherwise(F.col("score"))

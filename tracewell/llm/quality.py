@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm.arrow import SLICE, SOLID, flat, hash_spans, map_text, words
+from tracewell.llm.arrow import SOLID, flat, hash_spans, map_text, words
 
 #: The most labelled documents of each label that a fit reads, the first by a hash of doc_id.
 DOCUMENTS = 4_000
@@ -190,4 +190,4 @@ def score(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataF
     Repeated rows score alike; an empty table gives no rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    return map_text(docs, lambda column: [pa.array(shared.value.scores(column))], "score double", keep, size=SLICE // 2)
+    return map_text(docs, lambda column: [pa.array(shared.value.scores(column))], "score double", keep)
