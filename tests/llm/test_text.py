@@ -243,6 +243,26 @@ def test_linked_sets_share_a_signature_that_is_not_of_an_empty_part():
                 assert set(signed[sets == 0]) & set(signed[sets == 1])
 
 
+@pytest.mark.parametrize("threshold", [60, 80, 85, 90])
+def test_bands_do_not_depend_on_the_largest_set(threshold):
+    whole = jaccard_join.Bands(threshold, 3_000_000)
+    edges = [x + d for x in whole.least for d in (-1, 0, 1) if 0 < x + d <= 3_000_000]
+    for largest in edges:
+        own = jaccard_join.Bands(threshold, largest)
+        used = int(own.of(np.array([largest]))[0]) + 2
+        assert own.parts[:used].tolist() == whole.parts[:used].tolist(), largest
+
+
+def test_a_pair_at_a_band_edge_links_across_steps(spark):
+    # At 85 hundredths 10-11 shingles are one band and 12-13 the next; each row is a step of its own.
+    texts = spark.range(1, 3, 1, 2).selectExpr("id AS doc_id", "array_join(transform(sequence(1, 13 + id), i -> concat('w', i)), ' ') AS text")
+    docs = texts.localCheckpoint()
+    rows = [tuple(r) for r in docs.collect()]
+    assert docs.rdd.glom().map(len).collect() == [1, 1]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.link_documents(docs, 4, 85).collect()}
+    assert got == plain_components(rows, 4, 85) == {1: (11, 1), 2: (12, 1)}
+
+
 # toxicity, quality and language
 
 

@@ -85,7 +85,8 @@ class Bands:
         top = [x - 1 for x in self.least[1:]]
         # Instance i holds bands i - 1 and i. |s| + |t| bounds the difference of linked sets: (1 - J) / (1 + J) of it.
         top = [top[0], *top]
-        top.append(top[-1] * 100 // threshold)
+        # By the rule of all others, so that instances do not depend on ``largest``: steps build tables of their own.
+        top.append(self.least[-1] * 100 // threshold)
         self.apart = np.array([(100 - threshold) * (a + b) // (100 + threshold) for a, b in zip(top[:-1], top[1:], strict=True)])
         self.parts = self.apart + 1 + (self.apart + 1) // 5
 
