@@ -257,14 +257,26 @@ def carve(
     return CarveResult(recovered, rejected, summary, extents)
 
 
+#: Bytes that a payload column can hold, and those read as one piece.
+CELL = (1 << 31) - (1 << 20)
+PIECE = 64 << 20
+
+
 def structure_payloads(files: DataFrame, spans: DataFrame, images: DataFrame, signatures: DataFrame | None = None) -> DataFrame:
     """Deleted files with their bytes: resident content, or their spans read and joined in file order.
 
-    A file is at most as large as the limit its spans were cut to, so joining its pieces is bounded.
-    Sparse pieces read as zeros. The payload is named by what it contains when it has no extension.
+    Sparse pieces read as zeros. The payload is named by what it contains when it has no extension. A truncated file has
+    its first bytes, no digest. A file longer than a column's cell (``CELL``) has its size, but neither payload nor
+    digest: ``too_long`` says so, and its spans hold all of it.
     """
     signatures = signature_table(images.sparkSession) if signatures is None else signatures
     paths = images.select("image_id", "path")
+    sizes = spans.groupBy("image_id", "record_num").agg(F.sum("length").alias("__long")).where(F.col("__long") > CELL)
+    spans = spans.join(sizes, ["image_id", "record_num"], "left_anti")
+    spans = spans.withColumn("__at", F.explode(F.sequence(F.lit(0).cast("long"), F.col("length") - 1, F.lit(PIECE).cast("long")))).withColumns({
+        "file_offset": F.col("file_offset") + F.col("__at"), "offset": F.col("offset") + F.col("__at"),
+        "length": F.least(F.col("length") - F.col("__at"), F.lit(PIECE)),
+    })
     placed = spans.where(~F.col("is_sparse")).join(paths, "image_id")
     pieces = read_ranges(placed.select("image_id", "record_num", "file_offset", "path", "offset", "length"), "piece").select(
         "image_id", "record_num", "file_offset", "piece"
@@ -277,13 +289,15 @@ def structure_payloads(files: DataFrame, spans: DataFrame, images: DataFrame, si
     )
     assembled = pieces.unionByName(holes).groupBy("image_id", "record_num").agg(joined.alias("__body"))
     whole = files.join(assembled, ["image_id", "record_num"], "left").withColumn("payload", F.coalesce("resident_data", "__body"))
-    named = sniff(whole.where(F.octet_length("payload") > 0), signatures)
+    whole = whole.join(sizes, ["image_id", "record_num"], "left")
+    named = sniff(whole.where((F.octet_length("payload") > 0) | F.col("__long").isNotNull()), signatures)
     suffix = F.lower(F.regexp_extract("name", r"\.([A-Za-z0-9]{1,8})$", 1))
     return named.select(
         "image_id", "record_num", F.col("name").alias("original_name"), F.col("path").alias("original_path"),
         F.coalesce(F.nullif(suffix, F.lit("")), "sniffed.extension", F.lit("bin")).alias("extension"),
         F.coalesce("sniffed.category", F.lit("custom")).alias("category"), F.col("first_data_offset").alias("offset"),
-        F.octet_length("payload").cast("long").alias("size_bytes"), F.sha2("payload", 256).alias("sha256"), "fragment_count",
+        F.coalesce(F.octet_length("payload").cast("long"), "__long").alias("size_bytes"),
+        F.when(~F.col("truncated"), F.sha2("payload", 256)).alias("sha256"), "truncated", F.col("__long").isNotNull().alias("too_long"), "fragment_count",
         (F.col("fragment_count") > 1).alias("is_fragmented"), F.col("mft_changed").alias("deleted_at"),
         provenance(F.lit("ntfs"), F.col("path")).alias("provenance"), F.lit("filesystem_metadata").alias("boundary_method"),
         F.lit("filesystem_structure").alias("recovery_method"), "payload",
@@ -291,8 +305,9 @@ def structure_payloads(files: DataFrame, spans: DataFrame, images: DataFrame, si
 
 
 def combine_recoveries(structure: DataFrame, signature: DataFrame) -> DataFrame:
-    """Structure recoveries first, then signature recoveries that do not repeat a payload."""
+    """Structure recoveries first, then signature recoveries that do not repeat a payload. Without a digest nothing repeats."""
     staged = union_all(
         [structure.withColumn("stage_no", F.lit(0)).withColumn("ord", F.col("record_num").cast("long")), signature.withColumn("stage_no", F.lit(1))]
     )
-    return pay.dedupe_payloads(staged, ["image_id"], "sha256", ["stage_no", "ord"])
+    staged = staged.withColumn("__digest", F.coalesce("sha256", F.concat_ws("-", "stage_no", "ord")))
+    return pay.dedupe_payloads(staged, ["image_id"], "__digest", ["stage_no", "ord"]).drop("__digest")

@@ -84,26 +84,39 @@ def runs_to_extents(
     )
 
 
-def stream_extents(records: DataFrame, geometry: DataFrame, max_bytes: int = 128 << 20) -> DataFrame:
-    """Spans of every record's primary stream; ``geometry`` is ``(image_id, cluster_size, partition_offset)``."""
+def stream_extents(records: DataFrame, geometry: DataFrame, max_bytes: int | None = None) -> DataFrame:
+    """Spans of every record's primary stream; ``geometry`` is ``(image_id, cluster_size, partition_offset)``.
+
+    A stream is as long as its real size, or as its runs where that is not known. ``max_bytes`` clips longer ones, whose
+    spans are ``truncated`` then.
+    """
     attrs = merge_satellites(records).where((F.col("name") == "") & F.col("non_resident"))
     limits = attrs.groupBy("image_id", "record_num").agg(F.sum("real_size").alias("__real"))
     decoded = attrs.withColumn("runs", decode_runs("value"))
     flat = decoded.select("image_id", "record_num", "start_vcn", F.posexplode("runs").alias("run_no", "r")).select(
         "image_id", "record_num", "start_vcn", "run_no", "r.lcn", "r.len"
     )
-    limit = F.when(F.col("__real") > 0, F.least(F.col("__real"), F.lit(max_bytes))).otherwise(F.lit(max_bytes)).cast("long")
+    real = F.when(F.col("__real") > 0, F.col("__real"))
+    limit = (real if max_bytes is None else F.least(real, F.lit(max_bytes))).cast("long")
     ready = flat.join(limits, ["image_id", "record_num"]).join(geometry, "image_id").withColumn("limit_bytes", limit)
     spans = runs_to_extents(ready.drop("__real", "partition_offset"))
+    if max_bytes is None:
+        spans = spans.withColumn("truncated", F.lit(False))
+    else:
+        held = ready.groupBy("image_id", "record_num").agg(
+            (F.least(F.max(real), F.sum(F.col("len") * F.col("cluster_size"))) > max_bytes).alias("truncated")
+        )
+        spans = spans.join(held, ["image_id", "record_num"])
     return spans.join(geometry.select("image_id", "partition_offset"), "image_id").withColumn(
         "offset", F.col("offset") + F.col("partition_offset")
     ).drop("partition_offset")
 
 
-def recover_deleted(records: DataFrame, geometry: DataFrame, max_bytes: int = 128 << 20) -> tuple[DataFrame, DataFrame]:
+def recover_deleted(records: DataFrame, geometry: DataFrame, max_bytes: int | None = None) -> tuple[DataFrame, DataFrame]:
     """``(files, spans)`` of deleted files: names, paths, times and caveats, and where their bytes lie.
 
-    Content of encrypted, compressed or sparse streams is withheld while the name is kept.
+    Content of encrypted, compressed or sparse streams is withheld while the name is kept. Files are whole unless
+    ``max_bytes`` is given; ``truncated`` says of a file and of its spans that it was clipped.
     """
     dead = deleted_records(records)
     named = records.withColumn("__n", primary_name(F.col("names"))).select(
@@ -118,7 +131,7 @@ def recover_deleted(records: DataFrame, geometry: DataFrame, max_bytes: int = 12
     spans = stream_extents(records, geometry, max_bytes)
     primary = F.get(F.filter("attrs", lambda a: (a["type"] == DATA) & (a["name"] == "")), F.lit(0))["real_size"]
     runs = spans.groupBy("image_id", "record_num").agg(
-        F.count("*").alias("__runs"), F.min_by("offset", F.when(~F.col("is_sparse"), F.struct("file_offset"))).alias("first_data_offset")
+        F.count("*").alias("__runs"), F.max("truncated").alias("__truncated"), F.min_by("offset", F.when(~F.col("is_sparse"), F.struct("file_offset"))).alias("first_data_offset")
     )
     files = (
         dead.join(paths, ["image_id", "record_num"], "left").join(streams, ["image_id", "record_num"], "left")
@@ -130,7 +143,7 @@ def recover_deleted(records: DataFrame, geometry: DataFrame, max_bytes: int = 12
             F.when(caveat.isNull(), F.col("resident_data")).alias("resident_data"),
             F.greatest(F.lit(1), F.coalesce("__runs", F.lit(0))).cast("int").alias("fragment_count"),
             F.when(caveat.isNull(), F.col("first_data_offset")).alias("first_data_offset"),
-            (F.size("satellites") > 0).alias("recovered_from_satellite"),
+            (F.size("satellites") > 0).alias("recovered_from_satellite"), F.coalesce("__truncated", F.lit(False)).alias("truncated"),
         )
     )
     readable = files.where("content_caveat IS NULL AND resident_data IS NULL").select("image_id", "record_num")
