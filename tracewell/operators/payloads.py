@@ -133,11 +133,15 @@ def rejection_histogram(rejected: DataFrame, limit: int | None = None) -> DataFr
     return ranked if limit is None else ranked.limit(limit)
 
 
-def rejected_sample(rejected: DataFrame, keys: Sequence[str] = ("image_id",), order: Sequence[str] = ("offset",), *, k: int) -> DataFrame:
+def rejected_sample(rejected: DataFrame, keys: Sequence[str] = ("image_id",), order: Sequence[str] = ("offset",), *, k: int | None) -> DataFrame:
     """The first ``k`` rejected candidates per image, with how many there were in all (``truncated`` if more than ``k``).
 
-    Ranks are taken inside hash slices first, so a noisy image is cut down before its rows meet.
+    All of them if ``k`` is None. Ranks are taken inside hash slices first, so a noisy image is cut down before its rows
+    meet.
     """
+    totals = rejected.groupBy(*keys).agg(F.count("*").alias("rejected_total"))
+    if k is None:
+        return rejected.join(totals, list(keys)).withColumn("truncated", F.lit(False))
     order = list(order)
     slices = F.pmod(F.xxhash64(*order), F.lit(64))
     inner = Window.partitionBy(*keys, "__slice").orderBy(*order)
@@ -150,7 +154,6 @@ def rejected_sample(rejected: DataFrame, keys: Sequence[str] = ("image_id",), or
         .where(F.col("__rn") <= k)
         .drop("__slice", "__rn")
     )
-    totals = rejected.groupBy(*keys).agg(F.count("*").alias("rejected_total"))
     return few.join(totals, list(keys)).withColumn("truncated", F.col("rejected_total") > k)
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from tracewell.functions.text import sanitize_filename
 from tracewell.operators.extents import merge_extents
 from tracewell.operators.ledger import BLOCK_SCHEMA
-from tracewell.operators.payloads import MAX_REJECTION_SAMPLES, rejected_sample, rejection_histogram
+from tracewell.operators.payloads import rejected_sample, rejection_histogram
 
 SESSION_FORMAT = "carve-session"
 SESSION_VERSION = 1
@@ -132,11 +132,11 @@ def read_certificates(spark: SparkSession, path: str) -> DataFrame:
     return docs.withColumn("parsed", F.try_parse_json("certificate_json"))
 
 
-def recovery_index(result, top_reasons: int = 100, sample: int = MAX_REJECTION_SAMPLES) -> dict[str, DataFrame]:
+def recovery_index(result, top_reasons: int | None = None, sample: int | None = None) -> dict[str, DataFrame]:
     """The machine-readable index of a carving result as tables.
 
-    ``recovered`` (without payloads), ``summary``, the most common rejection reasons per run, and a
-    bounded sample of rejections with the full count next to it.
+    ``recovered`` (without payloads), ``summary``, the rejection reasons by how common they are, and the rejections
+    beside their full count; all reasons and rejections unless ``top_reasons`` or ``sample`` asks for the first.
     """
     return {
         "recovered": result.recovered.drop("payload", "ord"),
@@ -146,8 +146,8 @@ def recovery_index(result, top_reasons: int = 100, sample: int = MAX_REJECTION_S
     }
 
 
-def write_recovery_index(result, path: str, fmt: str = "json") -> None:
-    for name, table in recovery_index(result).items():
+def write_recovery_index(result, path: str, fmt: str = "json", top_reasons: int | None = None, sample: int | None = None) -> None:
+    for name, table in recovery_index(result, top_reasons, sample).items():
         table.write.mode("overwrite").format(fmt).save(f"{path}/{name}")
 
 
