@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewell.catalog.common import table
-from tracewell.llm import bpe, decontaminate, embedding_dedup, jaccard_join, langid, line_dedup, quality, secrets, toxicity, warc
+from tracewell.llm import (
+    bpe, decontaminate, embedding_dedup, jaccard_join, langid, line_dedup, periodic_runs, quality, secrets, toxicity, warc,
+)
 
 _AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 _BLANK = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -189,6 +191,47 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.link_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def periodic_tails(docs: DataFrame) -> DataFrame:
+    """``text`` of documents whose crc32 ends in 0, its words from one on repeated with a period; others as they are."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    parts = docs.select("doc_id", "text", F.when(h % 10 == 0, words).alias("ws"), F.floor(h / 10).alias("g"))
+    parts = parts.withColumn("n", F.when(F.size("ws") > 0, F.size("ws").cast("long")))
+    parts = parts.withColumn("a", F.col("g") % F.col("n"))
+    parts = parts.withColumn("p", 1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8)))
+    a, p = F.col("a"), F.col("p")
+    source = lambda i: F.when(i < a, i).otherwise(a + (i - a) % p)
+    tail = F.transform(F.sequence(F.lit(0).cast("long"), F.col("n") - 1), lambda i: F.get("ws", source(i).cast("int")))
+    return parts.select("doc_id", F.when(F.col("n").isNotNull(), F.array_join(tail, " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = periodic_runs.find_runs(periodic_tails(table(spark, sf_dir, "documents")), keep=["doc_id"])
+    # Rows stand by start, then period: the first of those with the greatest exponent stays.
+    top = F.reduce(
+        "runs",
+        F.get("runs", F.lit(0)),
+        lambda best, r: F.when(r["length"] * best["period"] > best["length"] * r["period"], r).otherwise(best),
+    )
+    line = lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))
+    return docs.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        F.sha2(F.array_join(F.transform("runs", line), ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+        top.alias("top"),
+    ).select(
+        "doc_id",
+        "n_runs",
+        "top.start",
+        "top.length",
+        "top.period",
+        F.floor(1000 * F.col("top.length") / F.col("top.period")).alias("exponent_milli"),
+        "runs_sha256",
+        "collapsed_sha256",
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_bpe": op2_bpe,
@@ -200,5 +243,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_secrets": op9_secrets,
     "op10_embedding_dedup": op10_embedding_dedup,
+    "op11_periodic_runs": op11_periodic_runs,
 }
 SQL: dict[str, str] = {"op4_warc": OP4_SQL, "op5_decontaminate": OP5_SQL, "op6_line_dedup": OP6_SQL, "op9_secrets": OP9_SQL}
