@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tracewell.catalog.common import table
 from tracewell.llm import (
-    bpe, decontaminate, embedding_dedup, jaccard_join, langid, line_dedup, periodic_runs, quality, secrets, toxicity, warc,
+    bpe, decontaminate, embedding_dedup, jaccard_join, langid, line_dedup, periodic_runs, prefix_trie, quality, secrets, toxicity, warc,
 )
 
 _AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
@@ -232,6 +232,45 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def shared_openings(rows: DataFrame) -> DataFrame:
+    """Every conversation c of (conv_id, steps) with its first h turns taken from c - c % 100, h from the crc32 of c."""
+    h = (F.crc32(F.col("conv_id").cast("string")) % 6).cast("int")
+    own = rows.select("conv_id", (F.col("conv_id") - F.col("conv_id") % 100).alias("base"), h.alias("h"), "steps")
+    heads = rows.where("conv_id % 100 = 0").select(F.col("conv_id").alias("base"), F.slice("steps", 1, 5).alias("opening"))
+    opening = F.slice(F.coalesce("opening", F.slice("steps", 1, 0)), F.lit(1), F.col("h"))
+    rest = F.slice("steps", F.col("h") + 1, F.size("steps"))
+    return own.join(heads, "base", "left").select("conv_id", F.concat(opening, rest).alias("steps"))
+
+
+_CRC = """xor(list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))),
+  lambda a, b: list_reduce(list_prepend(xor(a, b), range(8)), lambda v, i: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END)), 4294967295)"""
+OP12_SQL = f"""
+WITH own AS (SELECT conv_id, {_CRC} % 6 AS h, list({{'role': coalesce(role, ''), 'text': coalesce(text, '')}} ORDER BY turn NULLS FIRST) AS ts
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+r AS (SELECT o.conv_id, list_concat(coalesce(b.ts[1:o.h], []), o.ts[o.h + 1:]) AS ts FROM own o LEFT JOIN own b ON b.conv_id = o.conv_id - o.conv_id % 100),
+p AS (SELECT conv_id, d, ts[1:d] AS k, d = len(ts) AS ended FROM (SELECT *, unnest(range(0, len(ts) + 1)) AS d FROM r)),
+n AS (SELECT k, d, min(conv_id) AS conv_id, count(*) AS n_convs, string_agg(conv_id, ',' ORDER BY conv_id) FILTER (ended) AS ends,
+  (count(*) - 1) * coalesce(length(k[d].text), 0) AS saved FROM p GROUP BY k, d),
+c AS (SELECT k[1:d - 1] AS k, count(*) AS n_children FROM n WHERE d > 0 GROUP BY ALL),
+m AS (SELECT n.*, coalesce(n_children, 0) AS n_children, q.conv_id AS parent_conv_id
+  FROM n LEFT JOIN c ON c.k = n.k LEFT JOIN n q ON n.d > 0 AND q.d = n.d - 1 AND q.k = n.k[1:n.d - 1]),
+t AS (SELECT a.k, a.d, CAST(sum(m.saved) AS BIGINT) AS saved_tokens, count(*) FILTER (m.n_children = 0) AS n_leaves
+  FROM m JOIN p a ON a.conv_id = m.conv_id AND a.d <= m.d GROUP BY a.k, a.d)
+SELECT conv_id, m.d AS depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, sha256(coalesce(ends, '')) AS ends_sha256
+FROM m JOIN t ON t.d = m.d AND t.k = m.k
+"""
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = prefix_trie.digest_turns(table(spark, sf_dir, "conversations"))
+    trie = prefix_trie.build(shared_openings(prefix_trie.sequences(turns)))
+    ends = prefix_trie.member_digests(trie.members)
+    return trie.nodes.join(ends, "key", "left").select(
+        "conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens",
+        F.coalesce("ends_sha256", F.sha2(F.lit(""), 256)).alias("ends_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_bpe": op2_bpe,
@@ -244,5 +283,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_secrets": op9_secrets,
     "op10_embedding_dedup": op10_embedding_dedup,
     "op11_periodic_runs": op11_periodic_runs,
+    "op12_prefix_trie": op12_prefix_trie,
 }
-SQL: dict[str, str] = {"op4_warc": OP4_SQL, "op5_decontaminate": OP5_SQL, "op6_line_dedup": OP6_SQL, "op9_secrets": OP9_SQL}
+SQL: dict[str, str] = {"op4_warc": OP4_SQL, "op5_decontaminate": OP5_SQL, "op6_line_dedup": OP6_SQL, "op9_secrets": OP9_SQL, "op12_prefix_trie": OP12_SQL}
