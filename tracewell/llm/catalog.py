@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from tracewell.catalog.common import table
 from tracewell.llm import (
-    bpe, decontaminate, embedding_dedup, jaccard_join, langid, line_dedup, periodic_runs, prefix_trie, quality, secrets, toxicity, warc,
+    bpe, decontaminate, embedding_dedup, html_wrappers, jaccard_join, langid, line_dedup, periodic_runs, prefix_trie, quality,
+    secrets, toxicity, warc,
 )
 
 _AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
@@ -271,6 +272,11 @@ def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_html_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = html_wrappers.extract(table(spark, sf_dir, "pages"))
+    return pages.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_bpe": op2_bpe,
@@ -284,5 +290,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_embedding_dedup": op10_embedding_dedup,
     "op11_periodic_runs": op11_periodic_runs,
     "op12_prefix_trie": op12_prefix_trie,
+    "op13_html_wrappers": op13_html_wrappers,
 }
 SQL: dict[str, str] = {"op4_warc": OP4_SQL, "op5_decontaminate": OP5_SQL, "op6_line_dedup": OP6_SQL, "op9_secrets": OP9_SQL, "op12_prefix_trie": OP12_SQL}
