@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -46,12 +48,23 @@ def slices(batch: pa.RecordBatch, column: str = "text", size: int = SLICE) -> It
         i = j
 
 
+def release() -> None:
+    """Give freed memory back at the end of a task: the worker lives on and serves other stages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def map_text(
-    docs: DataFrame, function: Callable[[pa.Array], list[pa.Array]], fields: str, keep: list[str] | None = None, column: str = "text", size: int = SLICE
-) -> DataFrame:
+    docs: DataFrame, function: Callable[[pa.Array], list[pa.Array]], fields: str, keep: list[str] | None = None, column: str = "text", size: int = SLICE,
+    done: Callable[[], None] = release,
+) -> DataFrame:
     """Columns ``fields``, which ``function`` makes of the texts, beside the columns to keep (all, unless named).
 
-    New columns replace kept ones of the same name.
+    New columns replace kept ones of the same name. ``done`` is called when a task ends.
     """
     new = StructType.fromDDL(fields).fields
     names = [f.name for f in new]
@@ -63,6 +76,7 @@ def map_text(
             for part in slices(batch, column, size):
                 made = function(part.column(column))
                 yield pa.RecordBatch.from_arrays([*[part.column(c) for c in keep], *made], [*keep, *names])
+        done()
 
     return docs.select(*dict.fromkeys([*keep, column])).mapInArrow(run, schema)
 

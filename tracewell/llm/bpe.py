@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from tracewell.llm.arrow import U64, gather, map_text
+from tracewell.llm.arrow import gather, map_text, release, U64
 
 _NONE = np.int64(1 << 40)
 _EMPTY = U64((1 << 64) - 1)
@@ -278,7 +278,12 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, keep: list[str] | Non
     def run(column: pa.Array) -> list[pa.Array]:
         return [_listed(*_encoder(shared).encode(column.fill_null("").to_pylist()))]
 
-    return map_text(docs, run, "ids array<int>", keep, size=_STEP)
+    def done() -> None:
+        # The pieces that an encoder remembers serve one task.
+        _encoder.cache_clear()
+        release()
+
+    return map_text(docs, run, "ids array<int>", keep, size=_STEP, done=done)
 
 
 def decode(encoded: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
@@ -304,5 +309,6 @@ def decode(encoded: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
                 where = pa.py_buffer(np.concatenate([[0], ends]).astype(np.int64))
                 made = pa.Array.from_buffers(pa.large_binary(), len(counts), [None, where, pa.py_buffer(data)])
                 yield pa.RecordBatch.from_arrays([*[part.column(c) for c in names], made.cast(pa.binary())], [*names, "decoded"])
+        release()
 
     return encoded.mapInArrow(run, schema)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm.arrow import LOWER, SOLID, U64, flat, hash_spans, map_text, mix, slices, windows, words
+from tracewell.llm.arrow import LOWER, SOLID, U64, flat, hash_spans, map_text, mix, release, slices, windows, words
 from tracewell.llm.graph import components
 from tracewell.llm.tables import lookup, materialise
 
@@ -33,7 +33,7 @@ THRESHOLD = 80
 #: Partitions of the domain that are tried before empty parts are signed.
 LEVELS = 3
 #: Bytes of text in one step of a task.
-STEP = 4 << 20
+STEP = 1 << 20
 #: Rows of ids that are broadcast: at most some tens of megabytes.
 BROADCAST = 1_000_000
 #: Shingles and documents of one block of a family, and the blocks from which on a family is thinned first.
@@ -190,6 +190,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], n: int, threshold: int, buckets:
                 docs, runs = np.unique(sets[a:b], return_counts=True)
                 made.append(_packed(ids[docs], runs, signed[a:b] >> U64(16)))
             yield pa.RecordBatch.from_arrays([pa.array(names.astype(np.int64)), pa.array(made, pa.binary())], names=["bucket", "block"])
+    release()
 
 
 def _packed(ids: np.ndarray, runs: np.ndarray, signed: np.ndarray) -> bytes:
