@@ -70,7 +70,7 @@ def test_tables_follow_the_number_of_vectors():
 
 
 def test_warc_records(spark, tmp_path):
-    html = '<html><title>T &amp;lt; x</title><script>var a="<p>no</p>";</script><!-- gone --><p>One&nbsp;two<br>three &#233;&#x1F642;&#0;</p><A class=b href="/x">link</A><style>p{}'
+    html = '<html><title>T &amp;lt; x</title><script>var a="<p>no</p>";</script><!-- gone --><p>One&nbsp;two<br>three &#233;&#x1F642;&#0;</p><A class=b href="/x">link</A><a href=\'/y?a="b"\' ><a\tid=q href = /z/><style>p{}'
     rows = [
         ("<urn:a>", "http://h/1", "2021-05-05T00:00:00Z", "HTTP/1.1 200 OK\r\nContent-Type: text/html\r\nX: y\r\n\r\n", html, 1),
         ("<urn:b>", None, None, "HTTP/1.1 200 OK\r\ncontent-type: image/png\r\n\r\n", "png", 2),
@@ -83,7 +83,7 @@ def test_warc_records(spark, tmp_path):
     assert text["<urn:a>"] == "T &lt; x\nOne two\nthree é🙂�\nlink" and text["<urn:c>"] == "a <b> c" and "<urn:b>" not in text
     meta = {r.refers_to: r for r in out if r.warc_type == "metadata"}
     assert len(meta) == 4
-    assert "source-http-header: X: y\r\n" in meta["<urn:a>"].block and "outlink: /x\r\n" in meta["<urn:a>"].block
+    assert "source-http-header: X: y\r\n" in meta["<urn:a>"].block and "outlink: /x\r\noutlink: /y?a=\"b\"\r\noutlink: /z/\r\n" in meta["<urn:a>"].block
     conversion = next(r for r in out if r.warc_type == "conversion" and r.refers_to == "<urn:a>")
     assert f"conversion-record-id: {conversion.record_id}\r\n" in meta["<urn:a>"].block
     assert "WARC-Target-URI" not in meta["<urn:b>"].header and "WARC-Refers-To: <urn:b>" in meta["<urn:b>"].header

@@ -151,7 +151,8 @@ UNION ALL SELECT 'metadata', mid, src, url, 'application/warc-fields',
   'source-record-id: ' || src || {_CRLF} || 'source-block-digest: sha256:' || sha256(http || html) || {_CRLF} || 'source-payload-digest: sha256:' || sha256(html) || {_CRLF}
   || 'source-http-status: HTTP/1.1 200 OK' || {_CRLF} || 'source-http-header: Content-Type: text/html; charset=utf-8' || {_CRLF}
   || 'source-http-header: Content-Length: ' || octet_length(encode(html)) || {_CRLF} || 'conversion-record-id: ' || cid || {_CRLF}
-  || coalesce(array_to_string(list_transform(regexp_extract_all(html, '(?i)<a[ \\t\\r\\n][^>]*?href="([^"]*)"', 1), lambda x: 'outlink: ' || regexp_replace(x, '[\\r\\n]', '', 'g') || {_CRLF}), ''), '') FROM t4)
+  || coalesce(array_to_string(list_transform(regexp_extract_all(html, '(?i)<a[ \\t\\r\\n](?:[^>]*?[ \\t\\r\\n"''])?href[ \\t\\r\\n]*=[ \\t\\r\\n]*("[^"]*"|''[^'']*''|[^ \\t\\r\\n"''>]+)', 1),
+    lambda x: 'outlink: ' || regexp_replace(x, '^["'']|["'']$|[\\r\\n]', '', 'g') || {_CRLF}), ''), '') FROM t4)
 SELECT warc_type, record_id, refers_to, target_uri, octet_length(encode(block)) AS content_length, 'sha256:' || sha256(block) AS block_digest,
   concat_ws({_CRLF}, 'WARC/1.1', 'WARC-Type: ' || warc_type, 'WARC-Record-ID: ' || record_id, 'WARC-Refers-To: ' || refers_to,
     'WARC-Target-URI: ' || regexp_replace(target_uri, '[\\r\\n]', '', 'g'), 'WARC-Date: 2020-01-01T00:00:00Z', 'WARC-Block-Digest: sha256:' || sha256(block), 'Content-Type: ' || kind,

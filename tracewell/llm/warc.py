@@ -15,6 +15,8 @@ _NAMED = {
     "&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&middot;": "·", "&copy;": "©", "&reg;": "®",
     "&hellip;": "…", "&ndash;": "–", "&mdash;": "—", "&lsquo;": "‘", "&rsquo;": "’", "&ldquo;": "“", "&rdquo;": "”",
 }
+#: A link's target: in double quotes, single quotes or none.
+_LINK = r"""(?i)<a[ \t\r\n](?:[^>]*?[ \t\r\n"'])?href[ \t\r\n]*=[ \t\r\n]*("[^"]*"|'[^']*'|[^ \t\r\n"'>]+)"""
 _NUMERIC = r"&#([xX][0-9a-fA-F]{1,6}|[0-9]{1,7});"
 
 
@@ -28,8 +30,8 @@ def _urn(seed: Column) -> Column:
     return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *[F.substring(h, *p) for p in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]), F.lit(">"))
 
 
-def _numeric(text: Column) -> Column:
-    """Numeric character references decoded; those that name no character become U+FFFD."""
+def _numeric(text: str) -> Column:
+    """Numeric character references of a column decoded; those that name no character become U+FFFD."""
     codes = F.regexp_extract_all(text, F.lit(_NUMERIC), F.lit(1))
 
     def char(code: Column) -> Column:
@@ -38,21 +40,35 @@ def _numeric(text: Column) -> Column:
         return F.decode(F.unhex(F.lpad(F.hex(F.when(good, number).otherwise(0xFFFD)), 8, "0")), "UTF-32")
 
     pieces = F.zip_with(F.split(text, _NUMERIC, -1), F.transform(codes, char), lambda gap, c: F.concat(gap, F.coalesce(c, F.lit(""))))
-    return F.when(F.contains(text, F.lit("&#")), F.array_join(pieces, "")).otherwise(text)
+    return F.when(F.contains(F.col(text), F.lit("&#")), F.array_join(pieces, "")).otherwise(F.col(text))
 
 
-def plain_text(html: Column) -> Column:
-    """The readable text of a page: no comments, scripts or styles, a line per block, blanks collapsed."""
+def _named(text: str) -> Column:
+    """Named character references of a column decoded, but for the ampersand's."""
+    out = F.col(text)
+    for name, char in _NAMED.items():
+        out = F.replace(out, F.lit(name), F.lit(char))
+    return F.when(F.contains(F.col(text), F.lit("&")), out).otherwise(F.col(text))
+
+
+def _stripped(html: Column) -> Column:
+    """A page without comments, scripts, styles and tags, with a line end for every block."""
     text = F.regexp_replace(html, r"(?s)<!--.*?(-->|\z)", "")
     for tag in ("script", "style"):
         text = F.regexp_replace(text, rf"(?is)<{tag}([ \t\r\n][^>]*)?>.*?(</{tag}[ \t\r\n]*>|\z)", "")
     text = F.regexp_replace(text, rf"(?i)</?({_BLOCK_TAGS})([ \t\r\n/][^>]*)?>", "\n")
-    text = F.regexp_replace(text, r"<[a-zA-Z/!?][^>]*>", "")
-    for name, char in _NAMED.items():
-        text = F.replace(text, F.lit(name), F.lit(char))
-    text = F.replace(_numeric(text), F.lit("&amp;"), F.lit("&"))
-    text = F.regexp_replace(text, r"[ \t\r\f]+", " ")
-    return F.btrim(F.regexp_replace(text, r" ?\n[ \n]*", "\n"), F.lit(" \n"))
+    return F.regexp_replace(text, r"<[a-zA-Z/!?][^>]*>", "")
+
+
+def with_plain_text(rows: DataFrame, html: Column, name: str) -> DataFrame:
+    """``rows`` with the readable text of pages: no markup, a line per block, blanks collapsed; null stays null.
+
+    Each step that names its input several times reads a column of its own, so that no step is computed twice.
+    """
+    rows = rows.withColumn("_stripped", _stripped(html)).withColumn("_named", _named("_stripped")).withColumn("_decoded", _numeric("_named"))
+    text = F.regexp_replace(F.replace("_decoded", F.lit("&amp;"), F.lit("&")), r"[ \t\r\f]+", " ")
+    text = F.btrim(F.regexp_replace(text, r" ?\n[ \n]*", "\n"), F.lit(" \n"))
+    return rows.withColumn(name, text).drop("_stripped", "_named", "_decoded")
 
 
 def page_responses(pages: DataFrame, date: str = DATE) -> DataFrame:
@@ -87,12 +103,12 @@ def derive(responses: DataFrame) -> DataFrame:
         kind.alias("kind"),
         _urn(F.concat(F.lit("conversion|"), "refers_to")).alias("conversion_id"),
         _urn(F.concat(F.lit("metadata|"), "refers_to")).alias("metadata_id"),
-        F.regexp_extract_all("payload", F.lit(r"(?i)<a[ \t\r\n][^>]*?href=\"([^\"]*)\""), F.lit(1)).alias("outlinks"),
+        F.regexp_extract_all("payload", F.lit(_LINK), F.lit(1)).alias("outlinks"),
         F.filter(F.split("http", "\r?\n"), lambda x: x != "").alias("lines"),
     )
     html = F.col("kind").isin("", "text/html", "application/xhtml+xml")
-    converted = F.when(html, plain_text(F.col("payload"))).when(F.startswith("kind", F.lit("text/")), F.col("payload"))
-    parts = parts.withColumn("conversion", converted)
+    parts = with_plain_text(parts, F.when(html, F.col("payload")), "readable")
+    parts = parts.withColumn("conversion", F.when(html, F.col("readable")).when(F.startswith("kind", F.lit("text/")), F.col("payload")))
     fields = F.concat(
         F.array(
             F.concat(F.lit("source-record-id: "), "refers_to"),
@@ -101,7 +117,7 @@ def derive(responses: DataFrame) -> DataFrame:
         ),
         F.transform("lines", lambda x, i: F.concat(F.when(i == 0, F.lit("source-http-status: ")).otherwise(F.lit("source-http-header: ")), x)),
         F.when(F.col("conversion").isNotNull(), F.array(F.concat(F.lit("conversion-record-id: "), "conversion_id"))).otherwise(F.array()),
-        F.transform("outlinks", lambda x: F.concat(F.lit("outlink: "), F.regexp_replace(x, "[\r\n]", ""))),
+        F.transform("outlinks", lambda x: F.concat(F.lit("outlink: "), F.regexp_replace(x, "^[\"']|[\"']$|[\r\n]", ""))),
     )
     meta = F.struct(
         F.lit("metadata").alias("warc_type"), F.col("metadata_id").alias("record_id"), F.lit("application/warc-fields").alias("content_type"),
