@@ -54,16 +54,16 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _spans_sql(kind: str, place: int, pattern: str, test: str) -> str:
     p = pattern.replace("'", "''")
     return f"""
-SELECT doc_id, {place} AS place, '{kind}' AS kind, gap_end + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: length(x))), 0) AS s0, length(ms[i]) AS n
-FROM (SELECT doc_id, ms, tests, i, list_sum(list_transform(gs[1:i], lambda x: length(x))) AS gap_end FROM (
-  SELECT doc_id, ms, tests, gs, unnest(range(1, len(ms) + 1)) AS i FROM (
-    SELECT doc_id, regexp_extract_all(t, '{p}') AS ms, regexp_extract_all(t, '{p}', {2 if kind == "assign" else 0}) AS tests,
+SELECT rid, {place} AS place, '{kind}' AS kind, gap_end + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: length(x))), 0) AS s0, length(ms[i]) AS n
+FROM (SELECT rid, ms, tests, i, list_sum(list_transform(gs[1:i], lambda x: length(x))) AS gap_end FROM (
+  SELECT rid, ms, tests, gs, unnest(range(1, len(ms) + 1)) AS i FROM (
+    SELECT rid, regexp_extract_all(t, '{p}') AS ms, regexp_extract_all(t, '{p}', {2 if kind == "assign" else 0}) AS tests,
       string_split_regex(t, '{p}') AS gs FROM d)))
 WHERE {test}"""
 
 
 OP9_SQL = (
-    "WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), m AS ("
+    "WITH d AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents), m AS ("
     + " UNION ALL ".join([
         _spans_sql(
             "assign", 0,
@@ -78,15 +78,15 @@ OP9_SQL = (
         _spans_sql("chat", 6, r"xox[abprs]-[0-9A-Za-z-]+", "length(ms[i]) >= 15"),
         _spans_sql("cloud", 7, r"AIza[0-9A-Za-z_-]+", "length(ms[i]) >= 39"),
     ])
-    + """), s AS (SELECT doc_id, place, kind, CAST(coalesce(s0, 0) AS BIGINT) AS start, CAST(coalesce(s0, 0) AS BIGINT) + n AS stop FROM m),
-g AS (SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access,
+    + """), s AS (SELECT rid, place, kind, CAST(coalesce(s0, 0) AS BIGINT) AS start, CAST(coalesce(s0, 0) AS BIGINT) + n AS stop FROM m),
+g AS (SELECT rid, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access,
   count(*) FILTER (kind = 'hex') AS n_hex,
   string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, place) FILTER (place < 3) AS base,
   string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, place) AS spans
-FROM s GROUP BY doc_id)
+FROM s GROUP BY rid)
 SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
   sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
-FROM documents LEFT JOIN g USING (doc_id)
+FROM d LEFT JOIN g USING (rid)
 """
 )
 
@@ -183,7 +183,7 @@ v AS (SELECT doc_id, n, i, array_to_string(ws[i:i + n - 1], ' ') AS phrase FROM
   SELECT doc_id, ws, n, unnest(range(1, len(ws) - n + 2)) AS i FROM d, z WHERE len(ws) >= n)),
 h AS (SELECT v.doc_id, v.i, v.n, w.item_id FROM v JOIN w USING (n, phrase)),
 c AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM h) GROUP BY doc_id),
-t AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS items FROM (SELECT DISTINCT doc_id, item_id FROM h) GROUP BY doc_id)
+t AS (SELECT doc_id, count(item_id) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS items FROM (SELECT DISTINCT doc_id, item_id FROM h) GROUP BY doc_id)
 SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
   sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated
 FROM d LEFT JOIN c USING (doc_id) LEFT JOIN t USING (doc_id)

@@ -18,8 +18,9 @@ from pyspark.sql.types import StructField, StructType
 
 from tracewell.llm.arrow import LOWER, U64, WORD, flat, hash_spans, map_text, slices, windows, words
 
-#: Bytes of test items in one broadcast set. A larger benchmark is scanned in so many more passes, each with its own set.
-BLOCK_BYTES = 32 << 20
+#: Bytes of test items in one broadcast set, which takes some 70 times as much in a worker. A larger benchmark is scanned
+#: in so many more passes, each with its own set.
+BLOCK_BYTES = 2 << 20
 N = 13
 _FIELDS = "n_words long, ranges array<struct<first:int,last:int>>, items array<string>"
 
@@ -88,7 +89,7 @@ def _scan(column: pa.Array, grams: NgramSet) -> list[pa.Array]:
         own = np.concatenate([[0], hit[before[d] : before[d + 1]].astype(np.int8), [0]])
         step = np.diff(own)
         ranges[d] = [{"first": int(a), "last": int(b) - 1} for a, b in zip(np.flatnonzero(step == 1), np.flatnonzero(step == -1), strict=True)]
-    items = [sorted(grams.items[k] for k in owned.get(d, ())) for d in range(len(counts))]
+    items = [sorted(grams.items[k] for k in owned.get(d, ()) if grams.items[k] is not None) for d in range(len(counts))]
     return [
         pa.array(counts, pa.int64()),
         pa.array(ranges, pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))),
@@ -110,7 +111,7 @@ def _covered(ranges: Column) -> Column:
 
 
 def _blocks(benchmark: DataFrame, block_bytes: int) -> list[DataFrame]:
-    rows = benchmark.where("item_id IS NOT NULL").select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text"))
+    rows = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = -(-int(total) // block_bytes) or 1
     return [rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k) for k in range(n)]
@@ -121,26 +122,25 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, n: int = N, keep:
 
     ``ranges`` are the runs of hit words (first and last, counted from 0), ``items`` the sorted item_ids that occur. A
     document is contaminated if hit words come to a twentieth of its words or more. Null and empty texts have no words;
-    items without words never occur, nor do items without an item_id; items that share an id count as one. An empty
-    benchmark leaves every document clean; empty ``docs`` give no rows. ``keep`` names the columns to carry (default
-    all). The benchmark is read to the driver in blocks of about ``block_bytes``; with more than one block, doc_id must
-    be unique and not null.
+    items without words never occur; items without an item_id hit words, but are not named; items that share an id count
+    as one. Rows of ``docs`` are judged each by itself, whatever their doc_id. An empty benchmark leaves every document
+    clean; empty ``docs`` give no rows. ``keep`` names the columns to carry (default all). The benchmark is read to the
+    driver in blocks of about ``block_bytes``; a text passes the sets of all blocks in one task.
     """
     sc = docs.sparkSession.sparkContext
     blocks = _blocks(benchmark, block_bytes)
     carried = docs.columns if keep is None else keep
-    out = None
-    for i, block in enumerate(blocks):
+    names = [c for c in carried if c not in _MADE]
+    out = docs.select(*dict.fromkeys([*names, "text"]))
+    for block in blocks:
         grams = sc.broadcast(NgramSet([tuple(r) for r in block.collect()], n))
-        found = map_text(docs, lambda column, grams=grams: _scan(column, grams.value), _FIELDS, carried if i == 0 else ["doc_id"])
-        if i == 0:
-            out = found
-            continue
-        more = found.where(F.size("ranges") > 0).select("doc_id", F.col("ranges").alias("_r"), F.col("items").alias("_i"))
-        out = out.join(more, "doc_id", "left").withColumns({
-            "ranges": F.when(F.col("_r").isNull(), F.col("ranges")).otherwise(F.concat("ranges", F.col("_r"))),
-            "items": F.when(F.col("_i").isNull(), F.col("items")).otherwise(F.concat("items", F.col("_i"))),
-        }).drop("_r", "_i")
+        first = "ranges" not in out.columns
+        before = out if first else out.withColumnsRenamed({"ranges": "_ranges", "items": "_items"})
+        out = map_text(before, lambda column, grams=grams: _scan(column, grams.value), _FIELDS)
+        if not first:
+            joined = {"ranges": F.concat("_ranges", "ranges"), "items": F.concat("_items", "items")}
+            out = out.withColumns(joined).drop("_ranges", "_items")
+    out = out.select(*names, "n_words", "ranges", "items")
     hit = _covered(F.col("ranges"))
     return out.withColumns({"items": F.array_sort(F.array_distinct("items")), "n_hit": hit}).withColumn(
         "contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * 20 >= F.col("n_words"))

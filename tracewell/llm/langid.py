@@ -10,7 +10,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewell.llm.arrow import LOWER, U64, flat, map_text, mix
@@ -27,7 +27,6 @@ DISTINCT = 0.1
 GRAMS = 20_000
 SLOT_BITS = 20
 PROBES = 2
-LANGUAGES = 64
 
 _LETTER = np.zeros(256, dtype=bool)
 _LETTER[65:91] = _LETTER[97:123] = _LETTER[128:] = True
@@ -57,7 +56,7 @@ def _grams(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Filters(NamedTuple):
-    """``slots``: the languages' bits; ``chance``: how likely an n-gram outside passes each language's filter."""
+    """``slots``: the languages' bits, a row of 64-bit words for every 64 languages; ``chance``: how likely an n-gram outside passes each language's filter."""
 
     languages: list[str]
     slots: np.ndarray
@@ -69,11 +68,11 @@ class Filters(NamedTuple):
         return [((grams >> U64(20 * k)) & mask).astype(np.int64) for k in range(PROBES)]
 
     def masks(self, grams: np.ndarray) -> np.ndarray:
-        """For every n-gram the languages whose filters hold it, as bits."""
+        """For every n-gram the languages whose filters hold it, as bits of as many words as slots have."""
         first, *rest = self.probes(grams)
-        out = self.slots[first]
+        out = self.slots[:, first]
         for at in rest:
-            out = out & self.slots[at]
+            out = out & self.slots[:, at]
         return out
 
     def decide(self, column: pa.Array) -> tuple[list[str | None], np.ndarray]:
@@ -83,7 +82,7 @@ class Filters(NamedTuple):
         total = np.bincount(owner, minlength=len(column)).astype(float)
         counts = np.zeros((len(self.languages), len(column)))
         for k in range(len(self.languages)):
-            hit = np.bincount(owner[(masks >> U64(k)) & U64(1) > 0], minlength=len(column))
+            hit = np.bincount(owner[(masks[k // 64] >> U64(k % 64)) & U64(1) > 0], minlength=len(column))
             counts[k] = np.maximum(0, hit - self.chance[k] * total) / (1 - self.chance[k])
         if not self.languages:
             return [None] * len(column), np.zeros(len(column))
@@ -95,22 +94,17 @@ class Filters(NamedTuple):
 def fit(docs: DataFrame, documents: int = DOCUMENTS) -> Filters:
     """Fit on text and lang of ``docs``; pass only the rows that may be learnt from.
 
-    Languages are put in order of their documents, most first, then by name; at most ``LANGUAGES`` fit the bits, and more
-    are refused. Rows with a null text or lang are not learnt from; without any, no language is known.
+    Languages, however many, are put in order of their documents, most first, then by name. Rows with a null text or lang are not learnt from; without any, no language is known.
     """
     known = docs.where("text IS NOT NULL AND lang IS NOT NULL").select("doc_id", "text", F.col("lang").cast("string").alias("lang"))
-    sizes = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES + 1).collect()
-    if len(sizes) > LANGUAGES:
-        raise ValueError(f"more than {LANGUAGES} languages")
+    sizes = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()
     languages = [r["lang"] for r in sizes]
-    # Each language in turn keeps the first documents by hash; ids alone are sorted.
-    ids = None
-    for lang in languages:
-        own = known.where(F.col("lang") == lang).select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(documents)
-        ids = own if ids is None else ids.unionByName(own)
-    slots = np.zeros(1 << SLOT_BITS, U64)
-    if ids is None:
+    slots = np.zeros((-(-len(languages) // 64), 1 << SLOT_BITS), U64)
+    if not languages:
         return Filters([], slots, np.zeros(0))
+    # Of each language the first documents by hash; ids alone are ranked, and tasks cut them down before they meet.
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
+    ids = known.select("lang", "doc_id").withColumn("rank", rank).where(F.col("rank") <= documents).select("doc_id")
     sample = known.join(F.broadcast(ids.distinct()), "doc_id", "left_semi")
 
     def distinct(column: pa.Array) -> list[pa.Array]:
@@ -134,8 +128,8 @@ def fit(docs: DataFrame, documents: int = DOCUMENTS) -> Filters:
         own = np.flatnonzero((table[:, k] >= SHARE) & (table[:, k] >= DISTINCT * table.max(axis=1)))
         own = own[np.argsort(-table[own, k], kind="stable")][:GRAMS]
         for at in Filters.probes(grams[own]):
-            slots[at] |= U64(1 << k)
-    fill = np.array([((slots >> U64(k)) & U64(1)).mean() for k in range(len(languages))])
+            slots[k // 64, at] |= U64(1 << k % 64)
+    fill = np.array([((slots[k // 64] >> U64(k % 64)) & U64(1)).mean() for k in range(len(languages))])
     return Filters(languages, slots, fill**PROBES)
 
 
@@ -143,7 +137,7 @@ def predict(docs: DataFrame, filters: Filters, keep: list[str] | None = None) ->
     """``docs`` with lang_pred and score (0 to 1), which replace columns of these names.
 
     A null text, or one without a letter, is ``und`` with score 0. Where no filter holds any n-gram, or no language is
-    known, the answer is the most common language, or ``und`` if there is none, with score 0. Only the text counts;
+    known, the answer is the most common language, or ``und`` if there is none, with score 0. An empty table gives an empty one. Only the text counts;
     repeated rows answer alike. ``keep`` names the columns to carry (default all).
     """
     shared = docs.sparkSession.sparkContext.broadcast(filters)

@@ -121,15 +121,22 @@ def _trigrams(query: tuple | str | None) -> list[str]:
     return [query] if isinstance(query, str) else [t for part in query[1:] for t in _trigrams(part)]
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """(key, doc_id, text): rows of one id and one text share a key, null ids and ids of several texts included."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    owner = F.coalesce(F.concat(F.lit("id "), F.col("doc_id").cast("string")), F.lit("none"))
+    return docs.select(F.concat_ws(" ", F.md5(text), owner).alias("key"), "doc_id", text.alias("text"))
+
+
 def postings(docs: DataFrame, trigrams: list[str]) -> DataFrame:
-    """(t, doc_id): the inverted index over whole lower-cased texts for the given trigrams, by their place in the list."""
-    low = docs.select("doc_id", ascii_lower(F.col("text")).alias("low"))
+    """(t, key): the inverted index over whole lower-cased texts for the given trigrams, by their place in the list."""
+    low = docs.select("key", ascii_lower(F.col("text")).alias("low"))
     found = F.array_compact(F.array(*[F.when(F.contains("low", F.lit(t)), i) for i, t in enumerate(trigrams)]))
-    return low.select("doc_id", F.explode(found).alias("t"))
+    return low.select("key", F.explode(found).alias("t"))
 
 
 def candidates(docs: DataFrame, rules: list[Rule]) -> DataFrame:
-    """(doc_id, rules): the rules, as bits by their place, whose trigram queries the document's postings satisfy."""
+    """(key, rules): the rules, as bits by their place, whose trigram queries the document's postings satisfy."""
     asked = [trigram_query(r.pattern) for r in rules]
     trigrams = sorted({t for q in asked for t in _trigrams(q)})
     index = materialise(postings(docs, trigrams))
@@ -153,7 +160,7 @@ def candidates(docs: DataFrame, rules: list[Rule]) -> DataFrame:
     for i, query in enumerate(asked):
         if query is not None:
             bits = bits.bitwiseOR(F.when(holds(query), F.lit(1 << i)).otherwise(F.lit(0)).cast("long"))
-    return index.groupBy("doc_id").agg(*masks).select("doc_id", bits.alias("rules")).where("rules <> 0")
+    return index.groupBy("key").agg(*masks).select("key", bits.alias("rules")).where("rules <> 0")
 
 
 def _matches(i: int, rule: Rule, gate: Column | None) -> Column:
@@ -177,39 +184,43 @@ def find_secrets(docs: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
     """(doc_id, kind, rule, start, end): every match of every rule in whole texts, by code points, ``end`` exclusive.
 
     Matches of one rule are leftmost and do not overlap; a match that fails its length test still consumes its text.
-    ``docs`` needs doc_id and text. Null and empty texts hold nothing, so documents without matches have no row. Exact
-    repeats of a row count once. Other columns are not read. An empty table gives no rows.
+    ``docs`` needs doc_id and text. Null and empty texts hold nothing, so documents without matches have no row. Rows of
+    one doc_id (null or not) with different texts are searched each by itself; exact repeats of a row count once. Other
+    columns are not read. An empty table gives no rows.
     """
+    return _found(_keyed(docs), rules).drop("key")
+
+
+def _found(known: DataFrame, rules: list[Rule] | None) -> DataFrame:
     rules = [*BASE_RULES, *MORE_RULES] if rules is None else rules
-    known = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    asked = candidates(known, rules)
-    joined = known.join(asked, "doc_id", "left")
+    joined = known.join(candidates(known, rules), "key", "left")
     found = []
     for i, rule in enumerate(rules):
         gate = F.coalesce(F.getbit("rules", F.lit(i)) == 1, F.lit(False)) if trigram_query(rule.pattern) is not None else None
         found.append(F.coalesce(_matches(i, rule, gate), F.expr("array()").cast("array<struct<k:int,n:int,gap:int,len:int,test:int>>")))
-    rows = joined.select("doc_id", F.explode(F.concat(*found)).alias("m")).select("doc_id", "m.*").distinct()
-    order = Window.partitionBy("doc_id", "k").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
+    rows = joined.select("key", "doc_id", F.explode(F.concat(*found)).alias("m")).select("key", "doc_id", "m.*").distinct()
+    order = Window.partitionBy("key", "k").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
     ends = rows.withColumn("end", F.sum(F.col("gap") + F.col("len")).over(order))
     least = F.element_at(F.array(*[F.lit(r.least) for r in rules]), F.col("k") + 1)
     kind = F.element_at(F.array(*[F.lit(r.kind) for r in rules]), F.col("k") + 1)
     return ends.where(F.col("test") >= least).select(
-        "doc_id", kind.alias("kind"), F.col("k").alias("rule"), (F.col("end") - F.col("len")).alias("start"), "end"
+        "key", "doc_id", kind.alias("kind"), F.col("k").alias("rule"), (F.col("end") - F.col("len")).alias("start"), "end"
     )
 
 
 def secret_report(docs: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
     """One row per row of ``docs``: counts of the base kinds, their spans' digest, and all spans as text."""
-    found = find_secrets(docs, rules)
+    known = _keyed(docs)
+    found = _found(known, rules)
     span = F.struct("start", "rule", F.concat_ws(":", "kind", "start", "end").alias("s"))
     base = [r.kind for r in BASE_RULES]
-    per_doc = found.groupBy("doc_id").agg(
+    per_doc = found.groupBy("key").agg(
         *[F.sum((F.col("kind") == k).cast("long")).alias(f"n_{k}") for k in base],
         F.sort_array(F.collect_list(span)).alias("all"),
         F.sort_array(F.collect_list(F.when(F.col("kind").isin(base), span))).alias("base"),
     )
     texts = lambda column: F.array_join(F.transform(column, lambda x: x["s"]), ",")
-    joined = docs.select("doc_id").join(per_doc, "doc_id", "left")
+    joined = known.select("key", "doc_id").join(per_doc, "key", "left")
     return joined.select(
         "doc_id",
         *[F.coalesce(f"n_{k}", F.lit(0).cast("long")).alias(f"n_{k}") for k in base],
