@@ -21,7 +21,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.llm.arrow import LOWER, SOLID, U64, flat, hash_spans, map_text, mix, release, slices, windows, words
@@ -43,7 +43,7 @@ THIN = 8
 #: Pairs of one document that meet in one task.
 FAN = 256
 #: Signatures of one bucket.
-BUCKET = 2_000_000
+BUCKET = 400_000
 
 
 def shingle_sets(column: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -226,8 +226,8 @@ def _shared(table: pa.Table) -> pa.Table:
     docs, signed = np.concatenate(docs), np.concatenate(signed)
     order = np.argsort(signed, kind="stable")
     docs, signed = docs[order], signed[order]
-    first = np.concatenate([[True], signed[1:] != signed[:-1]])
-    group = np.cumsum(first) - 1
+    group = np.cumsum(np.concatenate([[True], signed[1:] != signed[:-1]])) - 1
+    del order, signed
     several = np.bincount(group)[group] > 1
     docs, group = docs[several], np.unique(group[several], return_inverse=True)[1]
     sums = _sums(group, mix(docs.view(U64) + U64(1)), int(group.max(initial=-1)) + 1)
@@ -235,7 +235,10 @@ def _shared(table: pa.Table) -> pa.Table:
     weight = np.zeros(len(sums), np.int64)
     weight[one] = many
     rows = weight[group] > 0
-    return pa.table({"g": sums[group[rows]].view(np.int64), "doc_id": docs[rows], "w": weight[group[rows]]})
+    out = pa.table({"g": sums[group[rows]].view(np.int64), "doc_id": docs[rows], "w": weight[group[rows]]})
+    del docs, group, rows
+    release()
+    return out
 
 
 def shared_signatures(docs: DataFrame, sets: DataFrame, n: int, threshold: int) -> DataFrame:
@@ -256,9 +259,11 @@ def _agreeing(batches: Iterator[pa.RecordBatch], threshold: int) -> Iterator[pa.
         yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
 
-def _near(df: DataFrame) -> DataFrame:
-    """``df``, broadcast if it has at most ``BROADCAST`` rows, which are narrow; a shuffled join takes the others."""
-    return F.broadcast(df) if df.count() <= BROADCAST else df
+def _near(df: DataFrame, width: Column | None = None) -> DataFrame:
+    """``df``, broadcast if it has at most ``BROADCAST`` narrow rows, or so many of ``width`` in all; a shuffled join
+    takes the others."""
+    held = df.agg(F.coalesce(F.sum(F.lit(1) if width is None else width), F.lit(0))).first()[0]
+    return F.broadcast(df) if held <= BROADCAST else df
 
 
 def _linked(pairs: DataFrame, docs: DataFrame, n: int, threshold: int) -> DataFrame:
@@ -373,7 +378,7 @@ def _checked(placed: DataFrame, docs: DataFrame, n: int, threshold: int) -> Data
     shared = -1 - F.pmod(F.xxhash64("family"), F.lit(int(total) // BLOCK + 1))
     unit = F.when(F.col("blocks") == 1, shared).otherwise(F.col("family"))
     stays = placed.groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list(F.struct(unit.alias("unit"), "family", "own", "blocks")).alias("stays"))
-    texts = docs.join(_near(materialise(stays)), "doc_id")
+    texts = docs.join(_near(materialise(stays), F.size("stays")), "doc_id")
     packed = map_text(texts, partial(_pack, n=n), "packed binary", ["doc_id", "stays"], size=STEP)
     rows = packed.select("doc_id", "packed", F.explode("stays").alias("s")).select("doc_id", "packed", "s.*")
     rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))

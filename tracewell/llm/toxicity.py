@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm.arrow import LOWER, U64, WORD, flat, hash_spans, map_text, mix, words
+from tracewell.llm.arrow import LOWER, U64, WORD, flat, hash_spans, map_text, mix, words, release
 
 #: The most documents a fit reads: positives, and unlabelled.
 POSITIVES = 6_000
@@ -98,6 +98,14 @@ def _sampled(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").join(F.broadcast(ids.distinct()), "doc_id", "left_semi").dropDuplicates(["text"])
 
 
+def _counts(columns: np.ndarray, rows: np.ndarray, chosen: np.ndarray, width: int, step: int = 1 << 20) -> np.ndarray:
+    """How many of the chosen rows have each column, a piece at a time."""
+    out = np.zeros(width, np.int64)
+    for i in range(0, len(columns), step):
+        out += np.bincount(columns[i : i + step][chosen[rows[i : i + step]]], minlength=width)
+    return out
+
+
 def fit(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> Model:
     """Fit on documents of ``docs`` that ``labels`` (doc_id, toxic) confirms, and on others whatever their label.
 
@@ -137,20 +145,24 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabell
     sample = map_text(both, places, "at array<int>", ["is_p"]).toArrow()
     positive = sample.column("is_p").to_numpy(zero_copy_only=False).astype(bool)
     lists = sample.column("at").combine_chunks()
-    columns = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-    rows = np.repeat(np.arange(len(positive)), lists.value_lengths().to_numpy(zero_copy_only=False))
-    in_p = np.bincount(columns[positive[rows]], minlength=len(candidates)) / max(1, positive.sum())
-    in_u = (np.bincount(columns[~positive[rows]], minlength=len(candidates)) + 0.5) / max(1, (~positive).sum())
+    columns = lists.flatten().to_numpy(zero_copy_only=False)
+    rows = np.repeat(np.arange(len(positive), dtype=np.int32), lists.value_lengths().to_numpy(zero_copy_only=False))
+    del sample, lists
+    in_p = _counts(columns, rows, positive, len(candidates)) / max(1, positive.sum())
+    in_u = (_counts(columns, rows, ~positive, len(candidates)) + 0.5) / max(1, (~positive).sum())
     # Features that tell the samples apart, in either direction, those first that tell most; chance ones stay out.
     far_p, far_u = np.clip(1 - in_p, 1e-12, 1), np.clip(1 - in_u, 1e-12, 1)
     telling = in_p * np.log(np.maximum(in_p, 1e-12) / in_u) + far_p * np.log(far_p / far_u)
     telling = np.where(telling * positive.sum() > EVIDENCE, telling, 0)
     best = np.sort(np.argsort(-telling, kind="stable")[:FEATURES])
     best = best[telling[best] > 0]
-    new = np.full(len(candidates), -1)
+    new = np.full(len(candidates), -1, np.int32)
     new[best] = np.arange(len(best))
-    kept = new[columns] >= 0
-    weights, offset = nnpu_fit(rows[kept], new[columns[kept]], positive, len(best), prior)
+    columns = new[columns]
+    kept = columns >= 0
+    rows, columns = rows[kept], columns[kept]
+    release()
+    weights, offset = nnpu_fit(rows, columns, positive, len(best), prior)
     return Model(candidates[best], weights, offset)
 
 
