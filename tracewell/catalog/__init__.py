@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ["extents", "payloads", "timeline", "ledger", "fragments", "streams", "media", "evidence"]
+_MODULES = ["extents", "payloads", "timeline", "ledger", "fragments", "streams", "media", "evidence", "volumes"]
 
 
 def _load():

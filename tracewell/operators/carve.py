@@ -299,7 +299,7 @@ def structure_payloads(files: DataFrame, spans: DataFrame, images: DataFrame, si
         F.coalesce(F.octet_length("payload").cast("long"), "__long").alias("size_bytes"),
         F.when(~F.col("truncated"), F.sha2("payload", 256)).alias("sha256"), "truncated", F.col("__long").isNotNull().alias("too_long"), "fragment_count",
         (F.col("fragment_count") > 1).alias("is_fragmented"), F.col("mft_changed").alias("deleted_at"),
-        provenance(F.lit("ntfs"), F.col("path")).alias("provenance"), F.lit("filesystem_metadata").alias("boundary_method"),
+        provenance(F.col("fs_type") if "fs_type" in files.columns else F.lit("ntfs"), F.col("path")).alias("provenance"), F.lit("filesystem_metadata").alias("boundary_method"),
         F.lit("filesystem_structure").alias("recovery_method"), "payload",
     )
 

@@ -91,7 +91,7 @@ EXFAT_END = 0xFFFFFFF8
 def follow_chain(
     links: DataFrame,
     heads: DataFrame,
-    max_clusters: int,
+    max_clusters: int | None = None,
     keys: Sequence[str] = ("image_id",),
     end_mark: int = FAT_END,
 ) -> DataFrame:
@@ -99,18 +99,18 @@ def follow_chain(
 
     ``heads`` has ``(keys, head)`` and optionally ``n_clusters`` (how many the file size needs);
     ``links`` has ``(keys, cluster, next_cluster)``. The chain ends at an end mark, at the cluster
-    where it would loop, or when the size is met. Reach doubles every round, so the number of joins
+    where it would loop, or when the size is met; chains are whole unless ``max_clusters`` asks for the first. Reach doubles every round, so the number of joins
     is logarithmic in the longest chain.
     """
     keys = list(keys)
-    need = F.col("n_clusters") if "n_clusters" in heads.columns else F.lit(max_clusters)
-    limit = F.least(need.cast("long"), F.lit(max_clusters).cast("long"))
+    need = F.col("n_clusters").cast("long") if "n_clusters" in heads.columns else F.lit(None).cast("long")
+    limit = F.coalesce(F.least(need, F.lit(max_clusters).cast("long")), F.lit(1 << 62))
     reached = cut_lineage(
         heads.where(F.col("head") >= 2).select(
             *keys, "head", limit.alias("__limit"), F.lit(0).cast("long").alias("pos"), F.col("head").alias("cluster")
         ).where(F.col("__limit") > 0).distinct()
     )
-    longest = reached.agg(F.max("__limit")).first()[0] or 0
+    longest, count = reached.agg(F.coalesce(F.max("__limit"), F.lit(0)), F.count("*")).first()
     jump = cut_lineage(
         links.where((F.col("next_cluster") >= 2) & (F.col("next_cluster") < end_mark))
         .select(*keys, "cluster", F.col("next_cluster").alias("__to"))
@@ -124,9 +124,9 @@ def follow_chain(
         )
         # A cluster met twice means the chain loops: its first position is the one that counts.
         grown = reached.unionByName(ahead).groupBy(*keys, "head", "__limit", "cluster").agg(F.min("pos").alias("pos"))
-        before = reached.count()
-        reached = cut_lineage(grown)
-        if reached.count() == before:
+        before, reached = count, cut_lineage(grown)
+        count = reached.count()
+        if count == before:
             break
         reach *= 2
         if reach < longest:
