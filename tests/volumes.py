@@ -97,3 +97,32 @@ def ext4(inodes: dict[int, tuple[int, bytes]], blocks: dict[int, bytes], groups:
     for block, content in blocks.items():
         out[block * 1024 : block * 1024 + len(content)] = content
     return bytes(out)
+
+
+def with_bitmaps(image: bytes, used: dict[int, list[int]], blocks: int = 128) -> bytes:
+    """An ext4 image of ``ext4`` whose groups have block bitmaps: the used blocks of each group, by their place in it."""
+    out = bytearray(image)
+    for group, places in used.items():
+        block = 50 + group
+        struct.pack_into("<I", out, 2048 + 32 * group, block)
+        bits = bytearray(1024)
+        for k in places:
+            bits[k >> 3] |= 1 << (k & 7)
+        out[block * 1024 : block * 1024 + 1024] = bits
+    return bytes(out)
+
+
+def ntfs(record: bytes, bitmap_record: bytes, bitmap: dict[int, bytes], pieces: bool, clusters: int = 2048) -> bytes:
+    """4 KiB clusters, the file table at cluster 4; with ``pieces`` record 6 lies in a second piece at cluster 40."""
+    out = bytearray(clusters * 4096)
+    out[3:11] = b"NTFS    "
+    struct.pack_into("<HB", out, 11, 512, 8)
+    struct.pack_into("<QQ", out, 40, clusters * 8, 4)
+    out[64] = 0xF6
+    out[510:512] = b"\x55\xaa"
+    out[4 * 4096 : 4 * 4096 + 1024] = record
+    place = 40 * 4096 + 2 * 1024 if pieces else 4 * 4096 + 6 * 1024
+    out[place : place + 1024] = bitmap_record
+    for cluster, content in bitmap.items():
+        out[cluster * 4096 : cluster * 4096 + len(content)] = content
+    return bytes(out)

@@ -1,4 +1,4 @@
-"""Registered queries over directory trees: table rows laid out as the slots of directories."""
+"""Registered queries over volumes: table rows laid out as the slots of directories, and as free and structural ranges."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tracewell.catalog.common import table
 from tracewell.functions.bits import uint
+from tracewell.operators.extents import HALF_OPEN, subtract_extents
 from tracewell.operators.paths import FAT_END
 from tracewell.operators.volumes import VOLUME, fat_directory, walk_directories
 
@@ -78,5 +79,20 @@ FROM (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey)
 JOIN region ON r_regionkey = n_regionkey WHERE c_acctbal < 0
 """
 
-QUERIES = {"deleted_in_trees": deleted_in_trees}
-SQL = {"deleted_in_trees": SQL_DELETED_IN_TREES}
+def free_minus_structural(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per supplier: ranges of parts as long as their quantity, less those of order lines."""
+    lines = table(spark, sf_dir, "lineitem")
+    free = lines.select(F.col("l_suppkey").alias("image_id"), F.col("l_partkey").alias("start"), (F.col("l_partkey") + F.col("l_quantity").cast("long")).alias("end"))
+    held = lines.select(F.col("l_suppkey").alias("image_id"), F.col("l_orderkey").alias("start"), (F.col("l_orderkey") + 2 * F.col("l_linenumber")).alias("end"))
+    return subtract_extents(free, held, mode=HALF_OPEN)
+
+
+SQL_FREE_MINUS_STRUCTURAL = """
+WITH u AS (SELECT DISTINCT image_id, unnest(range(s, e)) AS p FROM (SELECT l_suppkey AS image_id, l_partkey AS s, l_partkey + CAST(trunc(l_quantity) AS BIGINT) AS e FROM lineitem)),
+h AS (SELECT DISTINCT image_id, unnest(range(s, e)) AS p FROM (SELECT l_suppkey AS image_id, l_orderkey AS s, l_orderkey + 2 * l_linenumber AS e FROM lineitem)),
+f AS (SELECT image_id, p, p - row_number() OVER (PARTITION BY image_id ORDER BY p) AS island FROM (SELECT * FROM u EXCEPT SELECT * FROM h))
+SELECT image_id, min(p) AS start, max(p) + 1 AS "end" FROM f GROUP BY image_id, island
+"""
+
+QUERIES = {"deleted_in_trees": deleted_in_trees, "free_minus_structural": free_minus_structural}
+SQL = {"deleted_in_trees": SQL_DELETED_IN_TREES, "free_minus_structural": SQL_FREE_MINUS_STRUCTURAL}

@@ -94,6 +94,34 @@ def complement(
     return scanned.where(real).select(*keys, gap_start.alias("start"), gap_end.alias("end"))
 
 
+def subtract_extents(
+    df: DataFrame, minus: DataFrame, keys: Sequence[str] = ("image_id",), mode: str = INCLUSIVE, bucket_bytes: int = BUCKET_BYTES
+) -> DataFrame:
+    """The parts of ``df`` that no extent of ``minus`` covers, as maximal disjoint extents.
+
+    One sweep: every place where an extent begins or ends changes how many extents of either side lie over what follows.
+    Running counts say where parts begin and end. Both sides may overlap themselves; keys of ``minus`` alone give nothing.
+    """
+    keys = list(keys)
+    one = 1 if mode == INCLUSIVE else 0
+
+    def edges(side: DataFrame, own: str, other: str) -> DataFrame:
+        whole = side.select(*keys, F.col("start").cast("long"), (F.col("end") + one).cast("long").alias("end")).where("end > start")
+        each = F.explode(F.array(*[F.struct(F.col(c).alias("start"), F.lit(d).cast("long").alias(own)) for c, d in (("start", 1), ("end", -1))]))
+        return whole.select(*keys, each.alias("e")).select(*keys, "e.*").withColumn(other, F.lit(0).cast("long"))
+
+    both = edges(df, "a", "b").unionByName(edges(minus, "b", "a"))
+    steps = both.groupBy(*keys, "start").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).where("a <> 0 OR b <> 0")
+    sums = [Running("__a", "sum", F.col("a")), Running("__b", "sum", F.col("b"))]
+    swept = running(steps, keys, bucket_of("start", bucket_bytes), ["start"], sums)
+    left = lambda a, b: (a > 0) & (b <= 0)
+    before = left(F.col("__a"), F.col("__b"))
+    after = left(F.col("__a") + F.col("a"), F.col("__b") + F.col("b"))
+    turns = swept.select(*keys, "start", F.when(after, F.col("start")).alias("__opens"), before.alias("__was"), after.alias("__is")).where("__was <> __is")
+    paired = running(turns, keys, bucket_of("start", bucket_bytes), ["start"], [Running("__begin", "last", F.col("__opens"))])
+    return paired.where("NOT __is").select(*keys, F.col("__begin").alias("start"), (F.col("start") - one).alias("end"))
+
+
 def total_length(df: DataFrame, keys: Sequence[str] = ("image_id",), mode: str = INCLUSIVE) -> DataFrame:
     """Bytes covered per key, counting overlaps once."""
     size = F.col("end") - F.col("start") + (1 if mode == INCLUSIVE else 0)

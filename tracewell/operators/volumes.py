@@ -189,31 +189,39 @@ def _contiguous(entries: DataFrame, volumes: DataFrame) -> tuple[DataFrame, Data
     return files, spans
 
 
-def _inode_tables(volumes: DataFrame) -> DataFrame:
-    """``(image_id, part_no, path, block_size, group, inode_size, per_group, start, end)`` of ext4 inode tables."""
+def block_groups(volumes: DataFrame) -> DataFrame:
+    """Block groups of ext4 volumes: geometry, ``bitmap_block`` and ``table_block``; ``first_block`` and ``n_blocks`` are the group's own."""
     sb = lambda at, width: uint(F.col("head"), 1024 + at, width)
     wide = (sb(96, 4).bitwiseAND(F.lit(0x80).cast("long")) != 0) & sb(254, 2).isin(32, 64)
     known = volumes.where("fs_type = 'ext4'").where((sb(24, 4) <= 6) & (sb(32, 4) > 0) & (sb(40, 4) > 0)).withColumns({
         "block_size": F.call_function("shiftleft", F.lit(1024).cast("long"), F.least(sb(24, 4), F.lit(6)).cast("int")), "per_group": sb(40, 4),
         "inode_size": F.when(sb(88, 2) > 0, sb(88, 2)).otherwise(128), "desc_size": F.when(wide, sb(254, 2)).otherwise(32),
-        "groups": F.ceil((sb(4, 4) - sb(20, 4)) / sb(32, 4)), "table": sb(20, 4) + 1,
+        "groups": F.ceil((sb(4, 4) - sb(20, 4)) / sb(32, 4)), "table": sb(20, 4) + 1, "first_data": sb(20, 4), "blocks": sb(4, 4), "group_blocks": sb(32, 4),
     }).where("inode_size >= 128")
-    keep = [*VOLUME, "base", "block_size", "per_group", "inode_size", "desc_size"]
+    keep = [*VOLUME, "base", "block_size", "per_group", "inode_size", "desc_size", "first_data", "blocks", "group_blocks"]
     begin = F.col("start") + F.col("table") * F.col("block_size")
     extents = known.withColumn("base", F.col("start")).select(
         *keep, "path", begin.alias("start"), F.least(begin + F.col("groups") * F.col("desc_size"), F.col("size")).alias("end")
     )
     paths = known.select(*VOLUME, "path", "size")
+    place = lambda low, high, size: uint(F.col("raw"), low, 4) + (uint(F.col("raw"), high, 4) * F.lit(1 << 32) if size == 64 else 0)
     descriptors = [
-        read_fixed_records(extents.where(F.col("desc_size") == size), size, keep[1:]).withColumn(
-            "block", uint(F.col("raw"), 8, 4) + (uint(F.col("raw"), 40, 4) * F.lit(1 << 32) if size == 64 else 0)
+        read_fixed_records(extents.where(F.col("desc_size") == size), size, keep[1:]).withColumns(
+            {"bitmap_block": place(0, 32, size), "table_block": place(8, 40, size)}
         )
         for size in (32, 64)
     ]
-    rows = reduce(DataFrame.unionByName, [d.drop("raw", "offset") for d in descriptors]).where("block > 0").join(paths, VOLUME)
-    first = F.col("base") + F.col("block") * F.col("block_size")
+    rows = reduce(DataFrame.unionByName, [d.drop("raw", "offset") for d in descriptors]).withColumnRenamed("record_no", "group")
+    rows = rows.withColumn("first_block", F.col("first_data") + F.col("group") * F.col("group_blocks"))
+    return rows.withColumn("n_blocks", F.least(F.col("group_blocks"), F.col("blocks") - F.col("first_block"))).join(paths, VOLUME)
+
+
+def _inode_tables(volumes: DataFrame) -> DataFrame:
+    """``(image_id, part_no, path, block_size, group, inode_size, per_group, start, end)`` of ext4 inode tables."""
+    rows = block_groups(volumes).where("table_block > 0")
+    first = F.col("base") + F.col("table_block") * F.col("block_size")
     return rows.select(
-        *VOLUME, "path", "base", "block_size", F.col("record_no").alias("group"), "inode_size", "per_group", first.alias("start"),
+        *VOLUME, "path", "base", "block_size", "group", "inode_size", "per_group", first.alias("start"),
         F.least(first + F.col("per_group") * F.col("inode_size"), F.col("size")).alias("end"),
     )
 
