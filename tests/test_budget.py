@@ -48,3 +48,11 @@ def test_exact_fit_is_allowed(spark):
     df = spark.createDataFrame(rows, "image_id string, ord long, category string, extension string, size long")
     got = {r.ord: (r.admitted, r.denial) for r in admit_budget(df, Policy(max_output_bytes=100)).collect()}
     assert got == {1: (True, None), 2: (False, "output budget of 100 B exhausted"), 3: (True, None)}
+
+
+def test_nothing_is_limited_unless_asked_for(spark):
+    df = spark.createDataFrame([("i", k, 1, "c", "e") for k in range(700)], "image_id string, ord long, size long, category string, extension string")
+    for policy in (None, Policy(), Policy(min_confidence=70)):
+        assert admit_budget(df, policy).where("admitted").count() == 700
+    capped = admit_budget(df, Policy(max_output_bytes=650)).where("admitted")
+    assert capped.count() == 650 and capped.agg({"ord": "max"}).first()[0] == 649

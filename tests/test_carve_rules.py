@@ -103,3 +103,15 @@ def test_walks_by_layout():
     hive = bytes(4096) + b"hbin" + struct.pack("<I", 0).ljust(0) + b"" 
     hive = bytes(4096) + (b"hbin" + struct.pack("<II", 0, 0)).ljust(4096, b"\1")
     assert walk("dat", hive)[0] is None
+
+
+def test_noise_is_no_format_without_a_rule(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from tracewell.functions.structure import validate_structure
+
+    noise = bytearray(random.Random(4).randbytes(20_000))
+    df = spark.createDataFrame([(ext, noise) for ext in ("jpg", "jpeg", "gz", "mp3", "flac", "xyz")], "ext string, payload binary")
+    assert not any(r.g.ok for r in df.select(validate_structure(F.col("payload"), F.col("ext")).alias("g")).collect())

@@ -18,26 +18,38 @@ MB, GB = 1 << 20, 1 << 30
 ORDER_BUCKET = 1 << 20
 
 
+#: No limit.
+NO_CAP = 1 << 62
+#: Files of one image that one round judges at most, however many its cap allows.
+ROUND = 100_000
+
+
 @dataclass(frozen=True)
 class Policy:
-    """Limits of one session that asks for them; the defaults suit a stand-alone run of one medium."""
+    """Limits of one session. Nothing is limited unless asked for; only the least confidence has a default."""
 
-    max_output_bytes: int = 256 * MB
-    max_file_bytes: int = 128 * MB
-    max_files_per_category: int = 64
-    max_files_per_extension: int = 32
-    max_files_total: int = 512
+    max_output_bytes: int = NO_CAP
+    max_file_bytes: int = NO_CAP
+    max_files_per_category: int = NO_CAP
+    max_files_per_extension: int = NO_CAP
+    max_files_total: int = NO_CAP
     min_confidence: int = 60
     category_caps: dict[str, int] = field(default_factory=dict)
 
     def category_cap(self, category: str) -> int:
         return self.category_caps.get(category, self.max_files_per_category)
 
+    @property
+    def unlimited(self) -> bool:
+        """Whether every file is admitted, whatever came before it."""
+        caps = (self.max_output_bytes, self.max_file_bytes, self.max_files_per_category, self.max_files_per_extension, self.max_files_total)
+        return min(*caps, *self.category_caps.values(), NO_CAP) >= NO_CAP
+
 
 #: No cap at all; only the least confidence holds.
-UNLIMITED = Policy(
-    max_output_bytes=1 << 62, max_file_bytes=1 << 62, max_files_per_category=1 << 62, max_files_per_extension=1 << 62, max_files_total=1 << 62
-)
+UNLIMITED = Policy()
+#: Limits for a stand-alone run of one medium, for those who want some.
+STAND_ALONE = Policy(256 * MB, 128 * MB, max_files_per_category=64, max_files_per_extension=32, max_files_total=512)
 
 
 def policy_for_target(size: Column) -> Column:
@@ -102,9 +114,9 @@ def _admissions(files: DataFrame, policy: Policy) -> DataFrame:
     Admission is a fold in scan order, but a file that the state already rules out can never be
     admitted later. So each round filters the whole table by the current state, takes the next few
     hundred still-possible files per image, and folds just those. Every round either exhausts an
-    image's possible files or moves its cursor; memory per image is bounded by the file cap.
+    image's possible files or moves its cursor; memory per image is bounded by the file cap or ``ROUND``.
     """
-    take = policy.max_files_total
+    take = min(policy.max_files_total, ROUND)
     sized = files.where(F.col("size") <= policy.max_file_bytes).select("image_id", "ord", "size", "category", "extension", "digest")
     empty = "map<string,long>"
     admitted: DataFrame | None = None
@@ -158,7 +170,7 @@ def admit_budget(files: DataFrame, policy: Policy | None = None) -> DataFrame:
     """
     policy = policy or Policy()
     typed = files.withColumn("image_id", F.col("image_id").cast("string"))
-    if policy == UNLIMITED:
+    if policy.unlimited:
         if "digest" not in files.columns:
             return files.withColumns({"admitted": F.lit(True), "denial": F.lit(None).cast("string")})
         first = files.where("digest IS NOT NULL").groupBy("image_id", "digest").agg(F.min("ord").alias("__first"), F.count("*").alias("__n")).where("__n > 1")
