@@ -13,7 +13,7 @@ from tracewell.operators import directory, filetable
 from tracewell.operators.budget import Policy
 from tracewell.operators.carve import carve
 from tracewell.operators.freespace import bitmap_to_ranges
-from tracewell.operators.scan import Pattern, scan_blocks
+from tracewell.operators.scan import Matcher, Pattern, Windows, count_needles, scan_blocks
 from tracewell.operators.sessions import fingerprint_ranges, image_fingerprint
 from tracewell.sources import images as im
 from tracewell.sources import records as rec
@@ -74,6 +74,45 @@ def test_scan_is_invariant_under_block_size(spark, planted):
     assert counts[0][0][0] == data.count(b"\0")
 
 
+def test_one_pass_finds_what_a_search_for_each_pattern_finds():
+    rng = random.Random(3)
+    for alphabet in (b"ab\0", b"abcdefgh\0\xff", bytes(range(256))):
+        for _ in range(60):
+            windows = [bytes(rng.choices(alphabet, k=rng.choice([0, 1, 2, 3, 50, 200]))) for _ in range(rng.randint(1, 6))]
+            bodies = [rng.randint(0, len(w)) for w in windows]
+            needles = sorted({bytes(rng.choices(alphabet, k=rng.randint(1, 4))) for _ in range(6)})
+            found = Windows(windows, bodies).find(Matcher([Pattern(i, n) for i, n in enumerate(needles)]))
+            got = sorted((p.number, r, at) for p, rows, places in found for r, at in zip(rows.tolist(), places.tolist()))
+            assert got == [
+                (i, r, at) for i, n in enumerate(needles) for r, w in enumerate(windows) for at in range(bodies[r]) if w.startswith(n, at)
+            ]
+
+
+def test_field_rules_see_their_own_window_only(spark):
+    """A transport header is judged by what its window shows, whether or not other windows are searched with it."""
+    good = b"".join(b"G\x00\x00\x10" + bytes(184) for _ in range(8))
+    rows = [("a", 0, 0, bytearray(good), None), ("a", 1, len(good), bytearray(b"G"), bytearray(b"\x80" + bytes(300))), ("b", 0, 0, bytearray(b"xG"), None)]
+    blocks = spark.createDataFrame(rows, "image_id string, block_no long, offset long, bytes binary, tail binary").coalesce(1)
+    hits = scan_blocks(blocks, [Pattern(0, b"G", rule="ts"), Pattern(1, b"x")]).collect()
+    placed = {(r.image_id, r.pattern, r.offset) for r in hits if r.offset is not None}
+    assert {(i, p, o) for i, p, o in placed if p == 0} == {("a", 0, 188 * i) for i in range(8)} | {("b", 0, 1)}
+    assert {(i, o) for i, p, o in placed if p == 1} == {("b", 0)}
+    assert [(r.image_id, r.block_no, r.prefiltered) for r in hits if r.offset is None] == [("a", 1, 1)]
+
+
+def test_needles_are_counted_apart(spark):
+    rows = [("a", bytearray(b"aaaa"), bytearray(b"a")), ("a", bytearray(b"aXab"), bytearray(b"ab")), ("b", bytearray(b""), None)]
+    blocks = spark.createDataFrame(rows, "image_id string, bytes binary, tail binary").coalesce(1)
+    got = {(r.image_id, bytes(r.needle)): r.hits for r in count_needles(blocks, [b"aa", b"ab", b"X", b"none"]).collect()}
+    want = {}
+    for image, body, tail in rows:
+        for needle in (b"aa", b"ab", b"X"):
+            n = (bytes(body) + bytes(tail or b"")[: len(needle) - 1]).count(needle)
+            if n:
+                want[image, needle] = want.get((image, needle), 0) + n
+    assert got == want
+
+
 def test_data_source_reads_the_same_blocks(spark, planted):
     folder, _, data = planted
     rows = im.read_image_blocks(spark, folder, block=1 << 16, overlap=32, partition_bytes=1 << 18).orderBy("block_no").collect()

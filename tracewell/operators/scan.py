@@ -15,9 +15,6 @@ from tracewell.sources.images import by_bytes, image_opener
 TS_PACKET = 188
 TS_PREFILTER_PACKETS = 8
 
-#: Patterns handled in one pass over a window; a longer list is scanned in several passes.
-PATTERNS_PER_PASS = 4096
-
 HIT_SCHEMA = "image_id string, block_no long, pattern int, offset long, prefiltered long"
 
 
@@ -115,113 +112,182 @@ PREFILTERS = {
 }
 
 
-def _starts(window: bytes, view: np.ndarray, needle: bytes, body: int) -> np.ndarray:
-    """Every position in the body where the needle begins (it may run into the overlap)."""
-    if len(needle) == 1:
-        return np.flatnonzero(view[:body] == needle[0])
-    if len(needle) == 2:
-        stop = min(body, len(view) - 1)
-        return np.flatnonzero((view[:stop] == needle[0]) & (view[1 : stop + 1] == needle[1]))
-    found = []
-    at = window.find(needle, 0, body + len(needle) - 1)
-    while at != -1:
-        found.append(at)
-        at = window.find(needle, at + 1, body + len(needle) - 1)
-    return np.asarray(found, dtype=np.int64)
-
-
-def scan_window(window: bytes, body: int, base: int, patterns: Sequence[Pattern]) -> Iterator[tuple[int, np.ndarray, int]]:
-    """``(pattern, offsets, dropped)`` of matches that begin in the first ``body`` bytes of a window at ``base``.
-
-    Implausible matches leave only their number.
-    """
-    view = np.frombuffer(window, dtype=np.uint8)
-    present = np.bincount(view, minlength=256) > 0
-    for pattern in patterns:
-        if not present[pattern.needle[0]]:
-            continue
-        at = _starts(window, view, pattern.needle, body)
-        starts = at + base - pattern.shift
-        at, starts = at[starts >= 0], starts[starts >= 0]
-        rule = PREFILTERS.get(pattern.rule)
-        # A rule reads the candidate's own start, which a shifted magic may put in an earlier window.
-        if rule is not None and pattern.shift == 0 and len(at):
-            kept = starts[~rule(view, at)]
-            yield pattern.number, kept, len(starts) - len(kept)
-        elif len(at):
-            yield pattern.number, starts, 0
-
-
-def _passes(patterns: Sequence[Pattern]) -> list[list[Pattern]]:
-    usable = [p for p in patterns if p.needle]
-    return [usable[i : i + PATTERNS_PER_PASS] for i in range(0, len(usable), PATTERNS_PER_PASS)]
+def _anchor(needle: bytes) -> int:
+    """Where the byte pair to look for begins: the first without filler bytes or a repeated byte, if there is one."""
+    plain = [i for i in range(len(needle) - 1) if needle[i] != needle[i + 1] and not {needle[i], needle[i + 1]} & {0x00, 0xFF, 0x20}]
+    mixed = [i for i in range(len(needle) - 1) if needle[i] != needle[i + 1]]
+    return (plain or mixed or [0])[0]
+
+
+class Matcher:
+    """All patterns at once: one table of the 65,536 byte pairs tells where any of them may lie, and only those places are verified."""
+
+    #: Pairs looked up at a time, which bounds the scratch memory.
+    STEP = 1 << 18
+
+    def __init__(self, patterns: Sequence[Pattern]):
+        self.single = [p for p in patterns if len(p.needle) == 1]
+        self.marks = np.zeros(1 << 16, dtype=bool)
+        self.anchored: dict[int, list[tuple[Pattern, int]]] = {}
+        for pattern in patterns:
+            if len(pattern.needle) > 1:
+                at = _anchor(pattern.needle)
+                pair = pattern.needle[at] | pattern.needle[at + 1] << 8
+                self.marks[pair] = True
+                self.anchored.setdefault(pair, []).append((pattern, at))
+
+    def _marked(self, data: bytes) -> np.ndarray:
+        """Sorted positions of marked byte pairs, read as 16-bit words from even and from odd positions."""
+        places = []
+        for odd in (0, 1):
+            pairs = np.frombuffer(data, dtype="<u2", count=(len(data) - odd) // 2, offset=odd)
+            for lo in range(0, len(pairs), self.STEP):
+                places.append((np.flatnonzero(self.marks[pairs[lo : lo + self.STEP]]) + lo) * 2 + odd)
+        return np.sort(np.concatenate(places))
+
+    def find(self, data: bytes, view: np.ndarray) -> Iterator[tuple[Pattern, np.ndarray]]:
+        """Every pattern that occurs, with its positions in order; occurrences may overlap."""
+        for pattern in self.single:
+            at = np.flatnonzero(view == pattern.needle[0])
+            if len(at):
+                yield pattern, at
+        if not self.anchored or len(data) < 2:
+            return
+        places = self._marked(data)
+        pairs = view[places].astype(np.uint16) | view[places + 1].astype(np.uint16) << 8
+        order = np.argsort(pairs, kind="stable")
+        present, firsts = np.unique(pairs[order], return_index=True)
+        for pair, lo, hi in zip(present.tolist(), firsts, [*firsts[1:], len(order)]):
+            group = places[order[lo:hi]]
+            for pattern, anchor in self.anchored[pair]:
+                at = group - anchor
+                at = at[(at >= 0) & (at + len(pattern.needle) <= len(view))]
+                for i, byte in enumerate(pattern.needle):
+                    if not anchor <= i <= anchor + 1:
+                        at = at[view[at + i] == byte]
+                if len(at):
+                    yield pattern, at
+
+
+class Windows:
+    """Windows laid end to end, so that many small ones cost one search; no match crosses from one to the next."""
+
+    def __init__(self, windows: Sequence[bytes], bodies: Sequence[int]):
+        self.data = windows[0] if len(windows) == 1 else b"".join(windows)
+        self.view = np.frombuffer(self.data, dtype=np.uint8)
+        self.edges = np.cumsum([0, *map(len, windows)])
+        self.bodies = np.asarray(bodies, dtype=np.int64)
+
+    def find(self, matcher: Matcher) -> Iterator[tuple[Pattern, np.ndarray, np.ndarray]]:
+        """``(pattern, window, position)`` of matches that begin in a window's body and end before the window does."""
+        if not self.data:
+            return
+        for pattern, at in matcher.find(self.data, self.view):
+            row = np.searchsorted(self.edges, at, "right") - 1
+            local = at - self.edges[row]
+            whole = (local < self.bodies[row]) & (at + len(pattern.needle) <= self.edges[row + 1])
+            if whole.any():
+                yield pattern, row[whole], local[whole]
+
+    def implausible(self, rule, row: np.ndarray, local: np.ndarray) -> np.ndarray:
+        """What a field rule says of each match, seeing no more than the match's own window."""
+        bad = np.zeros(len(row), dtype=bool)
+        rows, firsts = np.unique(row, return_index=True)
+        for r, lo, hi in zip(rows, firsts, [*firsts[1:], len(row)]):
+            bad[lo:hi] = rule(self.view[self.edges[r] : self.edges[r + 1]], local[lo:hi])
+        return bad
+
+
+def _matcher(patterns: Sequence[Pattern]) -> Matcher:
+    return Matcher([p for p in patterns if p.needle])
 
 
 #: Hits gathered before a result batch is handed over.
 BATCH_HITS = 100_000
 
+#: Bytes of small windows that are searched together.
+JOINED_BYTES = 1 << 20
+
 
 class _Hits:
-    """Gathers the hits of many windows into few result frames."""
+    """Gathers windows until they are worth a search, and hits until they are worth a result frame."""
 
-    def __init__(self, passes):
-        self.passes, self.parts, self.size = passes, [], 0
+    def __init__(self, matcher: Matcher):
+        self.matcher, self.parts, self.size = matcher, [], 0
+        self.waiting, self.bytes = [], 0
 
     def add(self, image_id: str, block_no: int, window: bytes, body: int, base: int) -> None:
-        for group in self.passes:
-            for number, offsets, dropped in scan_window(window, body, base, group):
-                self.parts.append((image_id, block_no, number, offsets, dropped))
-                self.size += len(offsets) + 1
-
-    def frame(self) -> pd.DataFrame:
-        found = [p for p in self.parts if len(p[3])]
-        lengths = [len(p[3]) for p in found]
-        hits = pd.DataFrame({
-            "image_id": np.repeat(np.array([p[0] for p in found], dtype=object), lengths),
-            "block_no": np.repeat(np.array([p[1] for p in found], dtype=np.int64), lengths),
-            "pattern": np.repeat(np.array([p[2] for p in found], dtype=np.int32), lengths),
-            "offset": pd.array(np.concatenate([p[3] for p in found]) if found else [], dtype="Int64"),
-            "prefiltered": np.int64(0),
-        })
-        gone = [(p[0], p[1], p[2], p[4]) for p in self.parts if p[4]]
-        self.parts, self.size = [], 0
-        if not gone:
-            return hits
-        counts = pd.DataFrame(gone, columns=["image_id", "block_no", "pattern", "prefiltered"])
-        counts.insert(3, "offset", pd.array([None] * len(gone), dtype="Int64"))
-        return pd.concat([hits, counts], ignore_index=True) if len(hits) else counts
+        self.waiting.append((image_id, block_no, window, body, base))
+        self.bytes += len(window)
+        if self.bytes >= JOINED_BYTES:
+            self.search()
+
+    def search(self) -> None:
+        if not self.waiting:
+            return
+        images, blocks, windows, bodies, bases = zip(*self.waiting)
+        self.waiting, self.bytes = [], 0
+        images, blocks = np.array(images, dtype=object), np.array(blocks, dtype=np.int64)
+        bases = np.array(bases, dtype=np.int64)
+        joined = Windows(windows, bodies)
+        for pattern, row, local in joined.find(self.matcher):
+            starts = local + bases[row] - pattern.shift
+            row, local, starts = row[starts >= 0], local[starts >= 0], starts[starts >= 0]
+            rule = PREFILTERS.get(pattern.rule)
+            # A rule reads the candidate's own start, which a shifted magic may put in an earlier window.
+            if rule is not None and pattern.shift == 0 and len(row):
+                bad = joined.implausible(rule, row, local)
+                gone, counts = np.unique(row[bad], return_counts=True)
+                self._put(images[gone], blocks[gone], pattern.number, None, counts)
+                row, starts = row[~bad], starts[~bad]
+            self._put(images[row], blocks[row], pattern.number, starts, 0)
+
+    def _put(self, images: np.ndarray, blocks: np.ndarray, number: int, offsets: np.ndarray | None, dropped) -> None:
+        if not len(images):
+            return
+        places = pd.array([None] * len(images), dtype="Int64") if offsets is None else pd.array(offsets, dtype="Int64")
+        self.parts.append(pd.DataFrame({
+            "image_id": images, "block_no": blocks, "pattern": np.int32(number), "offset": places, "prefiltered": np.int64(0) + dropped,
+        }))
+        self.size += len(images)
+
+    def frames(self, least: int) -> Iterator[pd.DataFrame]:
+        """What was found, once there are ``least`` rows of it."""
+        if self.parts and self.size >= least:
+            found, self.parts, self.size = self.parts, [], 0
+            yield pd.concat(found, ignore_index=True)
 
 
 def scan_blocks(blocks: DataFrame, patterns: Sequence[Pattern]) -> DataFrame:
     """Hits in ``image_blocks`` rows that carry their bytes."""
-    passes = _passes(patterns)
+    matcher = _matcher(patterns)
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hits = _Hits(passes)
+        hits = _Hits(matcher)
         for batch in batches:
             for row in batch.itertuples(index=False):
                 hits.add(row.image_id, row.block_no, bytes(row.bytes) + bytes(row.tail or b""), len(row.bytes), row.offset)
-                if hits.size >= BATCH_HITS:
-                    yield hits.frame()
-        yield hits.frame()
+                yield from hits.frames(BATCH_HITS)
+        hits.search()
+        yield from hits.frames(0)
 
     return blocks.select("image_id", "block_no", "offset", "bytes", "tail").mapInPandas(scan, HIT_SCHEMA)
 
 
 def scan_images(index: DataFrame, patterns: Sequence[Pattern]) -> DataFrame:
     """Hits in the windows of a block index. The task that scans a window reads it, so only hits leave."""
-    passes = _passes(patterns)
+    matcher = _matcher(patterns)
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         opened = image_opener()
-        hits = _Hits(passes)
+        hits = _Hits(matcher)
         for batch in batches:
             for row in batch.itertuples(index=False):
                 window = opened(row.path).read(row.offset, row.length + row.tail_len)
                 hits.add(row.image_id, row.block_no, window, row.length, row.offset)
-                if hits.size >= BATCH_HITS:
-                    yield hits.frame()
-        yield hits.frame()
+                yield from hits.frames(BATCH_HITS)
+        hits.search()
+        yield from hits.frames(0)
 
     placed = by_bytes(index, F.col("length"), "image_id", F.expr("block_no div 8"))
     return placed.select("image_id", "path", "block_no", "offset", "length", "tail_len").mapInPandas(scan, HIT_SCHEMA)
@@ -243,24 +309,48 @@ def scan_order() -> Column:
     return F.struct("block_no", "sig_rank", "offset")
 
 
+def _apart(row: np.ndarray, local: np.ndarray, needle: bytes) -> np.ndarray:
+    """Which matches, taken from the left of each window, do not overlap one taken before."""
+    keep = np.ones(len(row), dtype=bool)
+    if not any(needle[:k] == needle[-k:] for k in range(1, len(needle))):
+        return keep
+    window, free = -1, 0
+    for i, (r, at) in enumerate(zip(row.tolist(), local.tolist())):
+        if r != window:
+            window, free = r, 0
+        keep[i] = at >= free
+        if keep[i]:
+            free = at + len(needle)
+    return keep
+
+
 def count_needles(blocks: DataFrame, needles: Sequence[bytes], keys: Sequence[str] = ("image_id",)) -> DataFrame:
     """Occurrences of each needle per image, one that straddles two windows counted once.
 
     Occurrences inside a window do not overlap each other. The overlap must be at least as long as
     the longest needle less one.
     """
-    wanted = [bytes(n) for n in needles]
+    wanted = sorted({bytes(n) for n in needles if n})
+    matcher = _matcher([Pattern(i, needle) for i, needle in enumerate(wanted)])
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = []
-            for image_id, body, tail in zip(batch["image_id"], batch["bytes"], batch["tail"]):
-                for needle in wanted:
-                    window = bytes(body) + bytes(tail or b"")[: len(needle) - 1]
-                    n = window.count(needle)
-                    if n:
-                        rows.append((image_id, needle, n))
-            yield pd.DataFrame(rows, columns=["image_id", "needle", "n"])
+            bodies = [bytes(body) for body in batch["bytes"]]
+            windows = [body + bytes(tail or b"") for body, tail in zip(bodies, batch["tail"])]
+            images = batch["image_id"].to_numpy(dtype=object)
+            sizes = np.cumsum([len(w) for w in windows])
+            # Small windows are searched together, about a mebibyte at a time.
+            cuts = np.flatnonzero(np.diff(sizes // JOINED_BYTES, prepend=0, append=-1))
+            for lo, hi in zip([0, *cuts[:-1]], cuts):
+                if lo == hi:
+                    continue
+                found = []
+                for pattern, row, local in Windows(windows[lo:hi], [len(b) for b in bodies[lo:hi]]).find(matcher):
+                    row = row[_apart(row, local, pattern.needle)]
+                    rows, n = np.unique(row, return_counts=True)
+                    found.append(pd.DataFrame({"image_id": images[lo:hi][rows], "needle": [pattern.needle] * len(rows), "n": n}))
+                if found:
+                    yield pd.concat(found, ignore_index=True)
 
     counted = blocks.select("image_id", "bytes", "tail").mapInPandas(count, "image_id string, needle binary, n long")
     return counted.groupBy(*keys, "needle").agg(F.sum("n").alias("hits"))
