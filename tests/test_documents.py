@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import json
+import math
 
+import numpy as np
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
@@ -230,18 +232,52 @@ def test_names_and_metadata(spark):
 
 
 def test_bounds(spark):
-    cases = spark.createDataFrame([(0, 64), (64, 64), (0, 0), (1, 64)], "k long, n long")
+    cases = spark.createDataFrame([(0, 64), (64, 64), (0, 0), (1, 10), (2, 10), (3, 10), (5, 10), (1, 20), (None, 5)], "k long, n long")
     got = [r.p for r in cases.select(sampling.bound_ppm(F.col("k"), F.col("n")).alias("p")).collect()]
-    assert got[:3] == [45730, 1000000, 1000000] and 45730 < got[3] < 90000
+    assert got[:3] == [45730, 1000000, 1000000] and got[8] is None
+    # Tabulated one-sided 95 % limits.
+    assert [round(p / 1e6, 4) for p in got[3:8]] == [0.3942, 0.5069, 0.6066, 0.7776, 0.2161]
     assert spark.range(1).select(sampling.required_sample_size(F.lit(0.95), F.lit(0.0001))).first()[0] == 29956
 
 
+@pytest.mark.parametrize("confidence", [0.5, 0.9, 0.95, 0.99])
+def test_exact_bound_inverts_the_binomial_sum(confidence):
+    cases = [(1, 2), (1, 3), (6, 7), (1, 1000), (999, 1000), (500, 1000), (30, 40000), (3, 10**9)]
+    bounds = sampling.exact_upper_bound(np.array([k for k, _ in cases]), np.array([n for _, n in cases]), confidence)
+    for (k, n), p in zip(cases, bounds):
+        terms = [math.lgamma(n + 1) - math.lgamma(j + 1) - math.lgamma(n - j + 1) + j * math.log(p) + (n - j) * math.log1p(-p) for j in range(k + 1)]
+        assert sum(map(math.exp, terms)) == pytest.approx(1 - confidence, rel=1e-5)
+
+
 def test_sample_offsets(spark):
-    media = spark.createDataFrame([("big", 1 << 40, 512), ("small", 4096, 512), ("tiny", 100, 512)], "image_id string, capacity long, sector_size int")
+    media = spark.createDataFrame(
+        [("big", 1 << 49, 512), ("edge", 4097 * 512, 512), ("small", 4096, 512), ("one", 512, 512), ("tiny", 100, 512), ("none", 0, 512), ("null", None, 512)],
+        "image_id string, capacity long, sector_size int",
+    )
     rows = sampling.sample_offsets(media, 64, seed=3).collect()
-    by = {k: sorted(r.offset for r in rows if r.image_id == k) for k in ("big", "small", "tiny")}
-    assert len(set(by["big"])) == 64 and all(o % 512 == 0 and o < 1 << 40 for o in by["big"])
-    assert by["small"] == [i * 512 for i in range(8)] and by["tiny"] == [0]
+    by = {k: sorted(r.offset for r in rows if r.image_id == k) for k in ("big", "edge", "small", "one", "tiny", "none", "null")}
+    for name, capacity in (("big", 1 << 49), ("edge", 4097 * 512)):
+        assert len(set(by[name])) == len(by[name]) == 64 and all(o % 512 == 0 and o < capacity for o in by[name])
+    assert by["small"] == [i * 512 for i in range(8)] and by["one"] == by["tiny"] == [0]
+    assert by["none"] == by["null"] == []
+    again = sampling.sample_offsets(media.union(media).repartition(5), 64, seed=3).collect()
+    assert sorted(map(tuple, again)) == sorted(map(tuple, rows))
+    other = sampling.sample_offsets(media, 64, seed=4).where("image_id = 'big'").collect()
+    assert {r.offset for r in other} != set(by["big"])
+    assert sampling.sample_offsets(media, 0).count() == 0
+
+
+def test_permutation_is_one_to_one_and_even():
+    for size in (1, 2, 3, 5, 64, 1000, 4097):
+        for key in (-7, 0, 12345678901):
+            image = sampling.permuted(np.arange(size), np.full(size, size), np.full(size, key))
+            assert sorted(image) == list(range(size))
+    draws = 20000
+    image = sampling.permuted(np.arange(draws), np.full(draws, 1 << 40), np.full(draws, 99))
+    assert len(set(image)) == draws
+    counts = np.bincount(image * 20 // (1 << 40), minlength=20)
+    # Chi-square of 19 degrees of freedom: 43.8 is passed once in a thousand.
+    assert ((counts - draws / 20) ** 2 / (draws / 20)).sum() < 43.8
 
 
 def test_sample_tables(spark):

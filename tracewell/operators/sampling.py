@@ -5,37 +5,84 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tracewell.functions.entropy import shannon_entropy
 
-# One-sided normal quantiles used by the approximate bound.
-Z_SCORES = {0.90: 1.2815515655446004, 0.95: 1.6448536269514722, 0.99: 2.3263478740408411}
-EXACT_METHOD = "one-sided Clopper-Pearson exact upper bound, k=0 closed form"
-WILSON_METHOD = "Wilson score upper bound; the exact Clopper-Pearson bound needs SciPy and is not strictly tighter here"
+METHOD = "one-sided Clopper-Pearson exact upper bound"
+CLOSED_FORM = METHOD + ", k=0 closed form"
+
+_TINY = 1e-300
+
+
+def _lower_tail(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Regularised incomplete beta function by its continued fraction, all rows at once."""
+    # The fraction converges fast below the mean; above it, the mirrored one does.
+    mirrored = x > (a + 1) / (a + b + 2)
+    p, q, y = np.where(mirrored, b, a), np.where(mirrored, a, b), np.where(mirrored, 1 - x, x)
+    log_gamma = np.frompyfunc(math.lgamma, 1, 1)
+    scale = (log_gamma(a + b) - log_gamma(a) - log_gamma(b)).astype(float)
+    front = np.exp(scale + p * np.log(np.maximum(y, _TINY)) + q * np.log1p(-np.minimum(y, 1 - 1e-16))) / p
+
+    def solid(v: np.ndarray) -> np.ndarray:
+        return np.where(np.abs(v) < _TINY, _TINY, v)
+
+    upper = np.ones_like(y)
+    lower = 1 / solid(1 - (p + q) * y / (p + 1))
+    value, m, moving = lower.copy(), 0, True
+    while moving:
+        m += 1
+        even = m * (q - m) * y / ((p + 2 * m - 1) * (p + 2 * m))
+        odd = -(p + m) * (p + q + m) * y / ((p + 2 * m) * (p + 2 * m + 1))
+        before = value
+        for term in (even, odd):
+            lower = 1 / solid(1 + term * lower)
+            upper = solid(1 + term / upper)
+            value = value * lower * upper
+        moving = bool((np.abs(value - before) > 1e-15 * np.abs(value)).any())
+    tail = front * value
+    return np.where(mirrored, 1 - tail, tail)
+
+
+def exact_upper_bound(k: np.ndarray, n: np.ndarray, confidence: float) -> np.ndarray:
+    """The share at which ``k`` or fewer of ``n`` are as rare as ``1 - confidence``, by bisection."""
+    a, b = np.asarray(k, dtype=float) + 1, np.asarray(n, dtype=float) - k
+    low, high = np.zeros(len(a)), np.ones(len(a))
+    for _ in range(54):
+        middle = (low + high) / 2
+        under = _lower_tail(a, b, middle) < confidence
+        low, high = np.where(under, middle, low), np.where(under, high, middle)
+    return (low + high) / 2
+
+
+@F.pandas_udf(T.DoubleType())
+def _exact_bound(k: pd.Series, n: pd.Series, confidence: pd.Series) -> pd.Series:
+    bound = pd.Series(np.nan, index=k.index)
+    asked = k.notna() & n.notna() & (k > 0) & (k < n)
+    if asked.any():
+        # Few counts differ, so each is worked out once a batch.
+        pairs, place = np.unique(np.stack([k[asked].to_numpy(np.int64), n[asked].to_numpy(np.int64)]), axis=1, return_inverse=True)
+        bound[asked] = exact_upper_bound(pairs[0], pairs[1], float(confidence.iloc[0]))[place.ravel()]
+    return bound
 
 
 def residual_bound(k: Column, n: Column, confidence: float = 0.95) -> Column:
-    """Upper bound on the fraction still matching: exact for k = 0, the Wilson form otherwise."""
+    """One-sided exact upper bound on the fraction still matching, 1 without a sample or where all match."""
     if not 0.0 < confidence < 1.0:
         raise ValueError("confidence must be in (0, 1)")
-    alpha = 1.0 - confidence
-    z = Z_SCORES.get(round(confidence, 2), Z_SCORES[0.95]) if abs(confidence - 0.95) > 1e-9 else Z_SCORES[0.95]
-    nd = n.cast("double")
-    p = k / nd
-    centre = p + z * z / (nd * 2)
-    margin = F.sqrt(p * (1 - p) / nd + z * z / (nd * nd * 4)) * z
-    wilson = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (centre + margin) / (z * z / nd + 1)))
     return (
         F.when((n <= 0) | (k >= n), F.lit(1.0))
-        .when(k == 0, F.lit(1.0) - F.pow(F.lit(alpha), F.lit(1.0) / nd))
-        .otherwise(wilson)
+        .when(k == 0, F.lit(1.0) - F.pow(F.lit(1.0 - confidence), F.lit(1.0) / n.cast("double")))
+        .otherwise(_exact_bound(k.cast("long"), n.cast("long"), F.lit(confidence)))
     )
 
 
 def bound_method(k: Column) -> Column:
-    return F.when(k == 0, F.lit(EXACT_METHOD)).otherwise(F.lit(WILSON_METHOD))
+    return F.when(k == 0, F.lit(CLOSED_FORM)).otherwise(F.lit(METHOD))
 
 
 def bound_ppm(k: Column, n: Column, confidence: float = 0.95) -> Column:
@@ -48,33 +95,51 @@ def required_sample_size(confidence: Column, fraction: Column) -> Column:
     return F.ceil(F.log(1 - confidence) / F.log(1 - fraction)).cast("long")
 
 
+def _mixed(value: np.ndarray, key: np.ndarray, turn: int) -> np.ndarray:
+    """A keyed 64-bit mixer by two multiplications with odd constants."""
+    z = value * np.uint64(0x9E3779B97F4A7C15) + key + np.uint64(turn)
+    z = (z ^ (z >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
+    return z ^ (z >> np.uint64(32))
+
+
+def permuted(index: np.ndarray, size: np.ndarray, key: np.ndarray, turns: int = 6) -> np.ndarray:
+    """A keyed permutation of ``0 .. size-1``: a balanced Feistel network on the next even number of bits.
+
+    An image outside the range is sent through again until it lies inside, which keeps the map one to one.
+    """
+    bits = np.frompyfunc(lambda n: (max(int(n) - 1, 1).bit_length() + 1) // 2, 1, 1)(size).astype(np.uint64)
+    mask = (np.uint64(1) << bits) - np.uint64(1)
+    size, key = size.astype(np.uint64), key.astype(np.int64).view(np.uint64)
+    image, out = index.astype(np.uint64), np.ones(len(index), dtype=bool)
+    while out.any():
+        left, right, k = image[out] >> bits[out], image[out] & mask[out], key[out]
+        for turn in range(turns):
+            left, right = right, left ^ (_mixed(right, k, turn) & mask[out])
+        image[out] = (left << bits[out]) | right
+        out = image >= size
+    return image.astype(np.int64)
+
+
+@F.pandas_udf(T.LongType())
+def _permuted(index: pd.Series, size: pd.Series, key: pd.Series) -> pd.Series:
+    return pd.Series(permuted(index.to_numpy(), size.to_numpy(), key.to_numpy()))
+
+
 def sample_offsets(
     media: DataFrame, count: int, seed: int = 0, keys: Sequence[str] = ("image_id",)
 ) -> DataFrame:
-    """``count`` distinct sector-aligned offsets per medium ``(keys, capacity, sector_size)``, seeded.
+    """``count`` distinct sector-aligned offsets per medium ``(keys, capacity, sector_size)``, seeded; all, if it has no more.
 
-    A medium of few sectors is sampled without replacement from all of them; a larger one by drawing with a keyed hash and keeping the first distinct draws.
+    The first images of a keyed permutation of the medium's sectors are taken, at any size, so none is drawn twice.
+    A medium shorter than one sector is sampled at 0; one without a positive capacity and sector size is left out.
     """
     keys = list(keys)
-    sectors = F.expr("capacity div sector_size")
-    sized = media.where((F.col("capacity") > 0) & (F.col("sector_size") > 0)).withColumn("__total", sectors)
-    tiny = sized.where(F.col("__total") <= 0).select(*keys, F.lit(0).cast("long").alias("offset"))
-    usable = sized.where(F.col("__total") > 0)
-    whole = F.col("__total") <= max(count * 2, 4096)
-    draws = F.when(whole, F.col("__total")).otherwise(F.lit(count * 4).cast("long"))
-    drawn = usable.select(*keys, "sector_size", "__total", F.explode(F.sequence(F.lit(0).cast("long"), draws - 1)).alias("__i"))
-    shuffled = F.xxhash64(*[F.col(k) for k in keys], F.col("__i"), F.lit(seed))
-    sector = F.when(whole, F.col("__i")).otherwise(F.pmod(shuffled, F.col("__total")))
-    distinct = drawn.select(*keys, "sector_size", "__total", sector.alias("__sector"), "__i", shuffled.alias("__h"))
-    firsts = distinct.groupBy(*keys, "sector_size", "__total", "__sector").agg(
-        F.min("__i").alias("__i"), F.min("__h").alias("__h")
-    )
-
-    # At most four draws per sample are ranked per medium, so this window stays small.
-    rank = F.when(whole, F.col("__h")).otherwise(F.col("__i"))
-    w = Window.partitionBy(*keys).orderBy(rank, "__sector")
-    chosen = firsts.withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") <= F.least(F.lit(count), F.col("__total")))
-    return chosen.select(*keys, (F.col("__sector") * F.col("sector_size")).alias("offset")).unionByName(tiny)
+    sized = media.where((F.col("capacity") > 0) & (F.col("sector_size") > 0)).select(
+        *keys, "sector_size", F.greatest(F.lit(1), F.expr("capacity div sector_size")).cast("long").alias("__total")
+    ).distinct()
+    key = F.xxhash64(*[F.col(k) for k in keys], F.lit(seed))
+    drawn = sized.withColumn("__i", F.explode(F.expr(f"sequence(0L, least({int(count)}L, __total) - 1)"))) if count > 0 else sized.limit(0).withColumn("__i", F.lit(0).cast("long"))
+    return drawn.select(*keys, (_permuted(F.col("__i"), F.col("__total"), key) * F.col("sector_size")).alias("offset"))
 
 
 def diff_samples(samples: DataFrame, keys: Sequence[str] = ("image_id",)) -> DataFrame:
