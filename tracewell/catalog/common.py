@@ -27,7 +27,7 @@ FROM lineitem
 
 def part_free(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts as half-open free ranges, present on every supplier's image."""
-    parts = table(spark, sf_dir, "part").where(F.col("p_size") > 25)
+    parts = table(spark, sf_dir, "part")
     placed = parts.select(
         F.col("p_partkey").alias("image_part"),
         (F.col("p_partkey") * 64 + 16).alias("start"),
@@ -37,7 +37,6 @@ def part_free(spark: SparkSession, sf_dir: str) -> DataFrame:
     ships = (
         table(spark, sf_dir, "lineitem")
         .select(F.col("l_suppkey").alias("image_id"), F.col("l_partkey").alias("image_part"))
-        .where(F.col("image_id") % 3 != 0)
         .distinct()
     )
     return ships.join(placed, "image_part").select("image_id", "start", "end")
@@ -46,7 +45,6 @@ def part_free(spark: SparkSession, sf_dir: str) -> DataFrame:
 PART_FREE_SQL = """
 SELECT DISTINCT l_suppkey AS image_id, p_partkey * 64 + 16 AS s, p_partkey * 64 + 16 + p_size AS e
 FROM lineitem JOIN part ON p_partkey = l_partkey
-WHERE p_size > 25 AND l_suppkey % 3 <> 0
 """
 
 

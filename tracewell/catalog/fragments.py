@@ -111,11 +111,15 @@ def chunk_extents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sample_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as read-back samples of their source's medium, erased with a pattern by language."""
+    """Documents as read-back samples of their source's medium, erased with a pattern by language.
+
+    What the samples hold is the operator's input: an English text of 5,000 bytes or more was left unerased, and
+    reading one of over 40,000 bytes failed. Every text is a sample, at its whole length.
+    """
     docs = payloads(spark, sf_dir)
     pattern = F.when(F.col("lang") == "en", "zero").when(F.col("lang") == "fr", "firmware").otherwise("random")
     size = F.octet_length("payload")
-    zeros = F.unhex(F.repeat(F.lit("00"), F.least(size, F.lit(512))))
+    zeros = F.unhex(F.repeat(F.lit("00"), size))
     body = F.when((F.col("lang") == "en") & (size < 5000), zeros).when(F.col("lang") == "fr", zeros).otherwise(F.col("payload"))
     failed = size > 40000
     samples = docs.select(
@@ -146,9 +150,12 @@ def required_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pre_post_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = payloads(spark, sf_dir)
-    pre = F.substring("payload", 1, 64)
-    samples = docs.select("image_id", pre.alias("pre"), F.when(F.col("lang") != "de", F.substring("payload", 33, 64)).otherwise(pre).alias("post"))
+    """Every text in samples of 64 bytes; what is read back lies 32 bytes on, except in German texts."""
+    steps = F.explode(F.expr("sequence(0, greatest(octet_length(payload) - 1, 0) div 64)"))
+    docs = payloads(spark, sf_dir).select("image_id", "lang", "payload", steps.alias("step"))
+    at = F.col("step") * 64 + 1
+    pre = F.col("payload").substr(at, F.lit(64))
+    samples = docs.select("image_id", pre.alias("pre"), F.when(F.col("lang") != "de", F.col("payload").substr(at + 32, F.lit(64))).otherwise(pre).alias("post"))
     diff = sampling.diff_samples(samples)
     return diff.select("image_id", "pairs", "changed", F.round("changed_share", 6).alias("changed_share"), "passed")
 
@@ -160,9 +167,10 @@ def policy_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _budget_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files of 16 made-up types, told by the digest of the whole text."""
     return table(spark, sf_dir, "documents").select(
         F.col("source").alias("image_id"), F.col("doc_id").alias("ord"), F.col("lang").alias("category"),
-        F.substring("text", 1, 1).alias("extension"), F.col("n_chars").alias("size"),
+        F.substring(F.md5("text"), 1, 1).alias("extension"), F.col("n_chars").alias("size"),
     )
 
 
@@ -224,13 +232,15 @@ QUERIES = {
     "missing_outputs": missing_outputs,
 }
 
-_WILSON = """CASE WHEN n <= 0 OR k >= n THEN 1000000 WHEN k = 0 THEN CAST(round_even((1 - pow({a}, 1.0 / n)) * 1000000, 0) AS BIGINT)
-  ELSE CAST(round_even(greatest(0, least(1, (k * 1.0 / n + {z} * {z} / (2.0 * n) + {z} * sqrt(k * 1.0 / n * (1 - k * 1.0 / n) / n + {z} * {z} / (4.0 * n * n)))
-    / (1 + {z} * {z} / n))) * 1000000, 0) AS BIGINT) END"""
+_BOUND = """CASE WHEN n <= 0 OR k >= n THEN 1000000 WHEN k = 0 THEN CAST(round_even((1 - pow({a}, 1.0 / n)) * 1000000, 0) AS BIGINT)
+  ELSE CAST(round_even(1000000 * list_reduce(list_transform(range(1, 53), lambda b: pow(2.0, -b)),
+    lambda p, step: CASE WHEN list_sum(list_transform(range(CAST(k AS BIGINT) + 1), lambda j: exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1)
+      + j * ln(p + step) + (n - j) * ln(1 - p - step)))) >= {a} THEN p + step ELSE p END, CAST(0 AS DOUBLE)), 0) AS BIGINT) END"""
 
 
-def _wilson(confidence: float) -> str:
-    return _WILSON.format(a=1 - confidence, z=f"CAST({sampling.Z_SCORES[confidence]!r} AS DOUBLE)")
+def _bound(confidence: float) -> str:
+    """The share at which the binomial sum up to ``k`` is as small as allowed, one binary digit after the other."""
+    return _BOUND.format(a=f"CAST({1 - confidence!r} AS DOUBLE)")
 
 
 _CONV = """
@@ -284,12 +294,13 @@ st AS (SELECT *, sum(spc) OVER (PARTITION BY t ORDER BY chunk) - spc + 1 AS firs
 SELECT st.t AS track_id, chunk, any_value(off) AS "offset", CAST(sum(size) AS BIGINT) AS length
 FROM st JOIN sz ON sz.t = st.t AND sample >= first AND sample < first + spc GROUP BY 1, 2""",
     "residual_bound": f"""WITH c AS (SELECT l_orderkey, count(*) FILTER (WHERE l_returnflag = 'R') AS k, count(*) AS n FROM lineitem GROUP BY 1)
-SELECT l_orderkey, k, n, {_wilson(0.95)} AS ppm95, {_wilson(0.99)} AS ppm99 FROM c""",
+SELECT l_orderkey, k, n, {_bound(0.95)} AS ppm95, {_bound(0.99)} AS ppm99 FROM c""",
     "required_samples": """SELECT l_discount, l_tax, CAST(ceil(ln(1 - (0.9 + l_discount * 0.9)) / ln(1 - l_tax / 100)) AS BIGINT) AS samples
 FROM (SELECT DISTINCT l_discount, l_tax FROM lineitem WHERE l_tax > 0)""",
     "pre_post_diff": """
 WITH h AS (SELECT source, lang, hex(encode(text)) AS h FROM documents),
-d AS (SELECT source, lang <> 'de' AND substr(h, 1, 128) <> substr(h, 65, 128) AS changed FROM h)
+p AS (SELECT source, lang, h, unnest(range(greatest(length(h) // 2 - 1, 0) // 64 + 1)) AS i FROM h),
+d AS (SELECT source, lang <> 'de' AND substr(h, 128 * i + 1, 128) <> substr(h, 128 * i + 65, 128) AS changed FROM p)
 SELECT source AS image_id, count(*) AS pairs, count(*) FILTER (WHERE changed) AS changed,
   round(count(*) FILTER (WHERE changed) * 1.0 / count(*), 6) AS changed_share, count(*) FILTER (WHERE changed) * 1.0 / count(*) >= 0.9 AS passed
 FROM d GROUP BY source""",
@@ -308,7 +319,7 @@ SELECT image_id, off AS "offset", 'out/' || length AS recovered_path FROM a WHER
 
 SQL["budget_admission"] = """
 WITH RECURSIVE f AS (
-  SELECT source AS image_id, doc_id AS ord, lang AS c, substr(text, 1, 1) AS e, n_chars AS s,
+  SELECT source AS image_id, doc_id AS ord, lang AS c, substr(md5(text), 1, 1) AS e, n_chars AS s,
     row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rn FROM documents),
 w AS (
   SELECT DISTINCT image_id, CAST(0 AS BIGINT) AS rn, CAST(NULL AS BIGINT) AS ord, CAST(NULL AS VARCHAR) AS d,
@@ -328,7 +339,7 @@ SELECT image_id, ord, d IS NULL AS admitted, coalesce(d, '-') AS denial FROM w W
 SQL["sample_verdict"] = f"""
 WITH s AS (SELECT source || '-' || lang AS image_id, CASE lang WHEN 'en' THEN 'zero' WHEN 'fr' THEN 'firmware' ELSE 'random' END AS pattern,
     octet_length(encode(text)) > 40000 AS failed,
-    CASE WHEN (lang = 'en' AND octet_length(encode(text)) < 5000) OR lang = 'fr' THEN repeat('00', least(octet_length(encode(text)), 512))
+    CASE WHEN (lang = 'en' AND octet_length(encode(text)) < 5000) OR lang = 'fr' THEN repeat('00', octet_length(encode(text)))
          ELSE hex(encode(text)) END AS h, doc_id AS id FROM documents),
 e AS (SELECT id, e FROM ({entropy_sql("SELECT id, 0 AS part, h FROM s WHERE pattern = 'random' AND NOT failed")})),
 g AS (SELECT image_id, pattern, count(*) FILTER (WHERE NOT failed) AS n, count(*) FILTER (WHERE failed) AS bad,
@@ -337,4 +348,4 @@ v AS (SELECT *, n > 0 AND bad = 0 AND CASE pattern WHEN 'zero' THEN z = n WHEN '
     ELSE 1 - z * 1.0 / n >= 0.9 AND ent >= least(7.0, log2(4096) * 0.85) END AS ok FROM g),
 k AS (SELECT *, CASE WHEN ok THEN 0 WHEN pattern IN ('zero', 'firmware') THEN greatest(1, n - z) ELSE greatest(1, z) END AS k FROM v)
 SELECT image_id, pattern, n AS samples_checked, bad AS samples_failed, ok AS all_samples_match,
-  CAST(greatest(n, 1073741824 // 512) AS BIGINT) AS population_blocks, CAST({_wilson(0.95)} AS BIGINT) AS residual_ppm FROM k"""
+  CAST(greatest(n, 1073741824 // 512) AS BIGINT) AS population_blocks, CAST({_bound(0.95)} AS BIGINT) AS residual_ppm FROM k"""

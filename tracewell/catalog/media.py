@@ -53,6 +53,7 @@ def _tag_positions(spark: SparkSession, sf_dir: str, tag: bytes) -> DataFrame:
 
 
 def next_footer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each paragraph's nearest end; 2,000 bytes is the largest size of the format, which the operator takes as input."""
     heads, feet = _tag_positions(spark, sf_dir, b"<p>"), _tag_positions(spark, sf_dir, b"</p>")
     near = first_at_or_after(heads, feet, ["image_id"], F.col("offset"), "offset", F.col("offset"), "foot", width=1 << 12)
     kept = F.when(F.col("foot") < F.col("offset") + 2000, F.col("foot"))
@@ -60,6 +61,7 @@ def next_footer(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def last_footer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last end within the format's largest size, 2,000 bytes, from each paragraph's start."""
     heads, feet = _tag_positions(spark, sf_dir, b"<p>"), _tag_positions(spark, sf_dir, b"</p>")
     far = latest_at_or_before(heads, feet, ["image_id"], F.col("offset") + 2000, "offset", F.col("offset"), "foot", width=1 << 12)
     kept = F.when(F.col("foot") >= F.col("offset"), F.col("foot"))
@@ -86,15 +88,15 @@ def bitmap_free_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def free_space_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Free clusters listed per supplier nation, summed up per partition."""
-    lines = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'")
+    """Line items as free clusters of their supplier's partition, at their order's place, summed up per partition."""
+    lines = table(spark, sf_dir, "lineitem")
     units = lines.select(
-        F.lit("disk").alias("image_id"), (F.col("l_suppkey") % 10).cast("int").alias("part_no"), F.col("l_partkey").alias("unit"),
+        F.lit("disk").alias("image_id"), (F.col("l_suppkey") % 10).cast("int").alias("part_no"), F.col("l_orderkey").alias("unit"),
         F.lit(512).alias("unit_bytes"), F.lit(0).alias("base"),
     )
     ranges = freespace.units_to_ranges(units)
     parts = table(spark, sf_dir, "supplier").select((F.col("s_suppkey") % 10).cast("int").alias("part_no")).distinct().select(
-        F.lit("disk").alias("image_id"), "part_no", F.lit(0).alias("start"), F.lit(1 << 22).alias("end"), (F.col("part_no") != 3).alias("reliable"),
+        F.lit("disk").alias("image_id"), "part_no", F.lit(0).alias("start"), F.lit(1 << 32).alias("end"), (F.col("part_no") != 3).alias("reliable"),
         F.lit("fat32").alias("fs_type"),
     )
     return freespace.free_summary(ranges, parts).select("part_no", "free_bytes", "range_count", "coverage_ppm", "reliable")
@@ -159,9 +161,8 @@ def index_base(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def name_provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
     fs = F.when(F.col("role") == "user", "ntfs").when(F.col("role") == "system", "exfat").otherwise("fat32")
-    path = F.when(F.col("turn") < 3, F.substring("text", 1, 5))
-    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", pv.provenance(fs, path).alias("p"))
-    return rows.select("conv_id", "turn", "p.name_source", "p.name_is_verified", "p.path_source", "p.path_is_recovered")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", pv.provenance(fs, F.col("text")).alias("p"))
+    return rows.select("conv_id", "turn", "p.name_source", "p.name_is_verified", "p.path_source", "p.path_is_recovered", F.length("p.path").alias("path_length"))
 
 
 QUERIES = {
@@ -202,11 +203,11 @@ SELECT a.page_id, a.o AS "offset", (SELECT max(b.o) FROM b WHERE b.page_id = a.p
     "bitmap_free_runs": """WITH f AS (SELECT p_partkey AS u, p_partkey - row_number() OVER (ORDER BY p_partkey) AS g FROM part WHERE p_size > 20)
 SELECT 1048576 + min(u) * 4096 AS free_start, 1048576 + (max(u) + 1) * 4096 AS free_end FROM f GROUP BY g""",
     "free_space_summary": """
-WITH u AS (SELECT DISTINCT l_suppkey % 10 AS p, l_partkey AS u FROM lineitem WHERE l_returnflag = 'R'),
+WITH u AS (SELECT DISTINCT l_suppkey % 10 AS p, l_orderkey AS u FROM lineitem),
 g AS (SELECT p, u, u - row_number() OVER (PARTITION BY p ORDER BY u) AS g FROM u),
 s AS (SELECT p, count(*) * 512 AS free_bytes, count(DISTINCT g) AS range_count FROM g GROUP BY p)
 SELECT CAST(q.p AS INTEGER) AS part_no, coalesce(free_bytes, 0) AS free_bytes, coalesce(range_count, 0) AS range_count,
-  coalesce(free_bytes, 0) * 1000000 // 4194304 AS coverage_ppm, q.p <> 3 AND coalesce(free_bytes, 0) > 0 AS reliable
+  coalesce(free_bytes, 0) * 1000000 // 4294967296 AS coverage_ppm, q.p <> 3 AND coalesce(free_bytes, 0) > 0 AS reliable
 FROM (SELECT DISTINCT s_suppkey % 10 AS p FROM supplier) q LEFT JOIN s ON s.p = q.p""",
     "declared_sizes": """
 WITH d AS (SELECT doc_id, CASE WHEN lang = 'de' THEN 'BMP DIB header size 41 is not a known variant'
@@ -241,6 +242,6 @@ SELECT f AS file_id, n AS entries, re AS hits_relative, ab AS hits_absolute, CAS
   CAST(CASE WHEN re > ab THEN 5 WHEN ab > re THEN 0 END AS BIGINT) AS base FROM h""",
     "name_provenance": """
 SELECT conv_id, turn, CASE role WHEN 'user' THEN 'deleted-directory-entry' WHEN 'system' THEN 'deleted-directory-entry' ELSE 'adjacency-only' END AS name_source,
-  FALSE AS name_is_verified, CASE WHEN turn < 3 AND text <> '' AND role = 'user' THEN 'ntfs-file-name-attribute' ELSE 'not-recoverable' END AS path_source,
-  turn < 3 AND text <> '' AS path_is_recovered FROM conversations""",
+  FALSE AS name_is_verified, CASE WHEN text <> '' AND role = 'user' THEN 'ntfs-file-name-attribute' ELSE 'not-recoverable' END AS path_source,
+  coalesce(text, '') <> '' AS path_is_recovered, CAST(length(text) AS INTEGER) AS path_length FROM conversations""",
 }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewell.catalog.common import table
@@ -121,17 +121,20 @@ def chain_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def long_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversation turns as long-name fragments of one entry per conversation."""
-    turns = table(spark, sf_dir, "conversations")
-    last = F.max("turn").over(Window.partitionBy("conv_id"))
+    """Every turn as an entry whose whole text is its long name, in fragments of 13 characters."""
+    turns = table(spark, sf_dir, "conversations").select(
+        "conv_id", "turn", F.when(F.col("role") == "system", 9).otherwise(7).alias("checksum"), F.coalesce("text", F.lit("")).alias("text")
+    )
+    pieces = turns.withColumn("n", F.expr("greatest(int((length(text) + 12) div 13), 1)"))
+    pieces = pieces.withColumn("piece", F.explode(F.sequence(F.lit(1), F.col("n"))))
     fragment = F.struct(
-        (F.col("turn") + 1).cast("int").alias("sequence"), (F.col("turn") == F.col("last")).alias("is_last"),
-        F.when(F.col("role") == "system", 9).otherwise(7).alias("checksum"), F.substring("text", 1, 13).alias("characters"),
+        F.col("piece").alias("sequence"), (F.col("piece") == F.col("n")).alias("is_last"), "checksum",
+        F.col("text").substr(F.col("piece") * 13 - 12, F.lit(13)).alias("characters"),
     )
-    grouped = turns.withColumn("last", last).groupBy("conv_id").agg(F.collect_list(fragment).alias("fragments"))
+    grouped = pieces.groupBy("conv_id", "turn").agg(F.collect_list(fragment).alias("fragments"))
     expected = F.when(F.col("conv_id") % 2 == 0, F.lit(7))
     named = grouped.withColumn("n", directory.assemble_long_name(F.col("fragments"), expected))
-    return named.select("conv_id", "n.long_name", F.col("n.level").alias("verification"))
+    return named.select("conv_id", "turn", "n.long_name", F.col("n.level").alias("verification"))
 
 
 def sanitize_status(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -229,14 +232,14 @@ w AS (SELECT s_suppkey * 7 + 2 AS head, 0 AS pos, s_suppkey * 7 + 2 AS cluster,
   WHERE pos + 1 < lim AND n >= 2 AND n < 268435447 AND NOT list_contains(seen, n))
 SELECT head, CAST(pos AS BIGINT) AS pos, cluster FROM w""",
     "long_names": r"""
-WITH t AS (SELECT conv_id, turn, role, text, max(turn) OVER (PARTITION BY conv_id) AS last FROM conversations),
-g AS (SELECT conv_id, count(*) AS n, count(DISTINCT CASE WHEN role = 'system' THEN 9 ELSE 7 END) AS sums,
-  arg_min(CASE WHEN role = 'system' THEN 9 ELSE 7 END, turn) AS cs, min(turn) AS lo, max(turn) AS hi, count(DISTINCT turn) AS dt,
-  count(*) FILTER (WHERE turn = last) AS lasts,
-  regexp_replace(string_agg(substr(text, 1, 13), '' ORDER BY turn), '\s+$', '') AS nm FROM t GROUP BY conv_id),
-v AS (SELECT *, lo = 0 AND hi = n - 1 AND dt = n AND lasts = 1 AND sums = 1 AND (conv_id % 2 <> 0 OR cs = 7)
-        AND nm <> '' AND length(nm) <= 255 AS good FROM g)
-SELECT conv_id, CASE WHEN good THEN nm END AS long_name,
+WITH t AS (SELECT conv_id, turn, CASE WHEN role = 'system' THEN 9 ELSE 7 END AS cs, coalesce(text, '') AS text,
+  greatest((length(coalesce(text, '')) + 12) // 13, 1) AS pieces FROM conversations),
+p AS (SELECT *, unnest(range(1, pieces + 1)) AS i FROM t),
+g AS (SELECT conv_id, turn, count(*) AS n, max(i) AS hi, count(DISTINCT i) AS di, count(*) FILTER (WHERE i = pieces) AS lasts,
+  count(DISTINCT cs) AS sums, min(cs) AS cs, regexp_replace(string_agg(substr(text, 13 * i - 12, 13), '' ORDER BY i), '\s+$', '') AS nm
+  FROM p GROUP BY conv_id, turn),
+v AS (SELECT *, hi = n AND di = n AND lasts = 1 AND sums = 1 AND (conv_id % 2 <> 0 OR cs = 7) AND nm <> '' AND length(nm) <= 255 AS good FROM g)
+SELECT conv_id, turn, CASE WHEN good THEN nm END AS long_name,
   CASE WHEN NOT good THEN 'failed' WHEN conv_id % 2 = 0 THEN 'checksum' ELSE 'adjacency-only' END AS verification FROM v""",
     "sanitize_status": """
 WITH e AS (SELECT event_id, CAST(props->>'$.k' AS INTEGER) AS k, event_id % 65536 AS sprog,
