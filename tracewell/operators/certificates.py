@@ -122,10 +122,11 @@ class _Document:
     """Access to one parsed document through columns prepared by :func:`validate_certificates`.
 
     ``maps`` holds each object's members as text (one parse per object), ``kinds`` the JSON type of
-    every checked member, read off one variant.
+    every checked member, read off one variant. Each is a column of its own: fields of a struct would be
+    put back into every check that reads them, and parsed as often.
     """
 
-    def __init__(self, text: Column, variant: Column, maps: Column, kinds: Column):
+    def __init__(self, text: Column, variant: Column, maps: dict[str, Column], kinds: dict[str, Column]):
         self.text, self.variant, self.maps, self.kinds = text, variant, maps, kinds
 
     def keys(self, path: str) -> Column:
@@ -325,24 +326,31 @@ def validate_certificates(
 ) -> DataFrame:
     """Append the list of structural problems of each JSON document."""
     members = "map<string,string>"
-    parsed = df.withColumn("__v", F.try_parse_json(F.col(column))).withColumn("__m", F.from_json(column, members))
+    objects = ("issuer", "tool", "device", "wipe", "signature", "result")
+    paths = list(dict.fromkeys(["", *_typed_paths()]))
 
-    def below(parent: Column, name: str) -> Column:
-        return F.from_json(F.try_element_at(parent, F.lit(name)), members)
+    def map_name(path: str) -> str:
+        return f"__m_{_slot(path)}"
+
+    def kind_name(path: str) -> str:
+        return f"__k_{_slot(path)}"
+
+    def below(parent: str, name: str) -> Column:
+        return F.from_json(F.try_element_at(F.col(map_name(parent)), F.lit(name)), members)
 
     def kind(path: str) -> Column:
         found = F.col("__v") if not path else F.try_variant_get("__v", f"$.{path}", "variant")
         return F.nullif(F.schema_of_variant(found), F.lit("VOID"))
 
-    result = below(F.col("__m"), "result")
-    maps = F.struct(
-        F.col("__m").alias("root"),
-        *[below(F.col("__m"), name).alias(name) for name in ("issuer", "tool", "device", "wipe", "signature")],
-        result.alias("result"),
-        below(result, "verification").alias("result__verification"),
+    verification = "result.verification"
+    staged = (
+        df.withColumns({"__v": F.try_parse_json(F.col(column)), map_name(""): F.from_json(column, members)})
+        .withColumns({map_name(name): below("", name) for name in objects})
+        .withColumn(map_name(verification), below("result", "verification"))
+        .withColumns({kind_name(path): kind(path) for path in paths})
     )
-    kinds = F.struct(*[kind(path).alias(_slot(path)) for path in dict.fromkeys(["", *_typed_paths()])])
-    staged = parsed.withColumns({"__maps": maps, "__kinds": kinds})
-    doc = _Document(F.col(column), F.col("__v"), F.col("__maps"), F.col("__kinds"))
+    maps = {_slot(path): F.col(map_name(path)) for path in ("", *objects, verification)}
+    kinds = {_slot(path): F.col(kind_name(path)) for path in paths}
+    doc = _Document(F.col(column), F.col("__v"), maps, kinds)
     checked = staged.withColumn(out, _certificate_errors(doc, require_signature))
-    return checked.drop("__v", "__m", "__maps", "__kinds")
+    return checked.select(*df.columns, out) if out not in df.columns else checked.drop("__v", *map(map_name, ("", *objects, verification)), *map(kind_name, paths))
