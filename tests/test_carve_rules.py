@@ -115,3 +115,29 @@ def test_noise_is_no_format_without_a_rule(spark):
     noise = bytearray(random.Random(4).randbytes(20_000))
     df = spark.createDataFrame([(ext, noise) for ext in ("jpg", "jpeg", "gz", "mp3", "flac", "xyz")], "ext string, payload binary")
     assert not any(r.g.ok for r in df.select(validate_structure(F.col("payload"), F.col("ext")).alias("g")).collect())
+
+
+def test_units_are_walked_not_guessed_from_the_ends(spark):
+    """Noise between a sound beginning and end is rejected; a bad checksum alone is counted."""
+    rng = random.Random(8)
+    png, wav, packed = b.png(rng, 3000), b.wav(rng), b.zipped(3)
+    torn = png[:200] + rng.randbytes(400) + png[-12:]
+    gap = png[:33] + rng.randbytes(300) + png[-12:]
+    flipped = png[:60] + bytes([png[60] ^ 1]) + png[61:]
+    at = packed.index(b"PK\x01\x02")
+    movie = b"RIFF" + struct.pack("<I", 40) + b"AVI LIST" + struct.pack("<I", 4) + b"hdrlLIST" + struct.pack("<I", 8) + b"movi\0\0\0\0"
+    cases = {
+        "png": ("png", png, True), "torn": ("png", torn, False), "gap": ("png", gap, False), "flipped": ("png", flipped, True),
+        "wav": ("wav", wav, True), "unpadded": ("wav", wav[:40] + struct.pack("<I", 499) + wav[44:-1], True),
+        "noise": ("wav", wav[:12] + rng.randbytes(300) + b"fmt " + rng.randbytes(40) + b"data" + bytes(20), False),
+        "silent": ("wav", wav[:22] + b"\0\0" + wav[24:], False), "no data": ("wav", wav[:36], False),
+        "zip": ("zip", packed, True), "no directory": ("zip", packed[:at] + b"PK\x01\x09" + packed[at + 4 :], False),
+        "avi": ("avi", movie, True), "word": ("avi", movie.replace(b"movi", b"rec ") + b"movi", False),
+        "empty": ("png", b"", False), "null": ("png", None, False),
+    }
+    rows = [(name, ext, None if data is None else bytearray(data)) for name, (ext, data, _) in cases.items()]
+    df = spark.createDataFrame(rows, "name string, ext string, payload binary")
+    got = {r.name: r.g for r in df.select("name", structure.validate_structure(F.col("payload"), F.col("ext")).alias("g")).collect()}
+    assert {name: bool(g.ok) for name, g in got.items() if name != "null"} == {name: ok for name, (_, _, ok) in cases.items() if name != "null"}
+    assert got["png"].reason.endswith(" 0 CRC mismatch)") and got["flipped"].reason.endswith(" 1 CRC mismatch)")
+    assert "channels=0" in got["silent"].reason and "central directory header" in got["no directory"].reason

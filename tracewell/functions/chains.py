@@ -80,6 +80,27 @@ def _unit(layout: Units, head: bytes, nth: int) -> int | None:
     return size if size >= max(1, least) else None
 
 
+def units(extension: str, data: bytes) -> list[dict]:
+    """Offset, length and tag of a payload's units, up to the closing one or to where they stop.
+
+    Padding behind the last unit may be missing.
+    """
+    layout = LAYOUTS[extension]
+    found: list[dict] = []
+    pos = layout.skip
+    while pos < len(data):
+        head = data[pos : pos + _HEAD]
+        size = _unit(layout, head, len(found))
+        if size is None or pos + size >= len(data) + layout.align:
+            break
+        tag = head[layout.magic_off : layout.magic_off + layout.text]
+        found.append({"offset": pos, "length": size, "tag": tag.decode("latin-1")})
+        if layout.closing is not None and head.startswith(layout.closing[0], layout.closing[1]):
+            break
+        pos += size
+    return found
+
+
 def walk(extension: str, read: Read, start: int, limit: int) -> Verdict:
     """``(end, method, note)`` of the file of a known format at ``start``; ``end`` is None if its units do not close."""
     layout = LAYOUTS[extension]
