@@ -75,6 +75,20 @@ def entropy_expectation(category: Column, extension: Column) -> Column:
     return F.struct(_expected(category, extension, 0).alias("lo"), _expected(category, extension, 1).alias("hi"))
 
 
+def two_places(value: Column) -> Column:
+    """A double from 0 to 8 with two decimals, its exact binary value rounded, ties to even.
+
+    ``format_string`` rounds the shortest decimal text and ties away from zero, so that 3.125 gave 3.13. Scaled by a power
+    of two the value is an integer without loss; below 2**-10, where bits may fall off, no rounding border lies.
+    """
+    scale = F.when(value < 1, F.lit(2**62)).otherwise(F.lit(2**59)).cast("decimal(20,0)")
+    units = F.when(value < 1, value * float(2**62)).otherwise(value * float(2**59)).cast("long").cast("decimal(20,0)") * 100
+    whole = F.floor((units - units % scale) / scale).cast("long")
+    twice = (units % scale) * 2
+    hundredths = whole + F.when((twice > scale) | ((twice == scale) & (whole % 2 == 1)), 1).otherwise(0)
+    return F.concat(F.floor(hundredths / 100).cast("string"), F.lit("."), F.lpad((hundredths % 100).cast("string"), 2, "0"))
+
+
 def score_candidate(
     *,
     name: Column,
@@ -130,7 +144,7 @@ def score_candidate(
     typical = entropy.between(lo, hi)
     constant = entropy < 1.0
     band = entropy_band(entropy)
-    two = F.format_string("%.2f", entropy)
+    two = two_places(entropy)
     entropy_line = (
         F.when(typical, F.concat(F.lit("Entropy "), two, F.lit("/8.0 ("), band, F.lit(") is typical for this format (+15)")))
         .when(
