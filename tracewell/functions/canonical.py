@@ -8,12 +8,16 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tracewell.functions.batches import release, runs
+
 MAX_EXACT = 2**53 - 1
 MAX_DEPTH = 64
 
@@ -82,46 +86,56 @@ def _depth(value) -> int:
 def canonical_text(text: str, drop: str | None = None) -> str:
     """Canonical form of one JSON document, without the top-level member ``drop``.
 
-    Only the numbers that remain in the result have to be exact integers.
+    Only the numbers that remain in the result have to be exact integers. Most documents hold no other numbers at all and
+    are read once; the rest are read again without what is dropped.
     """
-    value = json.loads(text, parse_float=lambda t: float(t))
+    try:
+        value = json.loads(text, parse_float=_no_float, parse_int=_exact_int, parse_constant=_no_float)
+        sound = True
+    except _Refused:
+        value = json.loads(text, parse_float=lambda t: float(t))
+        sound = False
     if drop is not None and isinstance(value, dict):
         value.pop(drop, None)
-    if _depth(value) > MAX_DEPTH:
+    if text.count("{") + text.count("[") > MAX_DEPTH and _depth(value) > MAX_DEPTH:
         raise _Refused(f"data structure exceeds maximum nesting depth ({MAX_DEPTH} levels)")
-    kept = json.dumps(value, ensure_ascii=False)
-    checked = json.loads(kept, parse_float=_no_float, parse_int=_exact_int, parse_constant=_no_float)
-    return json.dumps(checked, sort_keys=True, ensure_ascii=False, separators=(",", ":"))
+    if not sound:
+        kept = json.dumps(value, ensure_ascii=False)
+        value = json.loads(kept, parse_float=_no_float, parse_int=_exact_int, parse_constant=_no_float)
+    return json.dumps(value, sort_keys=True, ensure_ascii=False, separators=(",", ":"))
 
 
 CANONICAL = T.StructType([T.StructField("text", T.StringType()), T.StructField("error", T.StringType())])
 
 
-def _canonical_frame(docs: pd.Series, drop: str | None) -> pd.DataFrame:
-    texts, errors = [], []
-    for doc in docs:
-        text = error = None
-        if doc is not None:
-            try:
-                text = canonical_text(doc, drop)
-                text.encode("utf-8")
-            except (ValueError, RecursionError) as exc:
-                text, error = None, str(exc)
-        texts.append(text)
-        errors.append(error)
-    return pd.DataFrame({"text": texts, "error": errors}, dtype=object)
-
-
-@F.pandas_udf(CANONICAL)
-def canonicalize(docs: pd.Series) -> pd.DataFrame:
+def _canonical_runs(docs: Iterator[pa.Array], drop: str | None) -> Iterator[pa.Array]:
+    for column in docs:
+        for at, n in runs(column):
+            texts, errors = [], []
+            for doc in column.slice(at, n).to_pylist():
+                text = error = None
+                if doc is not None:
+                    try:
+                        text = canonical_text(doc, drop)
+                        text.encode("utf-8")
+                    except (ValueError, RecursionError) as exc:
+                        text, error = None, str(exc)
+                texts.append(text)
+                errors.append(error)
+            yield pa.StructArray.from_arrays([pa.array(texts, pa.string()), pa.array(errors, pa.string())], ["text", "error"])
+    release()
+
+
+@F.arrow_udf(CANONICAL)
+def canonicalize(docs: Iterator[pa.Array]) -> Iterator[pa.Array]:
     """``struct(text, error)`` per JSON document."""
-    return _canonical_frame(docs, None)
+    return _canonical_runs(docs, None)
 
 
-@F.pandas_udf(CANONICAL)
-def canonical_payload(docs: pd.Series) -> pd.DataFrame:
+@F.arrow_udf(CANONICAL)
+def canonical_payload(docs: Iterator[pa.Array]) -> Iterator[pa.Array]:
     """Canonical form of a certificate without its ``signature`` member."""
-    return _canonical_frame(docs, "signature")
+    return _canonical_runs(docs, "signature")
 
 
 def payload_sha256(canonical: Column) -> Column:
