@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tracewell.functions.batches import release, runs
+
 BLOCK = 1024
 MIN_BLOCKS = 8
 UNIFORM_STDEV_MAX = 0.08
@@ -65,21 +70,32 @@ def block_entropy_profile(payload: pd.Series) -> pd.DataFrame:
     return pd.DataFrame({"mean": pd.array(means, dtype="Float64"), "stdev": pd.array(spreads, dtype="Float64")})
 
 
-@F.pandas_udf(T.DoubleType())
-def _mean_entropy(samples: pd.Series) -> pd.Series:
-    return samples.map(lambda parts: sum(_entropy(p) for p in parts) / len(parts), na_action="ignore").astype("Float64")
+@F.arrow_udf(T.DoubleType())
+def _mean_entropy(samples: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    """Mean entropy of the equal parts, as many as the second column says, that a value consists of."""
+    for column, parts in samples:
+        for at, n in runs(column):
+            found = []
+            for data, count in zip(column.slice(at, n).to_pylist(), parts.slice(at, n).to_pylist()):
+                if data is None:
+                    found.append(None)
+                    continue
+                size = len(data) // count
+                found.append(sum(_entropy(data[i * size : (i + 1) * size]) for i in range(count)) / count)
+            yield pa.array(found, pa.float64())
+    release()
 
 
 def sample_entropy(payload: Column) -> Column:
     """Whole-payload entropy up to 8 KiB, else the mean over 2 KiB at the start, middle and end.
 
-    The samples are cut in the JVM, so at most 8 KiB of a payload crosses to Python.
+    The samples are cut in the JVM, so at most 8 KiB of a payload crosses to Python, as one value of one column.
     """
     size = F.octet_length(payload)
     start = F.substring(payload, 1, 2048)
     middle = F.substring(payload, F.shiftright(size, 1) + 1, F.lit(2048))
     end = F.substring(payload, size - 2047, F.lit(2048))
-    return _mean_entropy(F.when(size <= 8192, F.array(payload)).when(size > 8192, F.array(start, middle, end)))
+    return _mean_entropy(F.when(size <= 8192, payload).when(size > 8192, F.concat(start, middle, end)), F.when(size > 8192, 3).otherwise(1))
 
 
 def uniform_random_complaint(profile: Column) -> Column:
