@@ -10,7 +10,8 @@ from tracewell.functions.canonical import block_hash as hash_of_block
 from tracewell.functions.canonical import canonical_payload, canonicalize
 from tracewell.operators import certificates as ct
 from tracewell.operators import ledger as lg
-from tracewell.session import cut_lineage, spread
+from tracewell.plans.joins import materialise
+from tracewell.session import spread
 
 _UUID = "concat_ws('-', substr({h}, 1, 8), substr({h}, 9, 4), substr({h}, 13, 4), substr({h}, 17, 4), substr({h}, 21, 12))"
 _METHODS = {
@@ -72,32 +73,36 @@ def shape_orders(orders: DataFrame) -> DataFrame:
     )
 
 
-def _chain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lg.append_blocks(None, _orders(spark, sf_dir), ["o_orderdate", "o_orderkey"])
+def _chain(spark: SparkSession, sf_dir: str, keep: list[str] | None = None) -> DataFrame:
+    price = F.get_json_object("certificate_json", "$.device.capacity_bytes").cast("long")
+    return lg.append_blocks(None, _orders(spark, sf_dir).withColumn("price", price), ["o_orderdate", "o_orderkey"], keep=keep)
 
 
 def append_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _chain(spark, sf_dir).select("chain_id", "block_index", "cert_uuid", "payload_hash", "prev_hash", "block_hash")
+    return _chain(spark, sf_dir, ["chain_id", "block_index", "cert_uuid", "payload_hash", "prev_hash", "block_hash"])
 
 
-def _ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+_LINKS = ["chain_id", "block_index", "operator_id", "prev_hash", "block_hash"]
+_BLOCKS = [f.name for f in lg.BLOCK_SCHEMA.fields]
+
+
+def _ledger(spark: SparkSession, sf_dir: str, keep: list[str] = _BLOCKS) -> DataFrame:
     """The chained ledger, signed, with tampering where an order's price says so.
 
     The price is embedded as the device capacity: the top prices mark rows edited after hashing, rows
     deleted, rows with a broken link, and rows whose signature is missing or wrong.
     """
-    # A ledger is a stored table: every check below reads it, none recomputes the chain.
-    chained = cut_lineage(_chain(spark, sf_dir)).withColumn("price", F.get_json_object("certificate_json", "$.device.capacity_bytes").cast("long"))
-    fp = F.get_json_object("certificate_json", "$.signature.public_key_fingerprint")
+    # A ledger is a stored table: every check below reads the columns it needs, none recomputes the chain.
+    chained = materialise(_chain(spark, sf_dir, [*keep, "price", "fp"]))
     price = F.col("price")
-    signature = F.concat(_sign(F.col("block_hash"), fp), F.lit("0" * 22))
+    signature = F.concat(_sign(F.col("block_hash"), F.col("fp")), F.lit("0" * 22))
     return (
         chained.where(~price.between(440000, 444999))
         .withColumn("block_signature", F.when(price.between(450000, 452999), F.lit("")).when(
             price.between(455000, 457999), F.lit("forged")).otherwise(signature))
         .withColumn("operator_id", F.when(price.between(460000, 462999), F.lit("intruder")).otherwise(F.col("operator_id")))
         .withColumn("prev_hash", F.when(price.between(470000, 472999), F.lit("f" * 64)).otherwise(F.col("prev_hash")))
-        .drop("price")
+        .select(*keep)
     )
 
 
@@ -133,7 +138,7 @@ def block_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def chain_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    linked = lg.link_ledger(_ledger(spark, sf_dir))
+    linked = lg.link_ledger(_ledger(spark, sf_dir, _LINKS))
     return linked.select(
         "chain_id", "block_index", "has_gap", F.coalesce(F.col("prev_hash") == F.col("expected_prev"), F.lit(False)).alias("linked")
     )
@@ -159,7 +164,7 @@ def ledger_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def ledger_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first page of five hundred erase operations over all chains."""
-    page = lg.ledger_page(_chain(spark, sf_dir), "DRIVE_ERASE", limit=500)
+    page = lg.ledger_page(_chain(spark, sf_dir, ["chain_id", "block_index", "cert_uuid", "operation_type"]), "DRIVE_ERASE", limit=500)
     return page.select("chain_id", "block_index", "cert_uuid")
 
 

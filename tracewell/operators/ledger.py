@@ -7,9 +7,10 @@ row-parallel: chains are never walked, and one chain of millions of blocks sprea
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
+from itertools import repeat
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -317,17 +318,20 @@ def verify_ledger(
     )
 
 
-def _chain_hashes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Number and hash rows that arrive grouped by chain and in order; only the tip is remembered."""
-    chain = prev = None
-    index = 0
+def _chain_hashes(batches: Iterator[pa.RecordBatch], tipped: bool) -> Iterator[pa.RecordBatch]:
+    """Number and hash rows that arrive grouped by chain and in order; only the tip is remembered.
+
+    Columns that are merely carried along are never turned into Python values.
+    """
+    chain, prev, index = object(), GENESIS_PREV, -1
     for batch in batches:
         indexes, prevs, hashes = [], [], []
-        columns = (batch["chain_id"], batch["__tip_index"], batch["__tip_hash"], batch["__head"], batch["__tail"])
-        for chain_id, tip_index, tip_hash, head, tail in zip(*columns):
+        chains, heads, tails = (batch.column(c).to_pylist() for c in ("chain_id", "__head", "__tail"))
+        tips = zip(*(batch.column(c).to_pylist() for c in ("__tip_index", "__tip_hash"))) if tipped else repeat((-1, GENESIS_PREV))
+        for chain_id, head, tail, tip in zip(chains, heads, tails, tips):
             if chain_id != chain:
                 chain = chain_id
-                index, prev = int(tip_index), tip_hash
+                index, prev = tip
             index += 1
             if index > MAX_EXACT:
                 raise ValueError(f"block index {index} is beyond the exact integer range")
@@ -336,16 +340,22 @@ def _chain_hashes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             prevs.append(prev)
             hashes.append(digest)
             prev = digest
-        kept = batch.drop(columns=["__tip_index", "__tip_hash", "__head", "__tail", "__order"])
-        yield kept.assign(block_index=indexes, prev_hash=prevs, block_hash=hashes)
+        kept = [name for name in batch.schema.names if not name.startswith("__")]
+        text = batch.schema.field("chain_id").type
+        made = [pa.array(indexes, pa.int64()), pa.array(prevs, text), pa.array(hashes, text)]
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *made], [*kept, "block_index", "prev_hash", "block_hash"])
 
 
-def append_blocks(ledger: DataFrame | None, docs: DataFrame, order: list[str], sign: Callable[[Column], Column] | None = None) -> DataFrame:
+def append_blocks(
+    ledger: DataFrame | None, docs: DataFrame, order: list[str], sign: Callable[[Column], Column] | None = None,
+    keep: Sequence[str] | None = None,
+) -> DataFrame:
     """The next blocks of each chain for ``docs(chain_id, operation_type, certificate_json, <order>)``.
 
     Linking is sequential inside a chain by definition. Rows are partitioned by chain and sorted, and
     a streaming pass keeps nothing but the current tip, so a long chain needs time but no memory.
-    Everything except the link itself is rendered as columns beforehand.
+    Everything except the link itself is rendered as columns beforehand. A caller that needs only some columns of the
+    blocks, or further ones of ``docs``, names them in ``keep``, and the documents stay out of the shuffle.
     """
     text = {
         "timestamp": ("$.issued_at", None),
@@ -355,8 +365,12 @@ def append_blocks(ledger: DataFrame | None, docs: DataFrame, order: list[str], s
         "cert_uuid": ("$.cert_uuid", "00000000-0000-0000-0000-000000000000"),
         "signature": ("$.signature.signature_base64url", "unsigned"),
     }
+    linked = ["chain_id", "block_index", "prev_hash", "block_hash"]
+    names = [f.name for f in BLOCK_SCHEMA.fields if f.name != "block_signature"] if keep is None else [n for n in keep if n != "block_signature"]
+    made = {"chain_id", "operation_type", "certificate_json", "payload_hash", *text, *linked}
     fields = docs.select(
-        "chain_id", "operation_type", "certificate_json", F.struct(*order).alias("__order"),
+        F.col("chain_id").cast("string").alias("chain_id"), "operation_type", "certificate_json", F.struct(*order).alias("__order"),
+        *[n for n in names if n not in made],
         *[F.coalesce(_member(path), F.lit(default) if default is not None
                      else F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss'Z'")).alias(name)
           for name, (path, default) in text.items()],
@@ -374,22 +388,19 @@ def append_blocks(ledger: DataFrame | None, docs: DataFrame, order: list[str], s
         *[quoted(n) for n in ("cert_uuid", "operation_type", "operator_id", "organization", "payload_hash")], F.lit(',"prev_hash":')
     )
     tail = F.concat(*[quoted(n) for n in ("signature", "target_id", "timestamp")], F.lit("}"))
-    if ledger is None:
-        tipped = fields.withColumn("tip_index", F.lit(None).cast("long")).withColumn("tip_hash", F.lit(None).cast("string"))
-    else:
-        tipped = fields.join(chain_tips(ledger), "chain_id", "left")
-    ready = tipped.select(
-        *fields.columns,
-        F.coalesce("tip_index", F.lit(-1)).cast("long").alias("__tip_index"),
-        F.coalesce("tip_hash", F.lit(GENESIS_PREV)).alias("__tip_hash"),
-        head.alias("__head"),
-        tail.alias("__tail"),
-    ).withColumn("chain_id", F.col("chain_id").cast("string"))
-    ordered = ready.repartition(shuffle_width(docs), "chain_id").sortWithinPartitions("chain_id", "__order")
-    names = [f.name for f in BLOCK_SCHEMA.fields if f.name != "block_signature"]
-    out_fields = [f for f in fields.columns if f != "__order"] + ["block_index", "prev_hash", "block_hash"]
-    types_ = {f.name: f for f in BLOCK_SCHEMA.fields}
-    schema = T.StructType([types_[n] for n in out_fields])
-    chained = ordered.mapInPandas(_chain_hashes, schema).select(*names)
+    tips = []
+    if ledger is not None:
+        fields = fields.join(chain_tips(ledger), "chain_id", "left")
+        tips = [F.coalesce("tip_index", F.lit(-1)).cast("long").alias("__tip_index"), F.coalesce("tip_hash", F.lit(GENESIS_PREV)).alias("__tip_hash")]
+    ordered = fields.repartition(shuffle_width(docs), "chain_id").sortWithinPartitions("chain_id", "__order")
+    carried = list(dict.fromkeys(["chain_id", *[n for n in names if n not in linked]]))
+    # Heads and tails repeat other columns, so they are rendered where the rows arrive.
+    ready = ordered.select(*carried, *tips, head.alias("__head"), tail.alias("__tail"))
+    types_ = {f.name: f for f in [*docs.schema.fields, *BLOCK_SCHEMA.fields]}
+    schema = T.StructType([T.StructField(n, types_[n].dataType) for n in [*carried, "block_index", "prev_hash", "block_hash"]])
+    tipped = bool(tips)
+    chained = ready.mapInArrow(lambda batches: _chain_hashes(batches, tipped), schema).select(*names)
+    if keep is not None and "block_signature" not in keep:
+        return chained
     signature = sign(F.col("block_hash")) if sign is not None else F.lit("")
     return chained.withColumn("block_signature", signature)
