@@ -9,10 +9,13 @@ from pyspark.sql import functions as F
 
 from tracewell.catalog.ledger import _chain
 from tracewell.catalog.timeline import _FOLD, shape_events
+from tracewell.functions.canonical import BLOCK_STRINGS
 from tracewell.session import checkpoint_folder
 from tracewell.streaming.ledger import monitor_ledger
 from tracewell.streaming.timeline import latest_rows, stream_timeline
 
+#: What the monitor reads of a block, and the price that says where this query alters one.
+_HASHED = ["chain_id", "block_index", *BLOCK_STRINGS, "block_hash", "price"]
 _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -44,8 +47,11 @@ def _replay(spark: SparkSession, stream: DataFrame, mode: str) -> DataFrame:
 
 
 def _as_stream(spark: SparkSession, path: str) -> DataFrame:
-    schema = spark.read.parquet(path).schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 4).parquet(path)
+    """The files of a table as a stream of four batches, however many files there are: every batch costs a commit of every
+    state partition."""
+    stored = spark.read.parquet(path)
+    files = len(stored.inputFiles())
+    return spark.readStream.schema(stored.schema).option("maxFilesPerTrigger", max(4, -(-files // 4))).parquet(path)
 
 
 def stream_timeline_query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,8 +67,7 @@ def stream_timeline_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_ledger_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The orders' ledger with some blocks altered, replayed as files; one row per alert."""
     folder = _folder(spark, "ledger")
-    price = F.get_json_object("certificate_json", "$.device.capacity_bytes").cast("long")
-    altered = _chain(spark, sf_dir).withColumn("price", price).withColumn(
+    altered = _chain(spark, sf_dir, _HASHED).withColumn(
         "operator_id", F.when(F.col("price").between(460000, 462999), F.lit("intruder")).otherwise(F.col("operator_id"))
     ).withColumn("prev_hash", F.when(F.col("price").between(470000, 472999), F.lit("f" * 64)).otherwise(F.col("prev_hash"))).drop("price")
     altered.write.parquet(f"{folder}/blocks")
