@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
@@ -14,7 +13,7 @@ from tracewell.operators.payloads import resume
 
 _STATE = (
     "first_usn long, first_name string, last_usn long, event_count long, reason_mask long, "
-    "created_usn long, created_at timestamp, deleted_usn long, deleted_at timestamp, deletions long"
+    "created_usn long, created_at timestamp, deleted_usn long, deleted_at timestamp, deletions long, renames long"
 )
 _RENAMES = "name string"
 OUTPUT = (
@@ -22,6 +21,8 @@ OUTPUT = (
     "was_deleted boolean, last_usn long, event_count long, reason_mask long"
 )
 
+_OUT = Row(*[c.split()[0] for c in OUTPUT.split(", ")])
+
 
 class TimelineFold(StatefulProcessor):
     """State per file reference: one summary row, and the name each rename gave, keyed by its USN.
@@ -34,33 +35,31 @@ class TimelineFold(StatefulProcessor):
         self.row = handle.getValueState("row", _STATE)
         self.renames = handle.getMapState("renames", "usn long", _RENAMES)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        fresh = (None, None, -1, 0, 0, None, None, None, None, 0)
-        first, name, last, count, mask, born_at, born, dead_at, dead, deletions = self.row.get() if self.row.exists() else fresh
-        for batch in rows:
-            for r in batch.itertuples(index=False):
-                usn, reasons = int(r.usn), int(r.reason_mask)
-                stamp = None if pd.isna(r.ts) else r.ts.to_pydatetime()
-                if first is None or usn < first:
-                    first, name = usn, r.name
-                if reasons & RENAME_NEW:
-                    self.renames.updateValue((usn,), (r.name,))
-                if reasons & NAMING_MASK and stamp is not None and (born_at is None or usn < born_at):
-                    born_at, born = usn, stamp
-                if reasons & FILE_DELETE:
-                    deletions += 1
-                    if dead_at is None or usn > dead_at:
-                        dead_at, dead = usn, stamp
-                last, count, mask = max(last, usn), count + 1, mask | reasons
-        self.row.update((first, name, last, count, mask, born_at, born, dead_at, dead, deletions))
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        known = self.row.get()
+        first, name, last, count, mask, born_at, born, dead_at, dead, deletions, renamed = known or (None, None, -1, 0, 0, None, None, None, None, 0, 0)
+        # A reference without earlier renames has none to read back.
+        names = {k[0]: v[0] for k, v in self.renames.iterator()} if renamed else {}
+        for r in rows:
+            usn, stamp, reasons, given = r.usn, r.ts, r.reason_mask, r.name
+            if first is None or usn < first:
+                first, name = usn, given
+            if reasons & RENAME_NEW:
+                self.renames.updateValue((usn,), (given,))
+                names[usn] = given
+            if reasons & NAMING_MASK and stamp is not None and (born_at is None or usn < born_at):
+                born_at, born = usn, stamp
+            if reasons & FILE_DELETE:
+                deletions += 1
+                if dead_at is None or usn > dead_at:
+                    dead_at, dead = usn, stamp
+            last, count, mask = max(last, usn), count + 1, mask | reasons
+        self.row.update((first, name, last, count, mask, born_at, born, dead_at, dead, deletions, len(names)))
         current, replaced = name, None
-        for _, (new,) in sorted(((k[0], tuple(v)) for k, v in self.renames.iterator())):
+        for _, new in sorted(names.items()):
             if new != current:
                 current, replaced = new, current
-        yield pd.DataFrame(
-            [(key[0], key[1], current, replaced, born, dead, dead is not None, last, count, mask)],
-            columns=[c.split()[0] for c in OUTPUT.split(", ")],
-        )
+        yield _OUT(key[0], key[1], current, replaced, born, dead, dead is not None, last, count, mask)
 
     def close(self) -> None:
         pass
@@ -72,7 +71,7 @@ def stream_timeline(usn: DataFrame) -> DataFrame:
     Records repeated by an overlapping journal copy are to be dropped first (:func:`drop_repeats`).
     """
     narrow = usn.select("volume_id", "file_reference", "usn", "ts", "reason_mask", "name")
-    return narrow.groupBy("volume_id", "file_reference").transformWithStateInPandas(
+    return narrow.groupBy("volume_id", "file_reference").transformWithState(
         statefulProcessor=TimelineFold(), outputStructType=OUTPUT, outputMode="Update", timeMode="None"
     )
 
