@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewell.plans.asof import first_at_or_after, latest_at_or_before
-from tracewell.plans.prefix import Running, bucket_of, row_numbers, running
+from tracewell.plans.prefix import Running, bucket_of, computed_once, row_numbers, running
 
 OUTLIER_RATIO = 16.0
 PREVIEW = 12
@@ -126,14 +126,17 @@ def _number(column: str | Column) -> Column:
     return (F.col(column) if isinstance(column, str) else column).cast("string")
 
 
-def reassemble(fragments: DataFrame, keys: Sequence[str] = ("set_id",), require_contiguous: bool = True) -> DataFrame:
+def reassemble(fragments: DataFrame, keys: Sequence[str] = ("set_id",), require_contiguous: bool = True, notes: bool = True) -> DataFrame:
     """Verdict per set: order evidence, completeness, notes, and the refusal if it cannot be trusted.
 
     Refusals in order: several identities, a duplicate key, missing fragments of a dense sequence, a
-    decode-time break. Extents of accepted sets come from :func:`order_fragments`.
+    decode-time break. Extents of accepted sets come from :func:`order_fragments`. Holes, medians and claims only
+    word the notes; a caller that wants none is spared them.
     """
     keys = list(keys)
     at = F.struct("key", "image_offset")
+    # Every part of the verdict reads the fragments; computing them must not be repeated with each.
+    fragments = computed_once(fragments)
     base = fragments.groupBy(*keys).agg(
         F.count("*").alias("n"),
         F.countDistinct("grp").alias("identities"),
@@ -141,21 +144,14 @@ def reassemble(fragments: DataFrame, keys: Sequence[str] = ("set_id",), require_
         F.min_by("key_source", at).alias("key_source"),
         F.sum("length").alias("bytes"),
     )
-    repeated = duplicate_keys(fragments, keys).groupBy(*keys).agg(F.min("key").alias("dup_key"))
-    claims = _first_two_claims(fragments, repeated, keys)
-    holes = missing_key_ranges(fragments, keys)
-    absent = F.col("last_missing") - F.col("first_missing") + 1
-    gaps = holes.groupBy(*keys).agg(F.sum(absent).alias("missing_count"), (F.max(absent) + 1).alias("widest"))
-    preview = (
-        holes.withColumn("__stop", F.least(F.col("last_missing"), F.col("first_missing") + PREVIEW - 1))
-        .select(*keys, F.explode(F.sequence("first_missing", "__stop")).alias("k"))
-    )
-    preview = _smallest(preview, keys, "k", PREVIEW)
-    joined = (
-        base.join(claims, keys, "left").join(gaps, keys, "left").join(preview, keys, "left")
-        .join(outliers(fragments, keys).select(*keys, F.struct("label", "length", "median").alias("outlier")), keys, "left")
-        .join(projection_check(fragments, keys), keys, "left")
+    # Between the first and last of n distinct keys, all but n are absent.
+    absent = F.max("key").cast("long") - F.min("key").cast("long") + 1 - F.count("key")
+    present = fragments.groupBy(*keys, "key").agg(F.count("*").alias("claims")).groupBy(*keys).agg(
+        F.min(F.when(F.col("claims") > 1, F.col("key"))).alias("dup_key"), absent.alias("missing_count")
     )
+    joined = base.join(present, keys, "left").join(projection_check(fragments, keys), keys, "left")
+    if notes:
+        joined = _noted(joined, fragments, present.select(*keys, "dup_key"), keys)
     missing = F.coalesce("missing_count", F.lit(0)).cast("long")
     timecode = F.col("key_kind") == "timecode"
     lost = ~timecode & (missing > 0)
@@ -179,7 +175,7 @@ def reassemble(fragments: DataFrame, keys: Sequence[str] = ("set_id",), require_
     reached = sound & ~(lost & F.lit(require_contiguous)) & (F.col("n") >= 2)
     more = F.when(missing > PREVIEW, F.concat(F.lit(" (+"), _number(missing - PREVIEW), F.lit(" more)"))).otherwise(F.lit(""))
     usable, pairs = F.coalesce("usable", F.lit(0)), F.coalesce("pairs", F.lit(0))
-    notes = F.array_compact(
+    noted = F.lit(None).cast("array<string>") if not notes else F.array_compact(
         F.array(
             F.when(one, F.concat(_number("n"), F.lit(" fragment(s) ordered by "), F.col("key_source"))),
             F.when(
@@ -229,8 +225,23 @@ def reassemble(fragments: DataFrame, keys: Sequence[str] = ("set_id",), require_
         F.when(sound & lost, missing).otherwise(F.lit(0)).cast("long").alias("missing_count"),
         refusal.alias("refusal"),
         F.when(refusal.isNull(), F.col("bytes")).otherwise(F.lit(0)).cast("long").alias("bytes"),
-        notes.alias("notes"),
+        noted.alias("notes"),
+    )
+
+
+def _noted(joined: DataFrame, fragments: DataFrame, repeated: DataFrame, keys: list[str]) -> DataFrame:
+    """What the notes of a verdict quote: the widest hole, the first absent keys, an outlier and who claims a key twice."""
+    holes = missing_key_ranges(fragments, keys)
+    gaps = holes.groupBy(*keys).agg((F.max(F.col("last_missing") - F.col("first_missing") + 1) + 1).alias("widest"))
+    preview = (
+        holes.withColumn("__stop", F.least(F.col("last_missing"), F.col("first_missing") + PREVIEW - 1))
+        .select(*keys, F.explode(F.sequence("first_missing", "__stop")).alias("k"))
     )
+    claims = _first_two_claims(fragments, repeated.where(F.col("dup_key").isNotNull()), keys).drop("dup_key")
+    odd = outliers(fragments, keys).select(*keys, F.struct("label", "length", "median").alias("outlier"))
+    for part in (claims, gaps, _smallest(preview, keys, "k", PREVIEW), odd):
+        joined = joined.join(part, keys, "left")
+    return joined
 
 
 def _first_two_claims(fragments: DataFrame, repeated: DataFrame, keys: list[str]) -> DataFrame:
@@ -271,11 +282,12 @@ def chunk_extents(runs: DataFrame, sizes: DataFrame, chunks: DataFrame, keys: Se
     ).where(F.col("spc").isNotNull())
     started = running(governed, keys, bucket_of("chunk", width), ["chunk"], [Running("first_sample", "sum", F.col("spc"))])
     started = started.withColumn("first_sample", F.col("first_sample") + 1)
+    # A chunk's offset travels with it, so that the chunks are not numbered and joined a second time.
     homed = latest_at_or_before(
-        sizes, started, keys, F.col("sample"), "first_sample", F.struct("chunk", "first_sample", "spc"), "home", width=width
+        sizes, started, keys, F.col("sample"), "first_sample", F.struct("chunk", "first_sample", "spc", "offset"), "home", width=width
     ).where(F.col("sample") < F.col("home.first_sample") + F.col("home.spc"))
-    lengths = homed.groupBy(*keys, F.col("home.chunk").alias("chunk")).agg(F.sum("size").alias("length"))
-    return chunks.join(lengths, [*keys, "chunk"]).where(F.col("length") > 0).select(*keys, "chunk", "offset", "length")
+    lengths = homed.groupBy(*keys, F.col("home.chunk").alias("chunk"), F.col("home.offset").alias("offset")).agg(F.sum("size").alias("length"))
+    return lengths.where(F.col("length") > 0)
 
 
 def sample_table_check(

@@ -63,7 +63,7 @@ def _combine(kind: str, carried: Column, local: Column) -> Column:
     return F.coalesce(local, carried)
 
 
-def _computed_once(df: DataFrame) -> DataFrame:
+def computed_once(df: DataFrame) -> DataFrame:
     """``df`` as a written table if computing it takes more than a scan: a running value reads its rows twice, and nested
     ones would double the work at every level."""
     if df.isStreaming:
@@ -88,7 +88,7 @@ def running(
     which turns ``last`` into "nearest following". ``inclusive`` counts the row itself as well.
     """
     keys = list(keys)
-    rows = _computed_once(df).withColumn(_BUCKET, bucket)
+    rows = computed_once(df).withColumn(_BUCKET, bucket)
     totals = rows.groupBy(*keys, _BUCKET).agg(
         *[_plain(s.kind, s.expr, order, descending).alias(f"__t_{s.out}") for s in specs]
     )
