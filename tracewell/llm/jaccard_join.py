@@ -4,7 +4,7 @@ Sizes are cut into bands so that sets that can link lie in one band or in neighb
 the largest symmetric difference k of two linked sets is known, so if the feature domain is partitioned into a fifth
 more than k + 1 parts, linked sets agree on a fifth of k or more. The signature of a part is a hash of what a set holds
 in it; sets that can link share so many. Parts empty in both sets would be shared by strangers: sets with an empty part sign a second and a
-third partition of the domain too, and only in the last are empty parts signed.
+third partition of the domain too, and empty parts are signed only in the last, by sets so sparse that the others might not do.
 
 Signatures travel as packed blocks, one per task and bucket. A bucket returns its signatures that several documents
 share. Each document joins the family of the partner that it shares most with. Where a group holds several families,
@@ -89,6 +89,8 @@ class Bands:
         top.append(self.least[-1] * 100 // threshold)
         self.apart = np.array([(100 - threshold) * (a + b) // (100 + threshold) for a, b in zip(top[:-1], top[1:], strict=True)])
         self.parts = self.apart + 1 + (self.apart + 1) // 5
+        #: Parts of any one partition that linked sets agree on at least.
+        self.spare = self.parts - self.apart
 
     def of(self, sizes: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.least, sizes, "right") - 1
@@ -119,6 +121,7 @@ def signatures(found: np.ndarray, sizes: np.ndarray, threshold: int) -> tuple[np
     sets, signed = [], []
     for up in (0, 1):
         live = np.flatnonzero(sizes > 0)
+        sure = np.zeros(len(sizes), np.int64)
         for level in range(LEVELS):
             if not len(live):
                 break
@@ -130,38 +133,34 @@ def signatures(found: np.ndarray, sizes: np.ndarray, threshold: int) -> tuple[np
             place = np.repeat(np.arange(len(live)), parts)
             nth = np.arange(total) - base[place]
             sign = mix(_sums(group, mix(hashes), total) ^ mix((instance.astype(U64)[place] << U64(34)) + (nth.astype(U64) << U64(2)) + U64(level)))
-            put = filled > 0 if level < LEVELS - 1 else np.ones(total, dtype=bool)
+            empty = np.bincount(place[filled == 0], minlength=len(live))
+            sure[live] += np.maximum(0, bands.spare[instance] - empty)
+            put = filled > 0
+            if level == LEVELS - 1:
+                put |= (sure[live] < bands.spare[instance])[place]
             sets.append(live[place[put]])
             signed.append(sign[put])
-            live = live[np.bincount(place[filled == 0], minlength=len(live)) > 0]
+            live = live[empty > 0]
     return (np.concatenate(sets), np.concatenate(signed)) if sets else (np.zeros(0, np.int64), np.zeros(0, U64))
 
 
-def needed(found: np.ndarray, sizes: np.ndarray, threshold: int) -> np.ndarray:
+def needed(sizes: np.ndarray, threshold: int) -> np.ndarray:
     """How many signatures any set that links with this one shares with it at least.
 
-    Linked sets agree on all parts but k of the first partition; those empty in both are not signed there.
+    Where one of two linked sets has no empty part, they share what they agree on in that partition. Else both sign all
+    partitions; in each they share what they agree on but for parts empty in both, and if for both sets these sums may
+    fall short, both sign their empty parts in the last.
     """
     bands = Bands(threshold, int(sizes.max(initial=1)))
-    live = np.flatnonzero(sizes > 0)
-    out = np.ones(len(sizes), np.int64)
-    least = np.full(len(live), np.iinfo(np.int64).max)
-    for up in (0, 1):
-        instance = bands.of(sizes[live]) + up
-        parts = bands.parts[instance]
-        base, group, _ = _parts(found, sizes, live, instance, parts, 0)
-        empty = np.bincount(group, minlength=int(parts.sum())) == 0
-        gone = np.bincount(np.repeat(np.arange(len(live)), parts)[empty], minlength=len(live))
-        least = np.minimum(least, parts - bands.apart[instance] - gone)
-    out[live] = np.maximum(1, least)
-    return out
+    own = bands.of(np.maximum(sizes, 1))
+    return np.where(sizes > 0, np.minimum(bands.spare[own], bands.spare[own + 1]), 1)
 
 
 def _digests(column: pa.Array, n: int, threshold: int) -> list[pa.Array]:
     found, sizes = shingle_sets(column, n)
     owner = np.repeat(np.arange(len(sizes)), sizes)
     digests = [_sums(owner, mix(found ^ U64(salt)), len(sizes)).view(np.int64) for salt in (0x5851F42D4C957F2D, 0x14057B7EF767814F)]
-    return [pa.array(sizes, pa.int64()), pa.array(needed(found, sizes, threshold)), *[pa.array(d, pa.int64()) for d in digests]]
+    return [pa.array(sizes, pa.int64()), pa.array(needed(sizes, threshold), pa.int64()), *[pa.array(d, pa.int64()) for d in digests]]
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], n: int, threshold: int, buckets: int) -> Iterator[pa.RecordBatch]:
