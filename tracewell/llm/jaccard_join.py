@@ -3,8 +3,8 @@
 Sizes are cut into bands so that sets that can link lie in one band or in neighbouring ones. For every pair of bands
 the largest symmetric difference k of two linked sets is known, so if the feature domain is partitioned into a fifth
 more than k + 1 parts, linked sets agree on a fifth of k or more. The signature of a part is a hash of what a set holds
-in it; sets that can link share so many. Parts empty in both sets would be shared by strangers: sets with an empty part sign a second and a
-third partition of the domain too, and empty parts are signed only in the last, by sets so sparse that the others might not do.
+in it; sets that can link share so many. Parts empty in both sets would be shared by strangers: sets with too many empty parts sign a second
+and a third partition of the domain too, and empty parts only in the last, if the others might still not do.
 
 Signatures travel as packed blocks, one per task and bucket. A bucket returns its signatures that several documents
 share. Each document joins the family of the partner that it shares most with. Where a group holds several families,
@@ -21,7 +21,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewell.llm.arrow import LOWER, SOLID, U64, flat, hash_spans, map_text, mix, release, slices, windows, words
@@ -91,6 +91,8 @@ class Bands:
         self.parts = self.apart + 1 + (self.apart + 1) // 5
         #: Parts of any one partition that linked sets agree on at least.
         self.spare = self.parts - self.apart
+        #: Signatures that they share at least; a quarter of those parts may be empty before another partition is signed.
+        self.need = self.spare - self.spare // 4
 
     def of(self, sizes: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.least, sizes, "right") - 1
@@ -137,23 +139,22 @@ def signatures(found: np.ndarray, sizes: np.ndarray, threshold: int) -> tuple[np
             sure[live] += np.maximum(0, bands.spare[instance] - empty)
             put = filled > 0
             if level == LEVELS - 1:
-                put |= (sure[live] < bands.spare[instance])[place]
+                put |= (sure[live] < bands.need[instance])[place]
             sets.append(live[place[put]])
             signed.append(sign[put])
-            live = live[empty > 0]
+            live = live[sure[live] < bands.need[instance]]
     return (np.concatenate(sets), np.concatenate(signed)) if sets else (np.zeros(0, np.int64), np.zeros(0, U64))
 
 
 def needed(sizes: np.ndarray, threshold: int) -> np.ndarray:
     """How many signatures any set that links with this one shares with it at least.
 
-    Where one of two linked sets has no empty part, they share what they agree on in that partition. Else both sign all
-    partitions; in each they share what they agree on but for parts empty in both, and if for both sets these sums may
-    fall short, both sign their empty parts in the last.
+    In each partition that both sign, linked sets share what they agree on but for parts empty in both. A set stops when
+    this alone makes enough, whatever the other set is; if neither does, both sign their empty parts in the last.
     """
     bands = Bands(threshold, int(sizes.max(initial=1)))
     own = bands.of(np.maximum(sizes, 1))
-    return np.where(sizes > 0, np.minimum(bands.spare[own], bands.spare[own + 1]), 1)
+    return np.where(sizes > 0, np.minimum(bands.need[own], bands.need[own + 1]), 1)
 
 
 def _digests(column: pa.Array, n: int, threshold: int) -> list[pa.Array]:
@@ -301,14 +302,14 @@ def link_documents(docs: DataFrame, n: int = N, threshold: int = THRESHOLD) -> D
     classes = sets.where("n_shingles > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")).where("n > 1")
     copies = lookup(sets, classes.drop("n"), ["d1", "d2"], F.xxhash64("doc_id")).where("rep <> doc_id").select("doc_id", "rep")
     copies = materialise(copies)
-    shared = shared_signatures(docs, sets, n, threshold).join(copies, "doc_id", "left")
+    shared = lookup(shared_signatures(docs, sets, n, threshold), copies, ["doc_id"], F.xxhash64("g"))
     members = shared.groupBy("g", F.coalesce("rep", "doc_id").alias("doc")).agg(F.max("w").alias("w"))
     sizes = sets.select(F.col("doc_id").alias("doc"), "n_shingles", "need")
     members = _likely(_likely(members, sizes), sizes)
     center = members.groupBy("g").agg(F.min("doc").alias("center"))
     members = materialise(members.join(center, "g"))
     links = copies.select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    placed = _families(members, sets)
+    placed = _families(members, sets, threshold)
     large = materialise(placed.where((F.col("blocks") > THIN) & F.col("own")).select("doc"))
     if not large.isEmpty():
         wide = materialise(members.join(large, "doc", "left_semi"))
@@ -317,10 +318,10 @@ def link_documents(docs: DataFrame, n: int = N, threshold: int = THRESHOLD) -> D
         thinned = materialise(_linked(materialise(best.select(F.col("center").alias("a"), F.col("doc").alias("b"))), docs, n, threshold))
         links = links.unionByName(thinned)
         rest = materialise(_mixed(wide, components(thinned)))
-        placed = placed.where(F.col("blocks") <= THIN).unionByName(_families(rest, sets))
+        placed = placed.where(F.col("blocks") <= THIN).unionByName(_families(rest, sets, threshold))
         # Groups that a large family shares with others, whose documents may visit it.
         shared = members.join(wide.select("g").distinct(), "g", "left_semi").join(large, "doc", "left_anti").select("g").distinct()
-        placed = placed.unionByName(_families(members.join(shared, "g", "left_semi"), sets))
+        placed = placed.unionByName(_families(members.join(shared, "g", "left_semi"), sets, threshold))
     links = links.unionByName(_checked(placed, docs, n, threshold))
     labels = components(links)
     out = sets.select("doc_id", "n_shingles").join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left")
@@ -335,7 +336,28 @@ def _likely(members: DataFrame, sizes: DataFrame) -> DataFrame:
     return materialise(left.join(several, "g", "left_semi"))
 
 
-def _families(members: DataFrame, sets: DataFrame) -> DataFrame:
+def _guests(apart: DataFrame, sizes: DataFrame, threshold: int) -> DataFrame:
+    """(doc, family): the families before its own that a document may link into.
+
+    A document need not ask in the groups where most families meet, as long as fewer signatures than a link takes are
+    left out by it; one more is asked for, so that two must be found. Families show the sizes they have in a group.
+    """
+    known = materialise(apart.join(sizes, "doc"))
+    families = known.groupBy("g", F.col("home").alias("family")).agg(F.min("n_shingles").alias("least"), F.max("n_shingles").alias("most"))
+    families = materialise(families)
+    own = Window.partitionBy("doc")
+    asking = known.join(families.groupBy("g").agg(F.count("*").alias("met")), "g")
+    asking = asking.withColumn("left", F.sum("w").over(own.orderBy(F.desc("met"), "g")))
+    asking = asking.withColumn("spare", F.coalesce(F.max(F.when(F.col("left") < F.col("need") - 1, F.col("left"))).over(own), F.lit(0)))
+    asking = asking.where("left >= need - 1").drop("left", "met")
+    fits = (F.col("n_shingles") * 100 >= F.col("least") * threshold) & (F.col("most") * 100 >= F.col("n_shingles") * threshold)
+    found = asking.join(families, "g").where((F.col("family") < F.col("home")) & fits)
+    # Signatures shared with a whole family bound those shared with any of it.
+    found = found.groupBy("doc", "family").agg(F.sum("w").alias("n"), F.first("need").alias("need"), F.first("spare").alias("spare"))
+    return found.where("n + spare >= need").select("doc", "family")
+
+
+def _families(members: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     """(doc, family, own, n_shingles, blocks): the families a document belongs to (own) or visits.
 
     Documents that share fewer signatures than linked ones must do neither make a family nor visit.
@@ -349,10 +371,7 @@ def _families(members: DataFrame, sets: DataFrame) -> DataFrame:
     # Only documents that share enough outside their family can visit another.
     mixed = rows.groupBy("g").agg(F.min("home").alias("low"), F.max("home").alias("high")).where("low < high").select("g")
     apart = _likely(materialise(rows.join(mixed, "g", "left_semi")), sizes)
-    guests = apart.join(apart.select("g", F.col("home").alias("family")).distinct(), "g").where("family < home")
-    # Signatures shared with a whole family bound those shared with any of it.
-    guests = guests.groupBy("doc", "family").agg(F.sum("w").alias("n")).join(sizes, "doc").where("n >= need")
-    guests = guests.select("doc", "family", F.lit(False).alias("own"))
+    guests = _guests(apart, sizes, threshold).withColumn("own", F.lit(False))
     guests = guests.unionByName(rows.select("doc", F.col("home").alias("family"), F.lit(True).alias("own")).distinct())
     sizes = sizes.drop("need")
     sized = guests.join(sizes, "doc")
