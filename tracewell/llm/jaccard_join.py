@@ -337,7 +337,7 @@ def _likely(members: DataFrame, sizes: DataFrame) -> DataFrame:
 
 
 def _guests(apart: DataFrame, sizes: DataFrame, threshold: int) -> DataFrame:
-    """(doc, family): the families before its own that a document may link into.
+    """(doc, family, n_shingles): the families before its own that a document may link into.
 
     A document need not ask in the groups where most families meet, as long as fewer signatures than a link takes are
     left out by it; one more is asked for, so that two must be found. Families show the sizes they have in a group.
@@ -353,8 +353,8 @@ def _guests(apart: DataFrame, sizes: DataFrame, threshold: int) -> DataFrame:
     fits = (F.col("n_shingles") * 100 >= F.col("least") * threshold) & (F.col("most") * 100 >= F.col("n_shingles") * threshold)
     found = asking.join(families, "g").where((F.col("family") < F.col("home")) & fits)
     # Signatures shared with a whole family bound those shared with any of it.
-    found = found.groupBy("doc", "family").agg(F.sum("w").alias("n"), F.first("need").alias("need"), F.first("spare").alias("spare"))
-    return found.where("n + spare >= need").select("doc", "family")
+    found = found.groupBy("doc", "family").agg(F.sum("w").alias("n"), *[F.first(c).alias(c) for c in ("n_shingles", "need", "spare")])
+    return found.where("n + spare >= need").select("doc", "family", "n_shingles")
 
 
 def _families(members: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
@@ -372,9 +372,8 @@ def _families(members: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     mixed = rows.groupBy("g").agg(F.min("home").alias("low"), F.max("home").alias("high")).where("low < high").select("g")
     apart = _likely(materialise(rows.join(mixed, "g", "left_semi")), sizes)
     guests = _guests(apart, sizes, threshold).withColumn("own", F.lit(False))
-    guests = guests.unionByName(rows.select("doc", F.col("home").alias("family"), F.lit(True).alias("own")).distinct())
-    sizes = sizes.drop("need")
-    sized = guests.join(sizes, "doc")
+    homes = rows.select("doc", F.col("home").alias("family"), F.lit(True).alias("own")).distinct()
+    sized = guests.unionByName(homes.join(sizes.drop("need"), "doc"))
     need = F.greatest(F.ceil(F.sum("n_shingles") / BLOCK), F.ceil(F.count("*") / BLOCK_DOCS)).cast("int")
     # Most families are one block; only the others are looked up.
     many = lookup(sized, sized.groupBy("family").agg(need.alias("blocks")).where("blocks > 1"), ["family"], F.xxhash64("doc"))
