@@ -66,13 +66,15 @@ def complement(
 ) -> DataFrame:
     """Parts of each ``bounds`` row ``(keys, lo, hi)`` that no extent covers.
 
-    There is one bounds row per key. Keys of ``bounds`` without extents come back whole.
+    There is one bounds row per key. Keys of ``bounds`` without extents come back whole. An extent without a start or an
+    end covers nothing; clipping it as it is would stretch it to the bounds.
     """
     keys = list(keys)
     one = 1 if mode == INCLUSIVE else 0
     nonempty = F.col("hi") >= F.col("lo") if mode == INCLUSIVE else F.col("hi") > F.col("lo")
     limits = bounds.select(*keys, F.col("lo").cast("long"), F.col("hi").cast("long")).where(nonempty)
-    clipped = df.join(limits, keys).select(
+    placed = df.where(F.col("start").isNotNull() & F.col("end").isNotNull())
+    clipped = placed.join(limits, keys).select(
         *keys, F.greatest("start", "lo").alias("start"), F.least("end", "hi").alias("end"), "lo"
     )
     # A closing sentinel just past the range turns "gap before each extent" into the whole answer.
