@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.functions.canonical import number_problems
+from tracewell.functions.canonical import canonical_payload, number_problems
 
 # Schema version, vocabularies and formats of a certificate.
 SCHEMA_VERSION = "1.0.0"
@@ -321,11 +322,106 @@ def _certificate_errors(doc: _Document, require_signature: bool) -> Column:
     )
 
 
+#: Texts of a sound document: any string without an escape, and an integer that every reader takes exactly.
+_ANY, _SOME = r'"[^"\\\x00-\x1f]*+"', r'"[^"\\\x00-\x1f]++"'
+_COUNT, _POSITIVE = r"(?:0|[1-9]\d{0,14})", r"[1-9]\d{0,14}"
+
+
+def _one_of(values: Sequence[str]) -> str:
+    return '"(?:' + "|".join(re.escape(v) for v in values) + ')"'
+
+
+def _quoted(pattern: str) -> str:
+    return f'"{pattern[1:-1]}"'
+
+
+_PLAIN = {
+    "schema_version": _one_of([SCHEMA_VERSION]), "cert_uuid": _quoted(UUID), "issued_at": _quoted(DATETIME),
+    "issuer.organization": _SOME, "issuer.operator_id": _SOME, "tool.platform": _one_of(PLATFORMS),
+    "device.device_type": _one_of(DEVICE_TYPES), "device.storage_type": _one_of(STORAGE_TYPES),
+    "device.capacity_bytes": _COUNT, "device.sector_size": _POSITIVE, "wipe.pattern": _one_of(PATTERNS), "wipe.passes": _POSITIVE,
+    "wipe.start_time": _quoted(DATETIME), "wipe.end_time": _quoted(DATETIME), "wipe.bytes_processed": _COUNT,
+    "result.status": _one_of(STATUSES), "signature.algorithm": _one_of(["Ed25519"]),
+    "signature.public_key_fingerprint": _quoted(FINGERPRINT), "signature.signed_payload_hash": _quoted(FINGERPRINT),
+    "signature.signature_base64url": '"(?=[^"]{80})[A-Za-z0-9_-]++=*+"',
+}
+#: Members whose presence leaves a document to the checks.
+_UNUSUAL = {"notes", "errors", "verification", "signature"}
+
+
+def _plain_object(path: str) -> str:
+    """Pattern of an object as canonical JSON writes it: members in order of name, without white space."""
+    required, optional = OBJECTS[path]
+    found = ""
+    for name in sorted({*required, *optional} - _UNUSUAL):
+        inner = f"{path}.{name}" if path else name
+        if inner == "wipe.nist_category":
+            continue
+        one = f'"{name}":' + (_plain_object(inner) if inner in OBJECTS else _PLAIN.get(inner, _ANY))
+        if inner == "wipe.method":
+            # The next member is the tier that is claimed; a discard that claims Purge needs a note.
+            tiers = {t: [m for m, ts in METHOD_TIERS.items() if t in ts and (m, t) != ("BLKDISCARD", "Purge")] for t in TIERS}
+            one = "(?:" + "|".join(f'"method":{_one_of(ms)},"nist_category":{_one_of([t])}' for t, ms in tiers.items() if ms) + ")"
+        # The first member of every object is a required one.
+        found += one if not found else f",{one}" if name in required else f"(?:,{one})?"
+        if inner == "schema_version":
+            found += _SIGNATURE_IN_ORDER
+    return "\\{" + found + "\\}"
+
+
+def _plain_document() -> str:
+    signature = f',"signature":{_plain_object("signature")}'
+    body = _plain_object("")
+    in_order, last = body.replace(_SIGNATURE_IN_ORDER, signature), body.replace(_SIGNATURE_IN_ORDER, "")
+    return rf"\A(?:{in_order}|{last[:-2]}{signature}\}})\z"
+
+
+_SIGNATURE_IN_ORDER = "<signature>"
+
+
+def sound(column: str = "certificate_json") -> Column:
+    """Whether a document is in canonical form, its signature in order or last, and certainly passes every check.
+
+    Such documents need not be taken apart to look for problems, and their members and payload can be cut out of the text:
+    no string in them holds a quote or an escape. All others, valid ones among them (notes, a verification, white space,
+    another order), are parsed.
+    """
+    return F.coalesce(F.col(column).rlike(_plain_document()), F.lit(False))
+
+
+def parsed(df: DataFrame, column: str = "certificate_json") -> DataFrame:
+    """Append ``__sound``, by which the functions below know how to read a document."""
+    return df.withColumn("__sound", sound(column))
+
+
+def member(path: str, column: str = "certificate_json") -> Column:
+    """Text of a string member, whose name no other object of a certificate uses, of a :func:`parsed` document."""
+    key, doc = f'"{path.rpartition(".")[2]}":"', F.col(column)
+    # Forward searches only: substring_index with a negative count compares at every place from the end.
+    at = F.instr(doc, F.lit(key))
+    found = F.when(at > 0, F.substring_index(F.substr(doc, at + len(key)), '"', 1))
+    return F.when(F.col("__sound"), found).otherwise(F.get_json_object(column, path))
+
+
+def with_payload(df: DataFrame, out: str, column: str = "certificate_json") -> DataFrame:
+    """Append ``struct(text, error)``, the canonical form of a :func:`parsed` document without its signature."""
+    at = F.instr(F.col(column), F.lit(',"signature":'))
+    rest = F.substr(F.col(column), at)
+    cut = F.concat(F.substr(F.col(column), F.lit(1), at - 1), F.substr(rest, F.instr(rest, F.lit("}")) + 1))
+    made = df.withColumn("__slow", canonical_payload(F.when(~F.col("__sound"), F.col(column))))
+    text = F.when(F.col("__sound"), cut).otherwise(F.col("__slow.text"))
+    return made.withColumn(out, F.struct(text.alias("text"), F.col("__slow.error").alias("error"))).drop("__slow")
+
+
 def validate_certificates(
     df: DataFrame, column: str = "certificate_json", require_signature: bool = True, out: str = "errors"
 ) -> DataFrame:
     """Append the list of structural problems of each JSON document."""
+    if "__sound" not in df.columns:
+        return validate_certificates(parsed(df, column), column, require_signature, out).drop("__sound")
     members = "map<string,string>"
+    # Sound documents have no problems; only the others are taken apart.
+    rest = F.when(~F.col("__sound"), F.col(column))
     objects = ("issuer", "tool", "device", "wipe", "signature", "result")
     paths = list(dict.fromkeys(["", *_typed_paths()]))
 
@@ -344,13 +440,14 @@ def validate_certificates(
 
     verification = "result.verification"
     staged = (
-        df.withColumns({"__v": F.try_parse_json(F.col(column)), map_name(""): F.from_json(column, members)})
+        df.withColumns({"__v": F.try_parse_json(rest), "__rest": rest, map_name(""): F.from_json(rest, members)})
         .withColumns({map_name(name): below("", name) for name in objects})
         .withColumn(map_name(verification), below("result", "verification"))
         .withColumns({kind_name(path): kind(path) for path in paths})
     )
     maps = {_slot(path): F.col(map_name(path)) for path in ("", *objects, verification)}
     kinds = {_slot(path): F.col(kind_name(path)) for path in paths}
-    doc = _Document(F.col(column), F.col("__v"), maps, kinds)
-    checked = staged.withColumn(out, _certificate_errors(doc, require_signature))
-    return checked.select(*df.columns, out) if out not in df.columns else checked.drop("__v", *map(map_name, ("", *objects, verification)), *map(kind_name, paths))
+    doc = _Document(F.col("__rest"), F.col("__v"), maps, kinds)
+    errors = F.when(F.col("__sound"), F.array().cast("array<string>")).otherwise(_certificate_errors(doc, require_signature))
+    checked = staged.withColumn(out, errors)
+    return checked.select(*df.columns, out) if out not in df.columns else checked.drop("__v", "__rest", *map(map_name, ("", *objects, verification)), *map(kind_name, paths))

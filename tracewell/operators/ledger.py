@@ -15,8 +15,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracewell.functions.canonical import MAX_EXACT, block_hash, canonical_payload, json_quote, payload_sha256
-from tracewell.operators.certificates import validate_certificates
+from tracewell.functions.canonical import MAX_EXACT, block_hash, json_quote, payload_sha256
+from tracewell.operators.certificates import member, parsed, validate_certificates, with_payload
 from tracewell.plans.joins import lookup
 from tracewell.session import cut_lineage, shuffle_width
 
@@ -77,6 +77,8 @@ def _member(path: str) -> Column:
 
 def crosscheck(blocks: DataFrame, out: str = "row_mismatch") -> DataFrame:
     """First disagreement between row columns and the embedded document; only fields the document has."""
+    if "__sound" not in blocks.columns:
+        return crosscheck(parsed(blocks), out).drop("__sound")
     pairs = [
         ("operator_id", "$.issuer.operator_id"),
         ("organization", "$.issuer.organization"),
@@ -84,14 +86,16 @@ def crosscheck(blocks: DataFrame, out: str = "row_mismatch") -> DataFrame:
         ("cert_uuid", "$.cert_uuid"),
         ("timestamp", "$.issued_at"),
     ]
+    # Columns of their own, so that each is looked up once.
+    read = blocks.withColumns({f"__s_{column}": member(path) for column, path in pairs})
     checks = []
-    for column, path in pairs:
-        stated = _member(path)
+    for column, _ in pairs:
+        stated = F.col(f"__s_{column}")
         text = F.concat(
             F.lit(f"{column} '"), F.coalesce(F.col(column), F.lit("None")), F.lit("' != certificate '"), stated, F.lit("'.")
         )
         checks.append(F.when(stated.isNotNull() & ~F.col(column).eqNullSafe(stated), text))
-    return blocks.withColumn(out, F.coalesce(*checks))
+    return read.withColumn(out, F.coalesce(*checks)).drop(*[f"__s_{column}" for column, _ in pairs])
 
 
 def trust(blocks: DataFrame, keys: DataFrame, out: str = "key_trusted") -> DataFrame:
@@ -148,13 +152,12 @@ def _row_verdicts(blocks: DataFrame, verify: VerifyFn | None) -> DataFrame:
     ``hash_problem`` is the recomputed-hash check, ``late_problem`` everything between key trust and
     the document's own signature, ``signature_problem`` that signature.
     """
-    rows = validate_certificates(crosscheck(blocks)).select(
+    rows = validate_certificates(crosscheck(with_payload(parsed(blocks), "__payload"))).select(
         "*",
-        canonical_payload("certificate_json").alias("__payload"),
         block_hash().alias("__computed"),
-        F.coalesce(_member("$.signature.public_key_fingerprint"), F.lit("")).alias("claimed_fp"),
-        F.coalesce(_member("$.signature.signature_base64url"), F.lit("")).alias("__doc_signature"),
-        F.coalesce(_member("$.signature.signed_payload_hash"), F.lit("")).alias("__stated"),
+        F.coalesce(member("$.signature.public_key_fingerprint"), F.lit("")).alias("claimed_fp"),
+        F.coalesce(member("$.signature.signature_base64url"), F.lit("")).alias("__doc_signature"),
+        F.coalesce(member("$.signature.signed_payload_hash"), F.lit("")).alias("__stated"),
     ).withColumn("__payload_hash", F.replace(payload_sha256(F.col("__payload.text")), F.lit("sha256:"), F.lit("")))
     genesis = F.col("operation_type") == "GENESIS"
     has_doc = F.coalesce(F.col("certificate_json") != "", F.lit(False)) & ~genesis
@@ -368,17 +371,16 @@ def append_blocks(
     linked = ["chain_id", "block_index", "prev_hash", "block_hash"]
     names = [f.name for f in BLOCK_SCHEMA.fields if f.name != "block_signature"] if keep is None else [n for n in keep if n != "block_signature"]
     made = {"chain_id", "operation_type", "certificate_json", "payload_hash", *text, *linked}
-    fields = docs.select(
+    fields = with_payload(parsed(docs), "__payload").select(
         F.col("chain_id").cast("string").alias("chain_id"), "operation_type", "certificate_json", F.struct(*order).alias("__order"),
         *[n for n in names if n not in made],
-        *[F.coalesce(_member(path), F.lit(default) if default is not None
+        *[F.coalesce(member(path), F.lit(default) if default is not None
                      else F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss'Z'")).alias(name)
           for name, (path, default) in text.items()],
-        canonical_payload("certificate_json").alias("__payload"),
+        payload_sha256(F.col("__payload.text")).alias("__hash"), member("$.signature.signed_payload_hash").alias("__stated"),
     )
-    stated = F.coalesce(_member("$.signature.signed_payload_hash"), F.lit("sha256:" + "0" * 64))
-    hashed = F.coalesce(payload_sha256(F.col("__payload.text")), stated)
-    fields = fields.withColumn("payload_hash", F.replace(hashed, F.lit("sha256:"), F.lit(""))).drop("__payload")
+    hashed = F.coalesce("__hash", "__stated", F.lit("sha256:" + "0" * 64))
+    fields = fields.withColumn("payload_hash", F.replace(hashed, F.lit("sha256:"), F.lit(""))).drop("__hash", "__stated")
 
     def quoted(name: str) -> Column:
         return F.concat(F.lit(f',"{name}":'), json_quote(F.col(name)))
