@@ -86,16 +86,14 @@ def crosscheck(blocks: DataFrame, out: str = "row_mismatch") -> DataFrame:
         ("cert_uuid", "$.cert_uuid"),
         ("timestamp", "$.issued_at"),
     ]
-    # Columns of their own, so that each is looked up once.
-    read = blocks.withColumns({f"__s_{column}": member(path) for column, path in pairs})
     checks = []
-    for column, _ in pairs:
-        stated = F.col(f"__s_{column}")
+    for column, path in pairs:
+        stated = member(path)
         text = F.concat(
             F.lit(f"{column} '"), F.coalesce(F.col(column), F.lit("None")), F.lit("' != certificate '"), stated, F.lit("'.")
         )
         checks.append(F.when(stated.isNotNull() & ~F.col(column).eqNullSafe(stated), text))
-    return read.withColumn(out, F.coalesce(*checks)).drop(*[f"__s_{column}" for column, _ in pairs])
+    return blocks.withColumn(out, F.coalesce(*checks))
 
 
 def trust(blocks: DataFrame, keys: DataFrame, out: str = "key_trusted") -> DataFrame:
